@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausesearch.llm import p1_split, p6_lines, p7_copies
+from clausesearch.llm import p1_split, p3_pairs, p6_lines, p7_copies, p8_encode
 from clausesearch.runtime import read_table
 
 QUERIES = {}
@@ -74,3 +74,18 @@ def p7_found(spark, sf_dir):
 @query(WORDS_SQL + " SELECT norm_id, min(row_id) AS row_id, count(*) AS n_copies FROM w GROUP BY norm_id, w")
 def p7_distinct(spark, sf_dir):
     return p7_copies.collapse_copies(read_table(spark, sf_dir, "chunks"), "row_id", ["norm_id"], ["text"])
+
+
+@query()
+def p3_found(spark, sf_dir):
+    return p3_pairs.defective_pairs(read_table(spark, sf_dir, "golden_questions"))
+
+
+@query()
+def p8_ids(spark, sf_dir):
+    return p8_encode.encode(read_table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p8_decoded(spark, sf_dir):
+    return p8_encode.decode(p8_encode.encode(read_table(spark, sf_dir, "documents")))
