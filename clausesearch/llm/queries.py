@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausesearch.llm import p1_split, p3_pairs, p6_lines, p7_copies, p8_encode
+from clausesearch.llm import p1_split, p3_pairs, p6_lines, p7_copies, p8_encode, p9_leaks, p10_spans
 from clausesearch.runtime import read_table
 
 QUERIES = {}
@@ -89,3 +89,29 @@ def p8_ids(spark, sf_dir):
 @query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def p8_decoded(spark, sf_dir):
     return p8_encode.decode(p8_encode.encode(read_table(spark, sf_dir, "documents")))
+
+
+@query()
+def p9_found(spark, sf_dir):
+    return p9_leaks.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+@query()
+def p9_spans(spark, sf_dir):
+    return p9_leaks.leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+@query()
+def p10_found(spark, sf_dir):
+    pairs = p10_spans.sharing_pairs(read_table(spark, sf_dir, "documents"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+@query()
+def p10_spans_shared(spark, sf_dir):
+    return p10_spans.shared_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def p10_amounts(spark, sf_dir):
+    return p10_spans.shared_amounts(read_table(spark, sf_dir, "documents"))
