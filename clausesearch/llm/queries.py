@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausesearch.llm import p1_split, p3_pairs, p6_lines, p7_copies, p8_encode, p9_leaks, p10_spans
+from clausesearch.llm import p1_split, p3_pairs, p5_near, p6_lines, p7_copies, p8_encode, p9_leaks, p10_spans
 from clausesearch.runtime import read_table
 
 QUERIES = {}
@@ -115,3 +115,14 @@ def p10_spans_shared(spark, sf_dir):
 @query()
 def p10_amounts(spark, sf_dir):
     return p10_spans.shared_amounts(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def p5_found(spark, sf_dir):
+    pairs = p5_near.near_pairs(read_table(spark, sf_dir, "chunks"), width=3, threshold=(3, 5))
+    return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+
+
+@query()
+def p5_groups(spark, sf_dir):
+    return p5_near.near_groups(read_table(spark, sf_dir, "chunks"))
