@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausesearch.llm import p1_split, p3_pairs, p5_near, p6_lines, p7_copies, p8_encode, p9_leaks, p10_spans
+from clausesearch.llm import p1_split, p3_pairs, p4_vectors, p5_near, p6_lines, p7_copies, p8_encode, p9_leaks, p10_spans
 from clausesearch.runtime import read_table
 
 QUERIES = {}
@@ -126,3 +126,14 @@ def p5_found(spark, sf_dir):
 @query()
 def p5_groups(spark, sf_dir):
     return p5_near.near_groups(read_table(spark, sf_dir, "chunks"))
+
+
+@query()
+def p4_found(spark, sf_dir):
+    pairs = p4_vectors.neighbour_pairs(read_table(spark, sf_dir, "chunks"))
+    return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+
+
+@query()
+def p4_neighbours(spark, sf_dir):
+    return p4_vectors.neighbours(read_table(spark, sf_dir, "chunks"))
