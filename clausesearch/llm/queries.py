@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausesearch.llm import p1_split, p3_pairs, p4_vectors, p5_near, p6_lines, p7_copies, p8_encode, p9_leaks, p10_spans
+from clausesearch.llm import p1_split, p2_pages, p3_pairs, p4_vectors, p5_near, p6_lines, p7_copies, p8_encode, p9_leaks, p10_spans
 from clausesearch.runtime import read_table
 
 QUERIES = {}
@@ -137,3 +137,16 @@ def p4_found(spark, sf_dir):
 @query()
 def p4_neighbours(spark, sf_dir):
     return p4_vectors.neighbours(read_table(spark, sf_dir, "chunks"))
+
+
+PAGES = "variant IN ('portal', 'web', 'html')"
+
+
+@query()
+def p2_found(spark, sf_dir):
+    return p2_pages.page_lines(read_table(spark, sf_dir, "chunks"), PAGES)
+
+
+@query()
+def p2_main_text(spark, sf_dir):
+    return p2_pages.main_text(read_table(spark, sf_dir, "chunks"), PAGES)
