@@ -119,6 +119,8 @@ def scan(data: np.ndarray, ids: np.ndarray, codes: np.ndarray, queries: np.ndarr
     """Top k ids and exact scores of each query among the data of one cell; missing places have id -1."""
     n, m = codes.shape
     out_ids, out_scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2, np.float32)
+    if n == 0:  # a cell near to some queries that stores no vector itself
+        return out_ids, out_scores
     two = codes[:, 0::2].astype(np.int64) * 16 + codes[:, 1::2]  # two codes of four bits make one table index
     for at in range(0, len(queries), 1024):
         q = queries[at : at + 1024]
