@@ -11,7 +11,7 @@ threshold. The join is exact and never compares all texts:
   key of that two-token combination; combinations across classes are never formed.
 * Keys are packed into one row per task and bucket, so the shuffle carries a few bytes a key. Inside a
   bucket, pairs of one key pass the length filter, the smaller text's shorter index prefix, and a
-  bound on the symmetric difference from 256-bit maps of the sets. A key shared by more than
+  bound on the symmetric difference from ``BITS``-bit maps of the sets. A key shared by more than
   ``hot`` texts is split into blocks, and pairs of blocks are compared by separate tasks.
 * What is left is verified on the whole texts.
 
@@ -35,8 +35,10 @@ SLOTS = 1 << 22
 BLOCKS = 64
 CLASSES = 16
 SMALL, SMALL_MOST = 28, 47  # sets below 28 need the small scheme; their partners have at most 46 shingles
-RARE = 10
+RARE = 20
 HOT = 4096
+BITS = 512  # of the map of a set that goes with its keys
+PLACES = 3_000_000  # shingles whose keys go into one bucket
 
 
 def _signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -132,8 +134,8 @@ def _keys(row, grams, count, position, n, num, den):
 
 
 def _bitmaps(row, grams, rows):
-    bits = np.zeros((rows, 256), np.uint8)
-    bits[row, ((grams >> np.uint64(20)) & np.uint64(255)).astype(np.int64)] = 1
+    bits = np.zeros((rows, BITS), np.uint8)
+    bits[row, ((grams >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
     return np.packbits(bits, axis=1)
 
 
@@ -145,8 +147,8 @@ def _pack(sent, width, num, den, buckets):
     def run(batches):
         sketch = np.frombuffer(sent.value, np.uint16)
         for whole in batches:
-            for first in range(0, whole.num_rows, 20_000):
-                batch = whole.slice(first, 20_000)
+            for first in range(0, whole.num_rows, 5_000):
+                batch = whole.slice(first, 5_000)
                 offsets, flat = split_words(batch.column("t"))
                 row, grams, count, position, n = _ordered(offsets, flat, sketch, width)
                 maps = _bitmaps(row, grams, batch.num_rows)
@@ -185,8 +187,8 @@ def _groups(key, who, n, rid, flag, bits, num, den):
         here = here[here + d < len(key)]
         here = here[(key[here] == key[here + d]) & (n[who[here]] * den >= n[who[here + d]] * num)]
         first = here[flag[here]]
-        for at in range(0, len(first), 1 << 18):
-            part = first[at : at + (1 << 18)]
+        for at in range(0, len(first), 1 << 17):
+            part = first[at : at + (1 << 17)]
             x, y = _near(who[part], who[part + d], n, bits, num, den)
             found.append(np.stack([np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y])], axis=1))
         if len(found) > 200:
@@ -201,7 +203,7 @@ def _match(num, den, hot):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-        rid, n, bits = read("rid", np.int64), read("n", np.int32).astype(np.int64), read("bits", np.uint64).reshape(-1, 4)
+        rid, n, bits = read("rid", np.int64), read("n", np.int32).astype(np.int64), read("bits", np.uint64).reshape(-1, BITS // 64)
         key, local = read("keys", np.uint32), read("who", np.uint16)
         base = np.cumsum([0, *(len(x) // 8 for x in table.column("rid").to_pylist())])[:-1]
         who = (local >> 1).astype(np.int64) + np.repeat(base, [len(x) // 2 for x in table.column("who").to_pylist()])
@@ -240,7 +242,7 @@ def _match_blocks(num, den):
     def run(table: pa.Table) -> pa.Table:
         rid, side = table.column("a").to_numpy(), table.column("side").to_numpy()
         n, flag = table.column("n").to_numpy().astype(np.int64), table.column("flag").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         found, right = [np.zeros((0, 2), np.int64)], np.flatnonzero(side == side.max())
         for i in np.flatnonzero((side == 0)):
             other = right if side.max() else right[right > i]
@@ -259,7 +261,7 @@ def _match_blocks(num, den):
 
 def _verify(width, num, den, schema):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             sets = []
             for side in "ab":
                 offsets, flat = split_words(batch.column(f"t_{side}"))
@@ -299,7 +301,7 @@ def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     reps = classes.select("rep", "b1", "b2").join(rows.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")), "rep")
     texts = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "p5-texts")
     places = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places // 4_000_000)
+    buckets = max(1, min(8, places // 300_000), places // PLACES)
     sent = spark.sparkContext.broadcast(_sketch(texts, width).tobytes())
 
     packed = texts.select("rid", "t").mapInArrow(_pack(sent, width, num, den, buckets), PACKED)
