@@ -13,7 +13,8 @@ threshold. The join is exact and never compares all texts:
   bucket, pairs of one key pass the length filter, the smaller text's shorter index prefix, and a
   bound on the symmetric difference from ``BITS``-bit maps of the sets. A key shared by more than
   ``hot`` texts is split into blocks, and pairs of blocks are compared by separate tasks.
-* What is left is verified on the whole texts.
+* What is left is compared by sets of 16-bit hashes, which never hide a shared shingle, and then
+  verified on the whole texts.
 
 Defined cases: null texts and texts with fewer than ``width`` words have no shingle and no partner;
 equal texts are members of one class and link to the same partners; a pair of texts with the same
@@ -61,18 +62,47 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Counts of all shingles in SLOTS slots, saturating at 65535; its size does not depend on the data."""
+SKETCHED = "block int, counts binary, rid long, n int, s binary"
+
+
+def _distinct(offsets, flat, width):
+    """row and hash of each distinct shingle of each row, sorted."""
+    grams, at = ngram_hashes(hash_words(flat), offsets, width)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((grams, row))
+    row, grams = row[order], grams[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
+    return row[new], grams[new]
+
+
+def _sketch_and_sets(width: int):
+    """One pass over the texts: rows of the task's count sketch, and the set of each text as 16-bit hashes."""
     size = SLOTS // BLOCKS
 
-    def count(batches):
+    def run(batches):
         total = np.zeros(SLOTS, np.uint32)
-        for batch in batches:
-            offsets, flat = split_words(batch.column("t"))
-            grams, _ = ngram_hashes(hash_words(flat), offsets, width)
-            total += np.bincount((grams & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5_000):
+                batch = whole.slice(at, 5_000)
+                row, grams = _distinct(*split_words(batch.column("t")), width)
+                total += np.bincount((grams & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                n = np.bincount(row, minlength=batch.num_rows)
+                short = (grams >> np.uint64(48)).astype(np.uint16)  # the leading bits, so they are in order too
+                offsets = (np.concatenate([[0], np.cumsum(n)]) * 2).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(short.tobytes())])
+                none = pa.nulls
+                yield pa.RecordBatch.from_arrays([none(batch.num_rows, pa.int32()), none(batch.num_rows, pa.binary()), batch.column("rid"), pa.array(n.astype(np.int32)), sets], names=["block", "counts", "rid", "n", "s"])
         total = np.minimum(total, 65535).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([total[i * size : (i + 1) * size].tobytes() for i in range(BLOCKS)], pa.binary())], names=["block", "counts"])
+        counts = pa.array([total[i * size : (i + 1) * size].tobytes() for i in range(BLOCKS)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), counts, pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int32()), pa.nulls(BLOCKS, pa.binary())], names=["block", "counts", "rid", "n", "s"])
+
+    return run
+
+
+def _merge_sketch(sketched: DataFrame) -> np.ndarray:
+    """Counts of all shingles in SLOTS slots, saturating at 65535; its size does not depend on the data."""
+    size = SLOTS // BLOCKS
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.uint64)
@@ -80,13 +110,34 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
             total += np.frombuffer(part, np.uint16)
         return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
 
-    parts = texts.select("t").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(merge, "block int, counts binary")
     out = np.zeros(SLOTS, np.uint16)
+    parts = sketched.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(merge, "block int, counts binary")
     for block, counts in parts.collect():
         out[block * size : (block + 1) * size] = np.frombuffer(counts, np.uint16)
     return out
 
 
+def _reach(num, den):
+    """Keeps pairs whose 16-bit sets, compared with repetitions, can reach the threshold: never fewer shared than in truth."""
+
+    def run(batches):
+        for batch in (whole.slice(at, 5_000) for whole in batches for at in range(0, whole.num_rows, 5_000)):
+            keys = []
+            for side in "ab":
+                n = batch.column(f"n_{side}").to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(batch.num_rows), n)
+                key = (row << 16) | np.frombuffer(b"".join(batch.column(f"s_{side}").to_pylist()), np.uint16)
+                first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0)) if len(key) else key
+                keys.append((key << 8) | np.minimum(np.arange(len(key)) - first, 255))
+            both = np.sort(np.concatenate(keys))
+            shared = np.bincount(both[1:][both[1:] == both[:-1]] >> 24, minlength=batch.num_rows)
+            union = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy() - shared
+            keep = pa.array(shared * den >= union * num)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _ordered(offsets, flat, sketch, width):
     """row, hash, count and position of each distinct shingle of each row, rarest first; sizes of the sets."""
     grams, at = ngram_hashes(hash_words(flat), offsets, width)
@@ -264,14 +315,7 @@ def _verify(width, num, den, schema):
         for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             sets = []
             for side in "ab":
-                offsets, flat = split_words(batch.column(f"t_{side}"))
-                grams, at = ngram_hashes(hash_words(flat), offsets, width)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                order = np.lexsort((grams, row))
-                row, grams = row[order], grams[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
-                sets.append((row[new], grams[new]))
+                sets.append(_distinct(*split_words(batch.column(f"t_{side}")), width))
             (ra, ga), (rb, gb) = sets
             row, grams = np.concatenate([ra, rb]), np.concatenate([ga, gb])
             order = np.lexsort((grams, row))
@@ -302,12 +346,15 @@ def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     texts = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "p5-texts")
     places = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, min(8, places // 300_000), places // PLACES)
-    sent = spark.sparkContext.broadcast(_sketch(texts, width).tobytes())
+    sketched = materialize(texts.select("rid", "t").mapInArrow(_sketch_and_sets(width), SKETCHED), "p5-sketched")
+    sent = spark.sparkContext.broadcast(_merge_sketch(sketched).tobytes())
 
     packed = texts.select("rid", "t").mapInArrow(_pack(sent, width, num, den, buckets), PACKED)
     matched = materialize(packed.groupBy("bucket").applyInArrow(_match(num, den, hot), CANDIDATES), "p5-matched")
     blocks = matched.where("unit IS NOT NULL").groupBy("unit").applyInArrow(_match_blocks(num, den), "a long, b long")
     candidates = matched.where("unit IS NULL").select("a", "b").unionByName(blocks).distinct()
+    sets = [sketched.where("rid IS NOT NULL").select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("s").alias(f"s_{s}")) for s in "ab"]
+    candidates = materialize(candidates.join(sets[0], "a").join(sets[1], "b").mapInArrow(_reach(num, den), "a long, b long"), "p5-candidates")
     sides = [texts.select(F.col("rid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "b1", "b2", "t"))) for s in "ab"]
     joined = candidates.join(sides[0], "a").join(sides[1], "b").where("NOT (b1_a = b1_b AND b2_a = b2_b)")
     id_type = df.schema[id_col].dataType
