@@ -98,14 +98,14 @@ def lexical_match(postings_: DataFrame, lexemes: DataFrame, mode: str = "and") -
 
 
 def lexical_rank(matches: DataFrame, mode: str = "and") -> DataFrame:
-    """qid, id, score. One lexeme, or ``or``: mean over the query's lexemes; several with ``and``: by nearness."""
+    """qid, id, score, rounded to nine decimals so that ties are ties. One lexeme, or ``or``: mean over the query's lexemes; several with ``and``: by nearness."""
     hits = F.col("hits")
     alone = F.aggregate(hits, F.lit(0.0), lambda s, h: s + _or_rank(h["positions"])) / F.col("n_lexemes")
     if mode == "or":
-        return matches.select("qid", "id", alone.alias("score"))
+        return matches.select("qid", "id", F.round(alone, 9).alias("score"))
     pairs = F.transform(hits, lambda h, i: F.aggregate(F.slice(hits, i + 2, F.size(hits)), F.lit(0.0), lambda s, o: s + _and_log(h["positions"], o["positions"])))
     near = -F.expm1(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x))
-    return matches.select("qid", "id", F.when(F.col("n_lexemes") < 2, alone).otherwise(near).alias("score"))
+    return matches.select("qid", "id", F.round(F.when(F.col("n_lexemes") < 2, alone).otherwise(near), 9).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
