@@ -66,8 +66,8 @@ def chunk_texts(df: DataFrame, strategy: str = "hybrid", text_col: str = "text",
     keep = [c for c in df.columns if c not in (text_col, "article", "idx", "n_chars")]
     span_type = "array<struct<article:string,body:string>>"
     if strategy == "article":
-        chunks = df.select(*keep, F.posexplode(article_spans(F.col(text_col))).alias("idx", "s"))
-        chunks = chunks.select(*keep, "idx", "s.article", F.col("s.body").alias("text"))
+        chunks = df.select(*keep, F.posexplode(article_spans(F.col(text_col))).alias("idx", "_span"))
+        chunks = chunks.select(*keep, "idx", "_span.article", F.col("_span.body").alias("text"))
     elif strategy == "fixed":
         chunks = df.select(*keep, F.posexplode(word_windows(F.col(text_col), size, overlap)).alias("idx", "text")).withColumn("article", F.lit(None).cast("string"))
     else:
@@ -85,8 +85,8 @@ def chunk_texts(df: DataFrame, strategy: str = "hybrid", text_col: str = "text",
                 out.append(pieces)
             return pa.array(out, pa.list_(pa.struct([("article", pa.string()), ("body", pa.string())])))
 
-        chunks = df.select(*keep, F.posexplode(fit(article_spans(F.col(text_col)))).alias("idx", "s"))
-        chunks = chunks.select(*keep, "idx", "s.article", F.col("s.body").alias("text"))
+        chunks = df.select(*keep, F.posexplode(fit(article_spans(F.col(text_col)))).alias("idx", "_span"))
+        chunks = chunks.select(*keep, "idx", "_span.article", F.col("_span.body").alias("text"))
     return chunks.select(*keep, "article", "idx", "text", F.char_length("text").alias("n_chars"))
 
 
