@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clausesearch.functions.stem_es import stem
 from clausesearch.functions.text import words
+from clausesearch.runtime import materialize
 
 MOST_POSITIONS, LAST_POSITION = 256, 16383
 WEIGHT = 0.1
@@ -36,11 +37,16 @@ def stems(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("token").mapInArrow(run, "token string, lexeme string")
 
 
-def postings(df: DataFrame, id_col: str = "row_id", text_col: str = "text", config: str = "simple") -> DataFrame:
-    """lexeme, id and positions (from 1, stop words counted) of every text; at most 256 positions a lexeme."""
+def postings(df: DataFrame, id_col: str = "row_id", text_col: str = "text", config: str = "simple", only: DataFrame | None = None) -> DataFrame:
+    """lexeme, id and positions (from 1, stop words counted) of every text; at most 256 positions a lexeme.
+
+    ``only`` (lexeme) keeps the lexemes that are asked for, before anything is grouped.
+    """
     tokens = df.select(F.col(id_col).alias("id"), F.posexplode(words(F.col(text_col))).alias("at", "token"))
     tokens = tokens.withColumn("at", F.least(F.col("at") + 1, F.lit(LAST_POSITION)))
     tokens = _lexemes(tokens, config)
+    if only is not None:
+        tokens = tokens.join(only, "lexeme", "left_semi")
     listed = tokens.groupBy("id", "lexeme").agg(F.array_sort(F.collect_set("at")).alias("positions"))
     return listed.select("lexeme", "id", F.slice("positions", 1, MOST_POSITIONS).alias("positions"))
 
@@ -117,7 +123,9 @@ def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
 def search_lexical(df: DataFrame, queries: DataFrame, k: int = 10, country: str | None = None, config: str = "simple", mode: str = "and", id_col: str = "row_id") -> DataFrame:
     """qid, id, score, rank of the best texts for each query (qid, qtext). The country filter comes before ranking."""
     rows = df if country is None else df.where(F.col("country") == country)
-    found = lexical_match(postings(rows, id_col, config=config), query_lexemes(queries, config), mode)
+    lexemes = materialize(query_lexemes(queries, config), "lexemes")
+    listed = materialize(postings(rows, id_col, config=config, only=lexemes.select("lexeme").distinct()), "postings")
+    found = lexical_match(listed, lexemes, mode)
     return top_k(lexical_rank(found, mode), k)
 
 

@@ -238,7 +238,8 @@ def lexical_rank_country(spark, sf_dir):
 
 @query(f"WITH {_lexical_sql(GOLDEN_Q, 10)} SELECT qid, id FROM m")
 def lexical_match(spark, sf_dir):
-    found = fulltext.lexical_match(fulltext.postings(read_table(spark, sf_dir, "chunks")), fulltext.query_lexemes(golden_queries(spark, sf_dir)))
+    lexemes = fulltext.query_lexemes(golden_queries(spark, sf_dir))
+    found = fulltext.lexical_match(fulltext.postings(read_table(spark, sf_dir, "chunks"), only=lexemes.select("lexeme").distinct()), lexemes)
     return found.select("qid", "id")
 
 
