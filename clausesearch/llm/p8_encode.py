@@ -61,7 +61,7 @@ def _segments(offsets: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.
     return np.repeat(offsets[chosen] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", hot_words: int = 1 << 17) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", hot_words: int = 1 << 18) -> DataFrame:
     """id and ``ids`` of every row."""
     spark = df.sparkSession
     counted = df.select(F.explode(split_text(text_col)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -106,20 +106,19 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     asked = partly.where(F.size("rare") > 0).select("row", F.posexplode("rare").alias("at", "word"))
     joined = asked.join(table.select("word", F.col("ids").alias("more")), "word")
     gathered = joined.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "more"))).alias("more"))
-    both = partly.select("row", id_col, "ids", "place").join(gathered, "row", "left").select(id_col, "ids", "place", F.col("more.more").alias("more"))
+    both = partly.where(F.size("rare") > 0).select("row", id_col, "ids", "place").join(gathered, "row").select(id_col, "ids", "place", F.col("more.more").alias("more"))
 
     def merge(batches):
         for batch in batches:
             out = []
             columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ids", "place", "more"))
             for ids, place, more in zip(*columns, strict=True):
-                if more is not None:
-                    ids = np.insert(ids, np.repeat(place, [len(m) for m in more]), np.concatenate(list(more)))
-                out.append(ids)
+                out.append(np.insert(ids, np.repeat(place, [len(m) for m in more]), np.concatenate(list(more))))
             sizes = np.fromiter(map(len, out), np.int64, len(out))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), _lists(np.concatenate(out) if out else [], sizes, pa.int32())], names=[id_col, "ids"])
 
-    return both.mapInArrow(merge, T.StructType(schema.fields[:2]))
+    # Texts of known words only are done; they need no join.
+    return partly.where(F.size("rare") == 0).select(id_col, "ids").unionByName(both.mapInArrow(merge, T.StructType(schema.fields[:2])))
 
 
 def pieces(spark: SparkSession, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
