@@ -2,7 +2,7 @@
 
 Unit vectors are put into cells of about ``CELL`` rows by a two-level k-means; every vector is stored in
 its nearest cell and asks its ``probes`` nearest cells. Within a cell the residuals to the cell's centre
-are product-quantised with four bits for each pair of dimensions, score-aware: the loss weighs the error
+are quantised with four bits for each dimension, score-aware: the loss weighs the error
 parallel to the vector more than the error across it, as that is what changes inner products. A query
 scans the cell through lookup tables (two four-bit codes at a time), and the best ``rerank`` rows are
 scored exactly. The answers of a query's cells are merged.
@@ -64,25 +64,24 @@ def assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(residual: np.ndarray, unit: np.ndarray, books: np.ndarray, weight: float) -> np.ndarray:
-    """Codes of each pair of dimensions: coordinate descent on the score-aware loss.
+    """Four-bit codes of each dimension: coordinate descent on the score-aware loss.
 
     The loss is |e|^2 + (weight - 1) (e . unit)^2 for the error e of the whole residual.
     """
     m = books.shape[0]
-    r, u = residual.reshape(-1, m, 2), unit.reshape(-1, m, 2)
-    codes = np.empty((len(r), m), np.uint8)
-    along = np.empty((len(r), m), np.float32)
+    codes = np.empty((len(residual), m), np.uint8)
+    along = np.empty((len(residual), m), np.float32)
+    rows = np.arange(len(residual))
     for sweep in range(2):
         total = along.sum(axis=1) if sweep else None
         for j in range(m):
-            dx = r[:, j, 0:1] - books[j, :, 0]
-            dy = r[:, j, 1:2] - books[j, :, 1]
-            loss = dx * dx + dy * dy
-            part = dx * u[:, j, 0:1] + dy * u[:, j, 1:2]
+            error = residual[:, j, None] - books[j]
+            loss = error * error
+            part = error * unit[:, j, None]
             if sweep:
                 loss += (weight - 1) * ((total - along[:, j])[:, None] + part) ** 2
             best = loss.argmin(axis=1)
-            chosen = part[np.arange(len(r)), best]
+            chosen = part[rows, best]
             if sweep:
                 total += chosen - along[:, j]
             along[:, j] = chosen
@@ -91,27 +90,22 @@ def encode(residual: np.ndarray, unit: np.ndarray, books: np.ndarray, weight: fl
 
 
 def codebooks(residual: np.ndarray, unit: np.ndarray, weight: float, rounds: int = 4) -> np.ndarray:
-    """Sixteen centres for each pair of dimensions, alternating encoding and weighted least squares."""
-    m = residual.shape[1] // 2
-    r, u = residual.reshape(-1, m, 2), unit.reshape(-1, m, 2)
-    books = np.zeros((m, 16, 2), np.float32)
+    """Sixteen levels for each dimension, alternating encoding and weighted least squares."""
+    m = residual.shape[1]
+    books = np.zeros((m, 16), np.float32)
     for j in range(m):
-        centres = kmeans(np.ascontiguousarray(r[:, j]), 16, rounds=5)
-        books[j, : len(centres)] = centres
+        levels = kmeans(np.ascontiguousarray(residual[:, j, None]), 16, rounds=8)
+        books[j, : len(levels)] = levels[:, 0]
     for _ in range(rounds):
         codes = encode(residual, unit, books, weight)
-        error = r - books[np.arange(m), codes]
-        along = (error * u).sum(axis=2)
+        along = (residual - books[np.arange(m), codes]) * unit
         total = along.sum(axis=1)
         for j in range(m):
+            x, v = residual[:, j].astype(np.float64), unit[:, j].astype(np.float64)
             other = total - along[:, j]
-            for c in range(16):
-                own = codes[:, j] == c
-                if own.sum() > 3:
-                    x, v, o = r[own, j].astype(np.float64), u[own, j].astype(np.float64), other[own].astype(np.float64)
-                    left = len(x) * np.eye(2) + (weight - 1) * v.T @ v
-                    right = x.sum(axis=0) + (weight - 1) * (v * (o + (x * v).sum(axis=1))[:, None]).sum(axis=0)
-                    books[j, c] = np.linalg.solve(left, right)
+            left = np.bincount(codes[:, j], 1 + (weight - 1) * v * v, 16)
+            right = np.bincount(codes[:, j], x + (weight - 1) * v * (other + x * v), 16)
+            books[j] = np.where(left > 0, right / np.where(left > 0, left, 1), books[j])
     return books
 
 
@@ -124,7 +118,7 @@ def scan(data: np.ndarray, ids: np.ndarray, codes: np.ndarray, queries: np.ndarr
     two = codes[:, 0::2].astype(np.int64) * 16 + codes[:, 1::2]  # two codes of four bits make one table index
     for at in range(0, len(queries), 1024):
         q = queries[at : at + 1024]
-        table = np.einsum("qmd,mcd->mcq", q.reshape(len(q), m, 2), books)
+        table = np.einsum("qm,mc->mcq", q, books)
         scale = 30_000 / max(float(np.abs(table).max(axis=1).sum(axis=0).max()), 1e-9)  # the sum fits 16 bits
         table = np.rint(table * scale).astype(np.int16)
         tables = (table[0::2, :, None, :] + table[1::2, None, :, :]).reshape(m // 2, 256, len(q))
@@ -179,7 +173,7 @@ def _fit_lower(size_of: dict[int, int], width: int):
     return run
 
 
-def neighbours(df: DataFrame, id_col: str = "row_id", vector_col: str = "embedding", k: int = 5, probes: int = 3, rerank: int = 120) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "row_id", vector_col: str = "embedding", k: int = 5, probes: int = 3, rerank: int = 96) -> DataFrame:
     """id, neighbour, score and place (1 to k) for every usable vector."""
     spark = df.sparkSession
     v = F.col(vector_col)
@@ -277,7 +271,7 @@ def neighbours(df: DataFrame, id_col: str = "row_id", vector_col: str = "embeddi
         held = table.column("codes").is_valid().to_numpy()
         ids = table.column("id").to_numpy()
         vectors = _matrix(table.column("v"), np.float32, width)
-        codes = _matrix(table.column("codes").drop_null(), np.uint8, width // 2)
+        codes = _matrix(table.column("codes").drop_null(), np.uint8, width)
         found, scores = scan(vectors[held], ids[held], codes, vectors[~held], ids[~held], books, k, rerank)
         q = np.repeat(ids[~held], k)
         ok = found.ravel() >= 0
