@@ -92,20 +92,20 @@ r AS (SELECT doc_id, span, c, 0 AS s, greatest(1, len(list_filter(c, lambda x: x
 windows AS (SELECT r.doc_id, r.span, w.article, r.s, array_to_string(w.w[r.s + 1:r.e], ' ') AS text FROM r JOIN w USING (doc_id, span))"""
 
 
-@query(f"WITH {SPANS} SELECT doc_id, article, span::INT AS idx, body AS text, length(body) AS n_chars FROM spans")
+@query(f"WITH {SPANS} SELECT doc_id, article, span::INT AS idx, body AS text, length(body)::INT AS n_chars FROM spans")
 def chunk_article(spark, sf_dir):
     return chunking.chunk_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "article")
 
 
 @query(f"""WITH RECURSIVE whole AS (SELECT doc_id, 0 AS span, NULL AS article, text AS body FROM documents WHERE text IS NOT NULL), {_windows_sql('whole')}
-SELECT doc_id, article, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS idx, text, length(text) AS n_chars FROM windows""")
+SELECT doc_id, article::VARCHAR AS article, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS idx, text, length(text)::INT AS n_chars FROM windows""")
 def chunk_fixed(spark, sf_dir):
     return chunking.chunk_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "fixed")
 
 
 @query(f"""WITH RECURSIVE {SPANS}, long AS (SELECT * FROM spans WHERE length(body) > 1200), {_windows_sql('long')},
 every AS (SELECT doc_id, span, article, 0 AS s, body AS text FROM spans WHERE length(body) <= 1200 UNION ALL SELECT * FROM windows)
-SELECT doc_id, article, (row_number() OVER (PARTITION BY doc_id ORDER BY span, s) - 1)::INT AS idx, text, length(text) AS n_chars FROM every""")
+SELECT doc_id, article, (row_number() OVER (PARTITION BY doc_id ORDER BY span, s) - 1)::INT AS idx, text, length(text)::INT AS n_chars FROM every""")
 def chunk_hybrid(spark, sf_dir):
     return chunking.chunk_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "hybrid")
 
@@ -116,7 +116,7 @@ def chunk_record_ids(spark, sf_dir):
     return read_table(spark, sf_dir, "chunks").select("row_id", chunk_id(*(F.col(c) for c in names)).alias("chunk_id"))
 
 
-@query("""SELECT strategy, count(*) AS n_chunks, floor(median(length(text)))::BIGINT AS median, list_sort(list(length(text)))[greatest((count(*) * 95) // 100, 1)] AS p95, max(length(text)) AS longest,
+@query("""SELECT strategy, count(*) AS n_chunks, floor(median(length(text)))::BIGINT AS median, list_sort(list(length(text)))[greatest((count(*) * 95) // 100, 1)]::INT AS p95, max(length(text))::INT AS longest,
   count(*) FILTER (article <> '') AS with_article, (count(*) FILTER (article <> '') * 100) // count(*) AS percent FROM chunks GROUP BY strategy""")
 def chunk_statistics(spark, sf_dir):
     return dedup.chunk_statistics(read_table(spark, sf_dir, "chunks"))
