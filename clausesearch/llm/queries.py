@@ -91,7 +91,9 @@ def p8_decoded(spark, sf_dir):
     return p8_encode.decode(p8_encode.encode(read_table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\pL\pN]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\pL\pN]+') AS w FROM eval_items),
+x AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS u(i)), y AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM e, unnest(range(1, len(w) - 10)) AS u(i))
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)""")
 def p9_found(spark, sf_dir):
     return p9_leaks.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -101,7 +103,11 @@ def p9_spans(spark, sf_dir):
     return p9_leaks.leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
-@query()
+WINDOWS_SQL = """WITH g AS (SELECT doc_id, i AS pos, md5(substr(text, i, 240)) AS g FROM documents, unnest(range(1, length(text) - 238)) AS u(i)),
+s AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1), m AS (SELECT doc_id, pos, g FROM g SEMI JOIN s USING (g))"""
+
+
+@query(WINDOWS_SQL + " SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.g = b.g AND a.doc_id < b.doc_id")
 def p10_found(spark, sf_dir):
     pairs = p10_spans.sharing_pairs(read_table(spark, sf_dir, "documents"))
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -112,12 +118,17 @@ def p10_spans_shared(spark, sf_dir):
     return p10_spans.shared_spans(read_table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(WINDOWS_SQL + """, c AS (SELECT doc_id, sum(least(240, coalesce(next - pos, 240)))::BIGINT AS n FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM m) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS shared_chars FROM documents LEFT JOIN c USING (doc_id)""")
 def p10_amounts(spark, sf_dir):
     return p10_spans.shared_amounts(read_table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM chunks),
+g AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id), p AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
+SELECT a AS row_id_a, b AS row_id_b FROM p JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b JOIN w s ON s.row_id = a JOIN w t ON t.row_id = b
+WHERE k * 5 >= (x.n + y.n - k) * 3 AND list_sort(s.w) <> list_sort(t.w)""")
 def p5_found(spark, sf_dir):
     pairs = p5_near.near_pairs(read_table(spark, sf_dir, "chunks"), width=3, threshold=(3, 5))
     return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
