@@ -15,7 +15,9 @@ def dedup_chunks(df: DataFrame, order: list[str], key: str = "norm_id", text_col
     ``order`` fall to the larger of equal rows alike. Null keys and texts form groups of their own.
     """
     columns = [c for c in df.columns if c != "n_sources"]
-    grouped = df.groupBy(F.col(key).alias("_k"), F.xxhash64(collapse(F.col(text_col))).alias("_h"), collapse(F.col(text_col)).alias("_t"))
+    # The text is shuffled once, with its row; as a key it is a hash of 128 bits and its length.
+    hashed = df.select("*", collapse(F.col(text_col)).alias("_t"))
+    grouped = hashed.groupBy(F.col(key).alias("_k"), F.xxhash64("_t").alias("_h1"), F.xxhash64(F.lit(1), "_t").alias("_h2"), F.length("_t").alias("_n"))
     first = grouped.agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r"), F.count("*").alias("n_sources"))
     return first.select("r.*", "n_sources")
 
