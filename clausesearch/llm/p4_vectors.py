@@ -258,14 +258,12 @@ def neighbours(df: DataFrame, id_col: str = "row_id", vector_col: str = "embeddi
 
     routed = materialize(classes.select("rep", "v").mapInArrow(route, "id long, v binary, codes binary, cells array<int>"), "p4-routed")
     asked = routed.select("id", "v", F.explode(F.array_distinct(F.filter("cells", lambda c: c >= 0))).alias("cell"))
-    # Cells that many ask are scanned by several tasks, each with a block of the queries.
-    load = routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > BLOCK).collect()
-    blocks = {r["cell"]: -(-r["count"] // BLOCK) for r in load}
-    number = F.lit(1)
-    for cell, b in blocks.items():
-        number = F.when(F.col("cell") == cell, b).otherwise(number)
-    stored = routed.select("id", "v", "codes", F.col("cells")[0].alias("cell")).select("id", "v", "codes", "cell", F.explode(F.sequence(F.lit(0), number - 1)).alias("block"))
-    asking = asked.select("id", "v", F.lit(None).cast("binary").alias("codes"), "cell", F.pmod(F.xxhash64("id"), number).cast("int").alias("block"))
+    # Cells that many ask are scanned by several tasks, each with a block of the queries. There are at most MAX_CELLS cells.
+    load = routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > BLOCK)
+    load = F.broadcast(load.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    number = F.coalesce("blocks", F.lit(1))
+    stored = routed.select("id", "v", "codes", F.col("cells")[0].alias("cell")).join(load, "cell", "left").select("id", "v", "codes", "cell", F.explode(F.sequence(F.lit(0), number - 1)).alias("block"))
+    asking = asked.join(load, "cell", "left").select("id", "v", F.lit(None).cast("binary").alias("codes"), "cell", F.pmod(F.xxhash64("id"), number).cast("int").alias("block"))
 
     def search(table: pa.Table) -> pa.Table:
         held = table.column("codes").is_valid().to_numpy()

@@ -332,11 +332,12 @@ def _verify(width, num, den, schema):
 def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): similar pairs (rep_a, rep_b, similarity) of class representatives, and (rep, id) of all rows with shingles.
 
-    ``threshold`` is a fraction (numerator, denominator) of at least one half.
+    ``threshold`` is a fraction (numerator, denominator) from 3/5 to 1; below that, small sets would
+    not share enough shingles for the two schemes of keys to cover every pair.
     """
     num, den = threshold
-    if not 2 * num >= den >= num:
-        raise ValueError("the threshold must lie between one half and one")
+    if not 5 * num >= 3 * den or num > den:
+        raise ValueError("the threshold must lie between 3/5 and 1")
     spark = df.sparkSession
     rows = df.select(id_col, text_col).where(F.col(text_col).isNotNull())
     signed = materialize(_signatures(rows, id_col, text_col, width), "p5-signed")

@@ -44,22 +44,34 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, source: str, key: str, dat
 LINE = ["source", "h1", "h2"]
 
 
-def repeated_lines(df: DataFrame, id_col: str = "row_id", text_col: str = "text", source: str = "agency", key: str = "norm_id", date: str | None = "loaded_at", min_keys: int = 4) -> DataFrame:
-    """(id, line_no) of every line found under at least ``min_keys`` different keys of its source."""
+def _statistics(lines: DataFrame) -> DataFrame:
+    counted = lines.groupBy(*LINE, "key", "cluster", "day").agg(F.count("*").alias("n"))  # duplicate documents collapse here
+    return counted.groupBy(LINE).agg(
+        F.count_distinct("key").alias("n_keys"), F.count_distinct("cluster").alias("n_clusters"), F.count_distinct("day").alias("n_days"), F.sum("n").alias("n_lines")
+    )
+
+
+def repeated_lines(
+    df: DataFrame, id_col: str = "row_id", text_col: str = "text", source: str = "agency", key: str = "norm_id", date: str | None = "loaded_at", min_keys: int = 4, min_clusters: int = 1, min_days: int = 1
+) -> DataFrame:
+    """(id, line_no) of every line that its source repeats.
+
+    A line must stand under ``min_keys`` different keys of the source, in ``min_clusters`` distinct documents and
+    on ``min_days`` publication dates.
+    """
     lines = materialize(_keyed(df, id_col, text_col, source, key, date), "p6-lines")
-    documents = lines.select(*LINE, "key", "cluster").distinct()  # duplicate documents collapse here
-    keys = documents.select(*LINE, "key").distinct()
-    found = keys.groupBy(LINE).count().where(F.col("count") >= min_keys).select(LINE)
+    if min_clusters > 1 or min_days > 1:
+        found = _statistics(lines).where((F.col("n_keys") >= min_keys) & (F.col("n_clusters") >= min_clusters) & (F.col("n_days") >= min_days)).select(LINE)
+    else:
+        documents = lines.select(*LINE, "key", "cluster").distinct()  # duplicate documents collapse here
+        keys = documents.select(*LINE, "key").distinct()
+        found = keys.groupBy(LINE).count().where(F.col("count") >= min_keys).select(LINE)
     return lines.join(found, LINE, "left_semi").select(id_col, F.col("line_no").cast("int").alias("line_no"))
 
 
 def line_statistics(df: DataFrame, id_col: str = "row_id", text_col: str = "text", source: str = "agency", key: str = "norm_id", date: str | None = "loaded_at") -> DataFrame:
     """Per source and line: keys, distinct document clusters, publication dates and occurrences."""
-    lines = _keyed(df, id_col, text_col, source, key, date)
-    counted = lines.groupBy(*LINE, "key", "cluster", "day").agg(F.count("*").alias("n"))
-    return counted.groupBy(LINE).agg(
-        F.count_distinct("key").alias("n_keys"), F.count_distinct("cluster").alias("n_clusters"), F.count_distinct("day").alias("n_days"), F.sum("n").alias("n_lines")
-    )
+    return _statistics(_keyed(df, id_col, text_col, source, key, date))
 
 
 def remove_lines(df: DataFrame, marked: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:

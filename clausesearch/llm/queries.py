@@ -62,6 +62,14 @@ def p6_cleaned(spark, sf_dir):
     return p6_lines.remove_lines(chunks, p6_lines.repeated_lines(chunks))
 
 
+@query(LINES_SQL + r""", k AS (SELECT agency, m FROM n WHERE m <> '' GROUP BY agency, m HAVING
+  count(DISTINCT trim(regexp_replace(lower(text), '[\s\x{0085}\x{001c}-\x{001f}\pZ]+', ' ', 'g'))) >= 4 AND count(DISTINCT (loaded_at AT TIME ZONE 'UTC')::DATE) >= 2)
+SELECT row_id, line_no::INT AS line_no FROM n JOIN k USING (agency, m)""")
+def p6_boilerplate(spark, sf_dir):
+    """By distinct documents and dates, whatever their keys."""
+    return p6_lines.repeated_lines(read_table(spark, sf_dir, "chunks"), min_keys=1, min_clusters=4, min_days=2)
+
+
 WORDS_SQL = r"WITH w AS (SELECT row_id, norm_id, list_sort(regexp_extract_all(lower(text), '[\pL\pN]+')) AS w FROM chunks WHERE norm_id IS NOT NULL)"
 
 

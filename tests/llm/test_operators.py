@@ -117,6 +117,16 @@ def test_neighbours_recall(make):
     assert sum(len(got[i] & set(t)) for i, t in true.items()) >= 0.9 * 5 * 1200
 
 
+def test_crowded_cells_are_scanned_in_blocks(make, monkeypatch):
+    monkeypatch.setattr(p4_vectors, "BLOCK", 50)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    got = defaultdict(set)
+    for r in p4_vectors.neighbours(make(CHUNKS, [{"row_id": i, "embedding": [float(v) for v in r]} for i, r in enumerate(x)]), rerank=500, probes=8).collect():
+        got[r.id].add(r.neighbour)
+    assert all(got[i] == set(t) for i, t in nearest(x.astype(float), np.arange(400), 5).items())
+
+
 def test_neighbours_of_equal_vectors(make):
     rows = [{"row_id": i, "embedding": [1.0, 0.5, 0.0, 2.0]} for i in range(300)] + [{"row_id": 900, "embedding": [0.0, 1.0, 0.0, 0.0]}]
     got = defaultdict(list)
@@ -170,6 +180,11 @@ def test_near_pairs_are_exact(make, sentence, monkeypatch, hot, width, num, den)
     assert len(got) == len(set(got)) and set(got) == similar(rows, width, num, den)
 
 
+def test_near_pairs_reject_a_low_threshold(make):
+    with pytest.raises(ValueError):
+        p5_near.near_pairs(make(CHUNKS, []), threshold=(1, 2))
+
+
 def test_near_groups(make, sentence):
     text = sentence(80)
     rows = [text, text + " otro", text + " otro mas", sentence(80), text.upper()]
@@ -193,6 +208,8 @@ def test_repeated_lines_count_keys_and_not_copies(make):
     assert found == {(i, n) for i in range(10) for n in (1, 4)}
     stats = {(r.source, r.n_keys, r.n_clusters, r.n_lines) for r in p6_lines.line_statistics(table).collect()}
     assert ("A", 3, 1, 30) in stats and ("A", 5, 10, 20) in stats
+    assert not {r.row_id for r in p6_lines.repeated_lines(table, min_keys=1, min_clusters=2, date=None).collect()} & set(range(50, 90))
+    assert p6_lines.repeated_lines(table, min_days=2).collect() == []
     cleaned = {r.row_id: r.text for r in p6_lines.remove_lines(table, p6_lines.repeated_lines(table)).collect()}
     assert cleaned[3] == "contenido 3\n" and cleaned[60] == "republicado tres veces"
 
