@@ -61,6 +61,11 @@ def _segments(offsets: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.
     return np.repeat(offsets[chosen] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _slices(batches, rows: int = 1_000):
+    """Smaller batches, to bound what one step of a task holds."""
+    return (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows))
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", hot_words: int = 1 << 18) -> DataFrame:
     """id and ``ids`` of every row."""
     spark = df.sparkSession
@@ -79,7 +84,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         flat, at = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
         sizes = np.append(np.diff(at), 0)  # a word that isn't known has no ids here
         value_set = known["word"].combine_chunks()
-        for batch in batches:
+        for batch in _slices(batches):
             words = batch.column("words")
             offsets = words.offsets.to_numpy().astype(np.int64)
             every = words.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -109,7 +114,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     both = partly.where(F.size("rare") > 0).select("row", id_col, "ids", "place").join(gathered, "row").select(id_col, "ids", "place", F.col("more.more").alias("more"))
 
     def merge(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ids", "place", "more"))
             for ids, place, more in zip(*columns, strict=True):
