@@ -47,6 +47,7 @@ OPEN_ENDS = (
     "an and are at before by for from has have in is must nor of on or shall that the to under when whenever which with within above may not".split()
 )
 OPENERS = r"^(respecto|a los fines|a partir|con|en|durante|según|mediante|bajo|previo|para|por|si|siempre|cuando|salvo|dentro|conforme|quando|sob|under|whenever)\b"
+SUBJECTS = r"^(el|la|los|las|o|os|as|the)\b"  # a short answer of a subject alone
 VERB = r"\p{L}(rá|rán|rão)\b|\b(queda|quedan|admite|es|son|contiene|regula|surge|exige|deben?|puede|pueden|trata|tem|têm|devem|pode|podem|ficam|aplica|corresponde|shall|must|may|is|are|has|have|deals|applies|requires|parte|prevé|fija)\b"
 QUOTED = "\"[^\"]*\"|“[^”]*”|«[^»]*»"
 
@@ -120,6 +121,7 @@ def defective_pairs(df: DataFrame, id_col: str = "pair_id", question: str = "que
         | long & last.rlike(r"^\d[\d.,]*$")
         | long & (F.coalesce(F.col("share"), F.lit(0.0)) < least_share)
         | long & sentence.rlike(OPENERS) & ~sentence.rlike(rf"(?U){VERB}")
+        | (F.size("aw") >= 4) & (F.size("aw") <= 10) & F.col("low").rlike(SUBJECTS) & ~F.col("low").rlike(rf"(?U){VERB}")
     )
     truncated = ~empty & ~copy & ~refusal & (unclosed | dangling | abrupt)
 

@@ -79,7 +79,7 @@ PAIRS = [
     ("¿Qué exige el artículo 3 sobre la bota?", "¿QUÉ EXIGE EL ARTÍCULO 3 SOBRE LA BOTA?", {"copy"}), ("¿Qué exige el artículo 3 sobre la bota?", "Respuesta: ¿Qué exige el artículo 3 sobre la bota?", {"copy"}),
     ("¿Qué exige el artículo 3 sobre la bota de la fábrica en el taller?", "The importer shall inspect the boots under penalty of a fine within the period set by law.", {"other_language"}),
     ("¿Qué exige el artículo 3 sobre la bota?", "Импортёр обязан проверить изделие до отправки со склада.", {"other_language"}),
-    ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes de la", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota (según", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota,", {"truncated"}),
+    ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes de la", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota (según", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota,", {"truncated"}), ("¿Quién responde?", "El importador y la autoridad del despacho", {"truncated"}),
     ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes del despacho.", set()), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes del despacho", set()), ("¿Qué plazo fija?", "86 días hábiles", set()), ("¿Es obligatorio?", "No", set()),
     ("¿Qué exige el artículo 3 sobre la bota?", "La norma no contiene disposiciones sobre la bota.", set()), ('¿Qué rótulo lleva la bota en el envase del taller?', 'El rótulo en inglés "keep away from the heat and out of the reach of the children" se admite junto al español.', set()),
 ]
