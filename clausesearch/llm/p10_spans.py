@@ -9,8 +9,10 @@ hashes are verified on the characters around them.
 
 Texts are compared by code points as they stand. Defined cases: null texts and texts shorter than
 ``length`` share nothing; a span repeated inside one record only is not shared; equal texts share all
-of their text; in periodic text the first and last two places of each run of equal hashes are
-compared, which loses no match; an empty table gives an empty result; extra columns are ignored.
+of their text; in periodic text (equal hashes at equal distances of at most ``k``) the first and last
+two places of each run are compared, which loses no match, and elsewhere a place is left out only if all
+of its context stands at another place of its record; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -159,21 +161,23 @@ def shared_places(df: DataFrame, id_col: str, text_col: str, date: str | None, l
     found = found.distinct()
     if not outer_only:
         return found
-    # Periodic text: of a run of equal hashes less than a window apart, the two outer places on each side stand for all.
+    # Periodic text: of a run of equal hashes at one distance of at most a window, the two outer places on each side stand
+    # for all. At wider or unequal distances the text between may differ, so every place stays.
     order = Window.partitionBy("h", "id").orderBy("pos")
-    gap = lambda c: F.coalesce(F.abs(c - F.col("pos")) > length, F.lit(True))
-    outer = (gap(F.lag("pos", 1).over(order)) | gap(F.lag("pos", 2).over(order) + length)) | (gap(F.lead("pos", 1).over(order)) | gap(F.lead("pos", 2).over(order) - length))
-    return found.withColumn("outer", outer).where("outer").drop("outer")
+    step = F.col("pos") - F.lag("pos", 1).over(order)
+    same = [F.lag("pos", 1).over(order) - F.lag("pos", 2).over(order), F.lead("pos", 1).over(order) - F.col("pos"), F.lead("pos", 2).over(order) - F.lead("pos", 1).over(order)]
+    inner = (step <= k) & (same[0] == step) & (same[1] == step) & (same[2] == step)
+    return found.withColumn("inner", F.coalesce(inner, F.lit(False))).where("NOT inner").drop("inner")
 
 
 def _contexts(df: DataFrame, places: DataFrame, id_col: str, text_col: str, k: int, length: int) -> DataFrame:
-    """Places with the characters before and after that a match of the length can need."""
+    """h, id and the distinct surroundings of its places: the characters before and after that a match of the length can need."""
     reach = length - k
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     per = places.groupBy("id").agg(F.collect_list(F.struct("h", "pos")).alias("p"))
     each = texts.join(per, "id").select("id", "t", F.explode("p").alias("p"))
     start = F.greatest(F.col("p.pos") - reach, F.lit(0))
-    return each.select("id", F.col("p.h").alias("h"), F.col("p.pos").alias("pos"), (F.col("p.pos") - start).alias("before"), F.substring("t", start + 1, F.col("p.pos") - start + k + reach).alias("c"))
+    return each.select("id", F.col("p.h").alias("h"), (F.col("p.pos") - start).alias("before"), F.substring("t", start + 1, F.col("p.pos") - start + k + reach).alias("c")).distinct()
 
 
 def sharing_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", date: str | None = "fetched_at", length: int = 240, batches: int = 3) -> DataFrame:

@@ -310,6 +310,21 @@ def test_shared_spans(make, sentence):
     assert {r.doc_id: r.shared_chars for r in p10_spans.shared_amounts(table).collect()} == inside
 
 
+def test_a_list_of_like_clauses_is_quoted_from_its_middle(make, sentence):
+    docs = {}
+    for n in range(6):
+        fixed = sentence(40)[:200]
+        clauses = [fixed + sentence(9)[:40] for _ in range(9)]
+        docs |= {100 * n: "".join(clauses)} | {100 * n + i: sentence(8) + clauses[i] + sentence(8) for i in range(3, 6)}
+    fixed = sentence(40)[:200]
+    docs |= {20: "".join((fixed + "uvwxyz" * 7)[:239] for _ in range(9)), 21: "ab" * 400, 22: "x" * 900, 23: sentence(8) + ("-" * 130 + sentence(9)[:20]) * 5, 24: sentence(8)}
+    docs |= {25: docs[23][-300:], 26: docs[20][500:800] + sentence(8), 27: "ba" * 130, 28: "x" * 240}
+    pairs, _ = shared(docs, 240)
+    assert {(100 * n, 100 * n + i) for n in range(6) for i in range(3, 6)} <= pairs
+    table = make(DOCUMENTS, [{"doc_id": i, "text": t} for i, t in docs.items()])
+    assert {tuple(r) for r in p10_spans.sharing_pairs(table).collect()} == pairs
+
+
 def test_every_long_match_keeps_a_common_window(sentence):
     rng = random.Random(4)
     for _ in range(30):
