@@ -3,8 +3,10 @@
 Lines are normalised (case, blanks, the page's own key and host masked, free-standing numbers masked, codes
 kept). For every host, in blocks of bounded size, the token streams of its pages are concatenated and a
 suffix array is built; runs that start at a line's beginning, cover the whole line and are repeated in
-pages of different keys are boilerplate candidates. Candidates from all hosts are put together and counted
-exactly over the whole table: a run is boilerplate when it stands in pages of at least ``least_keys`` keys.
+pages of different keys are boilerplate candidates. Lines whose keys lie in different blocks of a host are
+added by a count over the whole host, so the blocks do not show in the result. Candidates from all hosts are
+put together and counted exactly over the whole table: a run is boilerplate when it stands in pages of at
+least ``least_keys`` keys.
 
 Lines of several separated runs, all of them known, are covered too. Lines that repeat in part only, like the entries of side boxes, are found by what frames them: beginnings
 and endings of up to three words (codes masked too) that stand in pages of ``least_keys`` keys and never
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,7 @@ CODE = r"(?<![\p{L}\p{N}])\p{L}{1,4}(-\d+)+(/\d+)?"
 NUMBER = r"(?<![\p{L}\p{N}-])\d[\d.,/:-]*"
 FRAME_WORDS = 3
 MENU = r"\s*[|>»·/•]\s*|\s+[-–—]\s+"
+LEAST_WORDS = 3  # of a last line that breaks off
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, host: str, key: str) -> DataFrame:
@@ -49,6 +52,19 @@ def _lines(df: DataFrame, id_col: str, text_col: str, host: str, key: str) -> Da
     return each.select("id", "host", "key", (F.col("at") + 1).alias("line_no"), (F.col("at") + 1 == F.col("n")).alias("last"), m.alias("m")).where("m <> ''")
 
 
+def _spaced(m: Column) -> Column:
+    """The words and signs of a line with one blank between, as ``repeated_runs`` compares them."""
+    return F.trim(F.regexp_replace(F.regexp_replace(m, r"([^\p{L}\p{N}\s¤-])", " $1 "), r"\s+", " "))
+
+
+def _broken_lines(web: DataFrame, known: DataFrame) -> DataFrame:
+    """id and line_no of last lines whose words but the last begin a line of ``known`` (host, m) that is not shorter."""
+    words = lambda lines: lines.withColumn("p", F.split(_spaced(F.col("m")), " ")).where(F.size("p") >= LEAST_WORDS)
+    beginning = lambda n: F.xxhash64(F.array_join(F.slice("p", 1, n), " "))
+    begun = words(known).select("host", F.explode(F.transform(F.sequence(F.lit(LEAST_WORDS - 1), F.size("p") - 1), beginning)).alias("f")).distinct()
+    return words(web.where("last")).withColumn("f", beginning(F.size("p") - 1)).join(begun, ["host", "f"], "left_semi").select("id", "line_no")
+
+
 def _common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common run of the suffixes at a and b, up to ``most``."""
     out = np.zeros(len(a), np.int64)
@@ -107,7 +123,7 @@ def repeated_runs(table: pa.Table) -> pa.Table:
     # Last lines that break off: their words but the last, as the beginning of a neighbour's longer line.
     found = []
     for step, x, y in ((1, lines[:-1], lines[1:]), (-1, lines[1:], lines[:-1])):
-        ok = last[x] & (size[x] >= 3) & (common >= size[x] - 1) & (common <= size[x]) & (size[y] >= size[x]) & (keys[group[1:] if step == 1 else group[:-1]] > 1)
+        ok = last[x] & (size[x] >= LEAST_WORDS) & (common >= size[x] - 1) & (common <= size[x]) & (size[y] >= size[x]) & (keys[group[1:] if step == 1 else group[:-1]] > 1)
         found.append(np.stack([h[y[ok]], ids[x[ok]], table.column("line_no").to_numpy()[x[ok]]], axis=1))
     cut = np.concatenate(found)
     return pa.table(
@@ -130,18 +146,22 @@ def page_lines(df: DataFrame, is_page, id_col: str = "row_id", text_col: str = "
     """
     condition = F.coalesce(F.expr(is_page) if isinstance(is_page, str) else is_page, F.lit(False))
     hashed = _lines(df.where(condition), id_col, text_col, host, key).withColumn("h", F.xxhash64("m"))
-    web = materialize(hashed.select(F.col("id").cast("long").alias("id"), "host", "key", "line_no", "last", "m", "h"), "p2-lines")
+    web = materialize(hashed.select(F.col("id").cast("long").alias("id"), "host", "key", "line_no", "last", "m", "h", F.xxhash64(_spaced(F.col("m"))).alias("w")), "p2-lines")
 
     # Blocks of a host are of bounded size, so a host with a third of all pages is many groups.
     blocks = web.groupBy("host").agg(F.ceil(F.sum(F.length("m")) / BLOCK_CHARS).cast("int").alias("blocks"))
     blocked = web.join(blocks, "host").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     runs = materialize(blocked.select("host", "block", "id", "key", "line_no", "last", "m", "h").groupBy("host", "block").applyInArrow(lambda k, t: repeated_runs(t), RUNS), "p2-runs")
 
-    candidates = runs.select("h").distinct()
+    # Two keys of a line may lie in two blocks: counted over the whole host.
+    site = materialize(web.select("host", "w", "key").distinct().groupBy("host", "w").count().where("count > 1").select("host", "w"), "p2-site")
+    hosted = web.join(site, ["host", "w"], "left_semi")
+    candidates = runs.select("h").unionByName(hosted.select("h")).distinct()
     keys = web.join(candidates, "h", "left_semi").select("h", "key").distinct().groupBy("h").count()
     boilerplate = materialize(keys.where(F.col("count") >= least_keys).select("h"), "p2-boilerplate")
     whole = web.join(boilerplate, "h", "left_semi").select("id", "line_no")
     broken = runs.where("id IS NOT NULL").join(boilerplate, "h", "left_semi").select("id", "line_no")
+    broken = broken.unionByName(_broken_lines(web, hosted.join(boilerplate, "h", "left_semi").select("host", "m").distinct()))
     sure = materialize(whole.unionByName(broken).distinct(), "p2-sure")
 
     # Menus in an order of their own: lines of at least three separated runs, each of them known from boilerplate.

@@ -71,6 +71,17 @@ def test_page_lines_in_blocks_of_a_host(make, monkeypatch):
     assert {(k, i) for k in range(30) for i in (1, 3)} <= found
 
 
+def test_page_lines_do_not_depend_on_the_blocks(make, monkeypatch):
+    line = "Consulte la guía oficial de trámites aquí"
+    rows = [{"row_id": k, "text": f"zz{k} texto{k} propio{k}\n{line}\nqq{k} final{k} ww{k}", "agency": "S", "norm_id": f"n-{k}", "variant": "web"} for k in range(4)]
+    rows += [{"row_id": 4, "text": "kk4 texto4 propio4\nConsulte la guía oficial de trám", "agency": "S", "norm_id": "n-4", "variant": "web"}]
+    # The frames of the line stand in a rendering that is no page, so only the line as a whole shows.
+    rows += [{"row_id": 5, "text": "Consulte la guía propia\notros de trámites aquí", "agency": "S", "norm_id": "n-9", "variant": "pdf"}]
+    for size in (4_000_000, 1):
+        monkeypatch.setattr(p2_pages, "BLOCK_CHARS", size)
+        assert {tuple(r) for r in p2_pages.page_lines(make(CHUNKS, rows), "variant = 'web'").collect()} == {(k, 2) for k in range(5)}
+
+
 # 3
 
 PAIRS = [
