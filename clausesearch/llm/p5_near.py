@@ -17,8 +17,9 @@ threshold. The join is exact and never compares all texts:
   verified on the whole texts.
 
 Defined cases: null texts and texts with fewer than ``width`` words have no shingle and no partner;
-equal texts are members of one class and link to the same partners; a pair of texts with the same
-words equally often is a copy, not a pair; an empty table gives an empty result.
+equal texts are members of one class and link to the same partners; for ``near_pairs`` a pair of texts
+with the same words equally often is a copy, not a pair, while ``near_groups`` links such texts if they are
+similar; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -329,9 +330,10 @@ def _verify(width, num, den, schema):
     return run
 
 
-def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), hot: int = HOT, reordered: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): similar pairs (rep_a, rep_b, similarity) of class representatives, and (rep, id) of all rows with shingles.
 
+    Without ``reordered``, no pairs of texts with the same words equally often.
     ``threshold`` is a fraction (numerator, denominator) from 3/5 to 1; below that, small sets would
     not share enough shingles for the two schemes of keys to cover every pair.
     """
@@ -357,7 +359,9 @@ def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     sets = [sketched.where("rid IS NOT NULL").select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("s").alias(f"s_{s}")) for s in "ab"]
     candidates = materialize(candidates.join(sets[0], "a").join(sets[1], "b").mapInArrow(_reach(num, den), "a long, b long"), "p5-candidates")
     sides = [texts.select(F.col("rid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "b1", "b2", "t"))) for s in "ab"]
-    joined = candidates.join(sides[0], "a").join(sides[1], "b").where("NOT (b1_a = b1_b AND b2_a = b2_b)")
+    joined = candidates.join(sides[0], "a").join(sides[1], "b")
+    if not reordered:
+        joined = joined.where("NOT (b1_a = b1_b AND b2_a = b2_b)")
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("rep_a", id_type), T.StructField("rep_b", id_type), T.StructField("similarity", T.DoubleType())])
     pairs = joined.select("rep_a", "rep_b", "t_a", "t_b").mapInArrow(_verify(width, num, den, schema), schema)
@@ -365,8 +369,8 @@ def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
 
 
 def near_pairs(df: DataFrame, id_col: str = "row_id", **options) -> DataFrame:
-    """(a, b), a < b: all similar pairs of rows, copies expanded."""
-    pairs, members = near_classes(df, id_col, **options)
+    """(a, b), a < b: all similar pairs of rows that differ in their words, copies expanded."""
+    pairs, members = near_classes(df, id_col, reordered=False, **options)
     one, two = (members.select(F.col("rep").alias(f"rep_{s}"), F.col(id_col).alias(s)) for s in ("x", "y"))
     out = pairs.join(one, F.col("rep_a") == F.col("rep_x")).join(two, F.col("rep_b") == F.col("rep_y"))
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -203,6 +203,14 @@ def test_near_groups(make, sentence):
     assert got == {0: (0, 2), 1: (0, 2), 2: (0, 2), 3: (3, 0), 4: (0, 2)}
 
 
+def test_near_groups_link_reordered_texts(make, sentence):
+    lines = [sentence(40), sentence(40), sentence(40)]
+    texts = ["\n".join(lines), "\n".join(lines[i] for i in (1, 2, 0)), sentence(80)]
+    table = make(CHUNKS, [{"row_id": i, "text": t} for i, t in enumerate(texts)])
+    assert {r.row_id: (r.group, r.n_links) for r in p5_near.near_groups(table).collect()} == {0: (0, 1), 1: (0, 1), 2: (2, 0)}
+    assert p5_near.near_pairs(table).collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in p5_near.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
