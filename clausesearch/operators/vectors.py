@@ -45,11 +45,12 @@ def _best(table: pa.Table, k: int) -> pa.Table:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 256):
         score = np.minimum(queries[at : at + 256] @ rows.T, 1.0)
-        take = min(4 * k, len(rows))
-        part = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < len(rows) else np.broadcast_to(np.arange(len(rows)), score.shape)
-        top = np.take_along_axis(score, part, 1)
-        order = np.lexsort((ids[part], -np.round(top, 9)), axis=1)[:, :k]
-        out.append((np.repeat(qids[at : at + 256], order.shape[1]), ids[np.take_along_axis(part, order, 1)].ravel(), np.take_along_axis(top, order, 1).ravel()))
+        for qid, own in zip(qids[at : at + 256], score, strict=True):
+            # Every row that can tie with the k-th best, however many there are.
+            least = np.partition(own, len(own) - k)[len(own) - k] - 1e-9 if k < len(own) else -np.inf
+            part = np.flatnonzero(own >= least)
+            part = part[np.lexsort((ids[part], -np.round(own[part], 9)))[:k]]
+            out.append((np.full(len(part), qid), ids[part], own[part]))
     q, i, s = (np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3))
     return pa.table({"qid": pa.array(q.astype(np.int64)), "id": pa.array(i.astype(np.int64)), "score": pa.array(np.round(s.astype(np.float64), 9))})
 

@@ -80,6 +80,13 @@ def test_dense(spark, embedded):
     assert vectors.dense_topk(embedded.limit(0), queries).collect() == []
 
 
+def test_dense_with_more_ties_than_candidates(spark):
+    rows = [(i, "AR", [1.0, 1.0, 0.0, 0.0] if i % 3 else [0.0, 1.0, 0.0, float(i)]) for i in range(600, 0, -1)]
+    df = spark.createDataFrame(rows, "row_id long, country string, embedding array<float>")
+    queries = spark.createDataFrame([(7, [1.0, 0.5, 0.0, 0.0])], "qid long, qvec array<float>")
+    assert [r.id for r in vectors.dense_topk(df, queries, 5).orderBy("rank").collect()] == [1, 2, 4, 5, 7]
+
+
 def test_partitioned_index(spark, embedded):
     queries = spark.createDataFrame([(7, [1.0, 0.1, 0.0, 0.0])], "qid long, qvec array<float>")
     index = vectors.IvfIndex(embedded, lists=2)
