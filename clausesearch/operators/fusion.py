@@ -31,14 +31,14 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = K, limit: int | N
     return top_k(fused.withColumn("score", F.round("score", 12)), limit or 2**31 - 1)
 
 
-def search_hybrid(df: DataFrame, queries: DataFrame, limit: int = 10, factor: int = POOL, k: int = K, country: str | None = None, config: str = "simple", id_col: str = "row_id") -> DataFrame:
+def search_hybrid(df: DataFrame, queries: DataFrame, limit: int = 10, factor: int = POOL, k: int = K, country: str | None = None, config: str = "simple", id_col: str = "row_id", mode: str = "and") -> DataFrame:
     """qid, id, score, rank of queries (qid, qtext, qvec): dense and lexical pools fused; the fused score replaces theirs.
 
     A blank text leaves the dense pool alone; a query without a usable vector leaves the lexical one.
     """
     pool = max(limit * factor, limit)
     dense = dense_topk(df, queries, pool, country, id_col)
-    lexical = search_lexical(df, queries, pool, country, config, id_col=id_col)
+    lexical = search_lexical(df, queries, pool, country, config, mode, id_col)
     return reciprocal_rank_fusion([dense, lexical], k, limit)
 
 

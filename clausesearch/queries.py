@@ -215,6 +215,15 @@ def golden_queries(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "golden_questions").where(F.col("pair_id") % 20 == 0).select(F.col("pair_id").alias("qid"), codes.alias("qtext"))
 
 
+QUESTION_Q = "SELECT pair_id AS qid, question AS qtext FROM golden_questions WHERE pair_id % 20 = 0"
+
+
+def question_queries(spark, sf_dir) -> DataFrame:
+    """The whole questions. No model of the chunks' vectors is at hand, so they have no vector."""
+    asked = read_table(spark, sf_dir, "golden_questions").where(F.col("pair_id") % 20 == 0)
+    return asked.select(F.col("pair_id").alias("qid"), F.col("question").alias("qtext"), F.lit(None).cast("array<float>").alias("qvec"))
+
+
 _HITS = "SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM lexical"
 
 
@@ -315,11 +324,34 @@ def answer_contexts(spark, sf_dir):
     return answering.format_contexts(fusion.attach(hits, chunks), asked)
 
 
+@query(f"WITH {_lexical_sql(QUESTION_Q, 10, 'or')} {_HITS}")
+def question_rank_or(spark, sf_dir):
+    """Whole questions, any of their words."""
+    hits = fulltext.search_lexical(read_table(spark, sf_dir, "chunks"), question_queries(spark, sf_dir), mode="or")
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query()
+def question_contexts(spark, sf_dir):
+    """Whole questions through hybrid search, eight hits each."""
+    chunks, asked = read_table(spark, sf_dir, "chunks"), question_queries(spark, sf_dir)
+    return answering.format_contexts(fusion.attach(fusion.search_hybrid(chunks, asked, 8, mode="or"), chunks), asked)
+
+
+@query()
+def question_citations_unsupported(spark, sf_dir):
+    """Citations in none of the ten best hits of the whole question."""
+    chunks = read_table(spark, sf_dir, "chunks")
+    hits = fusion.attach(fusion.search_hybrid(chunks, question_queries(spark, sf_dir), mode="or"), chunks)
+    given = read_table(spark, sf_dir, "golden_questions").where(F.col("pair_id") % 20 == 0).select(F.col("pair_id").alias("qid"), "citations")
+    return answering.unsupported_citations(given, hits)
+
+
 @query()
 def answers(spark, sf_dir):
     """The whole path with the offline model."""
     asked = read_table(spark, sf_dir, "golden_questions").where(F.col("pair_id") % 20 == 0).select(F.col("pair_id").alias("qid"), "question")
-    return answering.answer_questions(asked, answer_contexts(spark, sf_dir))
+    return answering.answer_questions(asked, question_contexts(spark, sf_dir))
 
 
 _CITED = "SELECT pair_id, unnest(citations) AS c, generate_subscripts(citations, 1) - 1 AS place FROM golden_questions"

@@ -116,6 +116,20 @@ def test_hybrid(spark):
     assert [(r.qid, r.id) for r in got] == [(0, 1), (0, 3), (1, 3), (1, 2)] and got[0].score == pytest.approx(2 / 61)
 
 
+def test_a_question_without_a_code_has_a_context(spark, tmp_path):
+    from clausesearch import queries
+
+    chunks = [(i, f"c{i}", f"el importador verificará la bota {i}", "AR", "A", "n", "web", 2020, str(i), [1.0, float(i)]) for i in range(12)]
+    schema = "row_id long, chunk_id string, text string, country string, agency string, norm_id string, variant string, year int, article string, embedding array<float>"
+    spark.createDataFrame(chunks, schema).write.parquet(f"{tmp_path}/chunks.parquet")
+    golden = [(20, "¿Quién verificará la bota 7?", [("AR", "n", "7")]), (40, "¿?", [("AR", "n", "1")])]
+    spark.createDataFrame(golden, "pair_id long, question string, citations array<struct<country:string,norm_id:string,article:string>>").write.parquet(f"{tmp_path}/golden_questions.parquet")
+    got = {r.qid: r.context for r in queries.question_contexts(spark, str(tmp_path)).collect()}
+    assert got[20].count("<fragmento") == 8 and 'articulo="7"' in got[20].split("\n")[0] and got[40] == "(sin resultados)"
+    assert [r.qid for r in queries.question_citations_unsupported(spark, str(tmp_path)).collect()] == [40]
+    assert {r.qid for r in queries.answers(spark, str(tmp_path)).collect()} == {20, 40}
+
+
 def test_recall(spark):
     df = spark.createDataFrame([(1, "código AB-1234 aquí"), (2, "nada"), (3, "AB-1234 y ZZ-9")], "row_id long, text string")
     probes = spark.createDataFrame([(0, "AB-1234"), (1, "ZZ-9"), (2, "QQ-1")], "qid long, needle string")
