@@ -1,21 +1,27 @@
 """Problem 2: the main body of web pages, without what the site shows around it.
 
 Lines are normalised (case, blanks, the page's own key and host masked, free-standing numbers masked, codes
-kept). For every host, in blocks of bounded size, the token streams of its pages are concatenated and a
-suffix array is built; runs that start at a line's beginning, cover the whole line and are repeated in
-pages of different keys are boilerplate candidates. Lines whose keys lie in different blocks of a host are
-added by a count over the whole host, so the blocks do not show in the result. Candidates from all hosts are
-put together and counted exactly over the whole table: a run is boilerplate when it stands in pages of at
-least ``least_keys`` keys.
-
-Lines of several separated runs, all of them known, are covered too. Lines that repeat in part only, like the entries of side boxes, are found by what frames them: beginnings
-and endings of up to three words (codes masked too) that stand in pages of ``least_keys`` keys and never
-in a rendering that is no web page. A page's last line that breaks off counts as the line it begins.
-
-Defined cases: null and empty texts have no lines; blank lines are never marked; a null host is a host of
-its own; a null key counts as a key of its own row; repeated rows are pages of one key and give each other
-no support; without any rendering that is no page, frames are judged on pages alone; an empty table gives
-an empty result.
+kept) and cut into words and signs. Runs are found in three steps, from pages alone; rows that are no pages
+are not looked at.
+
+* Whole lines and parts of menus. For every host, in blocks of bounded size, the token streams of its pages
+  are concatenated and a suffix array is built; its intervals whose common run covers a line, or a part of a
+  line of at least three separated parts, are the repeated runs. Each block sends every run with the number
+  of keys it stands under there. A key lies in one block (the parts of a key too large for a block are told
+  apart by their key), so the numbers add up exactly, whatever the blocks. A run belongs to the site when it
+  stands under ``least_keys`` keys, at least two of them of one host. A line of parts that all are such runs
+  is covered, and a page's last line that breaks off counts as the known line of its host that it begins.
+* Lists under a run. Entries of side boxes repeat only at their edges (up to ``FRAME_WORDS`` words, codes
+  masked). An edge run is an entry's when nearly all of its lines (``CLOSED``) stand in unbroken lists under
+  site lines that have lines with that edge directly below under ``least_keys`` keys each. A text's own
+  lines also begin pages and follow each other.
+* Lines of the footer, with the same edges, lie between site lines: nearly all are followed by one or end the
+  page, at least half are followed by one and a quarter come after one; at least ``FOOTER_LINES`` such lines are needed.
+  An edge run of either kind is kept as text when in more than a tenth of its pages nothing else would be left.
+
+Unique runs and everything else stay. Defined cases: null and empty texts have no lines; blank lines are never
+marked; a null host is a host of its own; a null key counts as a key of its own row; repeated rows are pages
+of one key and give each other no support; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,37 +41,35 @@ BLOCK_CHARS = 4_000_000
 CODE = r"(?<![\p{L}\p{N}])\p{L}{1,4}(-\d+)+(/\d+)?"
 NUMBER = r"(?<![\p{L}\p{N}-])\d[\d.,/:-]*"
 FRAME_WORDS = 3
-MENU = r"\s*[|>»·/•]\s*|\s+[-–—]\s+"
+MENU = r"\s*[|>»·/•]\s*|\s+[-–—]\s+|(?U)\s*\t\s*|(?U)\s{2,}"
+LEAST_PARTS = 3
 LEAST_WORDS = 3  # of a last line that breaks off
+CLOSED, FOOTER_LINES = 0.99, 24
+
+
+def _spaced(m: Column) -> Column:
+    """The words and signs of a line with one blank between."""
+    return F.trim(F.regexp_replace(F.regexp_replace(m, r"([^\p{L}\p{N}\s¤-])", " $1 "), r"(?U)\s+", " "))
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, host: str, key: str) -> DataFrame:
-    """id, host, key, line_no, last, m (normalised line) of every line that isn't blank."""
+    """id, host, key, line_no, last, m (words and signs), w (hash of m) and parts (hashes of a menu's parts) of every line that isn't blank."""
     cut = df.select(
         F.col(id_col).alias("id"), F.coalesce(F.lower(host), F.lit("")).alias("host"), F.coalesce(F.lower(key), F.concat(F.lit("#"), F.col(id_col).cast("string"))).alias("key"), F.split(text_col, "\n").alias("l")
     )
-    each = cut.select("id", "host", "key", F.size("l").alias("n"), F.posexplode("l").alias("at", "line"))
+    each = cut.select("id", "host", "key", F.size("l").alias("n"), F.posexplode("l").alias("at", "line")).where(~F.col("line").rlike(r"(?U)^[\s\x1c-\x1f]*$"))
     low = F.lower("line")
     low = F.when(F.length("host") > 0, F.replace(low, F.col("host"), F.lit("¤h"))).otherwise(low)
     low = F.regexp_replace(F.replace(low, F.col("key"), F.lit("¤k")), NUMBER, "0")
-    m = F.regexp_replace(F.regexp_replace(low, BLANKS, " "), "^ | $", "")
-    return each.select("id", "host", "key", (F.col("at") + 1).alias("line_no"), (F.col("at") + 1 == F.col("n")).alias("last"), m.alias("m")).where("m <> ''")
-
-
-def _spaced(m: Column) -> Column:
-    """The words and signs of a line with one blank between, as ``repeated_runs`` compares them."""
-    return F.trim(F.regexp_replace(F.regexp_replace(m, r"([^\p{L}\p{N}\s¤-])", " $1 "), r"\s+", " "))
+    low = F.regexp_replace(low, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    parts = F.filter(F.split("low", MENU), lambda x: x != "")
+    known = each.select("id", "host", "key", (F.col("at") + 1).alias("line_no"), (F.col("at") + 1 == F.col("n")).alias("last"), low.alias("low"))
+    known = known.withColumns({"m": _spaced(F.regexp_replace("low", BLANKS, " ")), "parts": parts})
+    hashed = F.when(F.size("parts") >= LEAST_PARTS, F.transform("parts", lambda x: F.struct(F.xxhash64(_spaced(x)).alias("w"), _spaced(x).alias("m"))))
+    return known.select("id", "host", "key", "line_no", "last", "m", F.xxhash64("m").alias("w"), hashed.alias("parts"))
 
 
-def _broken_lines(web: DataFrame, known: DataFrame) -> DataFrame:
-    """id and line_no of last lines whose words but the last begin a line of ``known`` (host, m) that is not shorter."""
-    words = lambda lines: lines.withColumn("p", F.split(_spaced(F.col("m")), " ")).where(F.size("p") >= LEAST_WORDS)
-    beginning = lambda n: F.xxhash64(F.array_join(F.slice("p", 1, n), " "))
-    begun = words(known).select("host", F.explode(F.transform(F.sequence(F.lit(LEAST_WORDS - 1), F.size("p") - 1), beginning)).alias("f")).distinct()
-    return words(web.where("last")).withColumn("f", beginning(F.size("p") - 1)).join(begun, ["host", "f"], "left_semi").select("id", "line_no")
-
-
-def _common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def _common_run(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common run of the suffixes at a and b, up to ``most``."""
     out = np.zeros(len(a), np.int64)
     active = np.arange(len(a))
@@ -78,106 +82,119 @@ def _common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np
     return out
 
 
-RUNS = T.StructType([T.StructField(c, t) for c, t in (("h", T.LongType()), ("id", T.LongType()), ("line_no", T.IntegerType()))])
+RUNS = T.StructType([T.StructField("host", T.StringType()), T.StructField("w", T.LongType()), T.StructField("keys", T.LongType()), T.StructField("part_of", T.StringType())])
 
 
-def repeated_runs(table: pa.Table) -> pa.Table:
-    """Runs of one host's pages that are repeated under different keys, by suffix array.
+def block_runs(table: pa.Table) -> pa.Table:
+    """host, w, keys, part_of: every run that covers a line or a menu's part, with its number of keys, by the block's suffix array.
 
-    Gives (h) of whole lines, and (h, id, line_no) for a last line that is only the beginning of line h.
+    ``part_of`` is the key of a block that holds but a part of one key.
     """
-    table = table.sort_by([("id", "ascending"), ("line_no", "ascending")])
-    empty = pa.table({"h": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "line_no": pa.array([], pa.int32())})
-    if table.num_rows < 2:
-        return empty
-    spaced = pc.replace_substring_regex(table.column("m").combine_chunks(), r"([^\pL\pN\s¤-])", r" \1 ")
-    lists = pc.split_pattern_regex(pc.utf8_trim_whitespace(spaced), r"\s+")
+    host, large = table.column("host")[0].as_py(), table.column("large")[0].as_py()
+    text, w = table.column("m").combine_chunks(), table.column("w").to_numpy()
+    key = table.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+    parts = table.column("parts").combine_chunks()
+    inner = parts.flatten()
+    of = np.repeat(np.arange(len(parts)), np.asarray(pc.fill_null(pc.list_value_length(parts), 0)))
+    text = pa.concat_arrays([text, inner.field("m")])
+    w, key = np.concatenate([w, inner.field("w").to_numpy()]), np.concatenate([key, key[of]]).astype(np.int64)
+    lists = pc.split_pattern(text, " ")
     flat, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
-    words = flat.indices.to_numpy().astype(np.int64) + 2
-    ids, last = table.column("id").to_numpy(), table.column("last").to_numpy(zero_copy_only=False)
-    page = np.cumsum(np.concatenate([[True], ids[1:] != ids[:-1]])) - 1
-    key = table.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
-    # The stream: each line's words, a line mark (1), and after each page a symbol of its own.
-    final = np.append(page[1:] != page[:-1], True)
-    length = np.diff(offsets) + 1 + final
-    start = np.cumsum(length) - length
-    s = np.ones(length.sum(), np.int64)
-    s[np.repeat(start - offsets[:-1], np.diff(offsets)) + np.arange(len(words))] = words
-    own = len(flat.dictionary) + 2 + np.arange(final.sum())
-    s[(start + length - 1)[final]] = own
-    bits = int(s.max()).bit_length()
-    order = suffix_array(s, bits)
+    words, size = flat.indices.to_numpy().astype(np.int64) + 2, np.diff(offsets)
+    # The stream: the words of each unit, then a mark.
+    start = offsets[:-1] + np.arange(len(size))
+    s = np.ones(len(words) + len(size), np.int64)
+    s[np.repeat(start - offsets[:-1], size) + np.arange(len(words))] = words
+    order = suffix_array(s, int(s.max()).bit_length())
     rank = np.empty(len(s), np.int64)
     rank[order] = np.arange(len(s))
-    lines = np.argsort(rank[start])  # line beginnings in suffix order
-    a, b = start[lines[:-1]], start[lines[1:]]
-    size = np.diff(offsets)
-    common = _common_prefix(s, a, b, int(size.max()) + 1)
-    # Equal lines stand next to each other: a new group begins where the run does not cover the line and its mark.
-    group = np.concatenate([[0], np.cumsum(common < size[lines[1:]] + 1)])
-    pairs = np.unique(np.stack([group, key[lines].astype(np.int64)], axis=1), axis=0)
-    keys = np.bincount(pairs[:, 0], minlength=group[-1] + 1)
-    h = table.column("h").to_numpy()
-    whole = np.unique(h[lines[keys[group] > 1]])
-    # Last lines that break off: their words but the last, as the beginning of a neighbour's longer line.
-    found = []
-    for step, x, y in ((1, lines[:-1], lines[1:]), (-1, lines[1:], lines[:-1])):
-        ok = last[x] & (size[x] >= LEAST_WORDS) & (common >= size[x] - 1) & (common <= size[x]) & (size[y] >= size[x]) & (keys[group[1:] if step == 1 else group[:-1]] > 1)
-        found.append(np.stack([h[y[ok]], ids[x[ok]], table.column("line_no").to_numpy()[x[ok]]], axis=1))
-    cut = np.concatenate(found)
-    return pa.table(
-        {"h": pa.array(np.concatenate([whole, cut[:, 0]])), "id": pa.concat_arrays([pa.nulls(len(whole), pa.int64()), pa.array(cut[:, 1])]), "line_no": pa.concat_arrays([pa.nulls(len(whole), pa.int32()), pa.array(cut[:, 2].astype(np.int32))])}
-    )
+    units = np.argsort(rank[start])  # beginnings of units in suffix order: equal units stand together
+    common = _common_run(s, start[units[:-1]], start[units[1:]], int(size.max()) + 1)
+    group = np.concatenate([[0], np.cumsum(common < size[units[1:]] + 1)])
+    pairs = np.unique(group * (int(key.max()) + 1) + key[units]) // (int(key.max()) + 1)
+    keys = np.bincount(pairs, minlength=group[-1] + 1)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    n = len(first)
+    return pa.table([pa.array([host] * n, pa.string()), pa.array(w[units[first]]), pa.array(keys.astype(np.int64)), pa.array([large] * n, pa.string())], names=RUNS.names)
+
+
+def _broken_lines(web: DataFrame, known: DataFrame) -> DataFrame:
+    """id and line_no of last lines whose words but the last begin a line of ``known`` (host, m) that is not shorter."""
+    words = lambda lines: lines.withColumn("p", F.split("m", " ")).where(F.size("p") >= LEAST_WORDS)
+    beginning = lambda n: F.xxhash64(F.array_join(F.slice("p", 1, n), " "))
+    begun = words(known).select("host", F.explode(F.transform(F.sequence(F.lit(LEAST_WORDS - 1), F.size("p") - 1), beginning)).alias("f")).distinct()
+    return words(web.where("last")).withColumn("f", beginning(F.size("p") - 1)).join(begun, ["host", "f"], "left_semi").select("id", "line_no")
 
 
-def _frames(lines: DataFrame) -> DataFrame:
-    """id, key, line_no and f: a hash of each beginning and ending of one to three words, codes masked."""
-    m = F.regexp_replace("m", CODE, "¤c")
-    # A short line has no ending apart from its beginning.
-    ends = [F.xxhash64(F.lit(sign * k), F.substring_index("x", " ", sign * k)) for k in range(1, FRAME_WORDS + 1) for sign in (1, -1)]
-    return lines.withColumn("x", m).select("id", "key", "line_no", F.explode(F.array(*ends)).alias("f"))
+def _blocked(web: DataFrame) -> DataFrame:
+    """The lines with their host's block; ``large`` names the key that has the block to itself."""
+    sizes = web.groupBy("host", "key").agg(F.sum(F.length("m")).alias("n"))
+    large = sizes.where(F.col("n") > BLOCK_CHARS).select("host", "key", F.ceil(F.col("n") / BLOCK_CHARS).cast("int").alias("pieces"))
+    hosts = sizes.where(F.col("n") <= BLOCK_CHARS).groupBy("host").agg(F.ceil(F.sum("n") / BLOCK_CHARS).cast("int").alias("blocks"))
+    placed = web.join(hosts, "host", "left").join(large, ["host", "key"], "left")
+    block = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("pieces")))
+    return placed.select("host", "key", "m", "w", "parts", block.alias("block"), F.when(F.col("pieces").isNotNull(), F.col("key")).alias("large"))
+
+
+def _edges(m: Column) -> Column:
+    """Hashes of each beginning and ending of one to three words and signs, codes masked."""
+    return F.array(*(F.xxhash64(F.lit(sign * k), F.substring_index(m, " ", sign * k)) for k in range(1, FRAME_WORDS + 1) for sign in (1, -1)))
+
+
+def _entries(lines: DataFrame, least_keys: int) -> DataFrame:
+    """id, line_no of the lines that are not site runs as a whole (id, key, line_no, w, f, sure) but belong to boxes and footers."""
+    page = Window.partitionBy("id").orderBy("line_no")
+    before = page.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumns({
+        "head": F.last(F.when(F.col("sure"), F.col("w")), ignorenulls=True).over(before), "list": F.sum(F.col("sure").cast("int")).over(page),
+        "below": F.coalesce(F.lag("sure").over(page), F.lit(False)), "above": F.lead("sure").over(page),
+    })
+    own = materialize(placed.where("NOT sure").select("id", "key", "line_no", "list", "head", "below", "above", F.array_distinct("f").alias("f")), "p2-own")
+    edges = own.select("id", "key", "line_no", "list", "head", "below", "above", F.explode("f").alias("f"))
+    heads = edges.where("below").select("head", "f", "key").distinct().groupBy("head", "f").count().where(F.col("count") >= least_keys).select("head", "f")
+    under = materialize(edges.join(heads, ["head", "f"], "left_semi").select("id", "line_no", "f"), "p2-under")
+    # A list breaks at the first line that has no such edge.
+    listed = own.select("id", "line_no", "list").join(under.select("id", "line_no", F.lit(1).alias("ok")).distinct(), ["id", "line_no"], "left")
+    whole = F.min(F.coalesce("ok", F.lit(0))).over(Window.partitionBy("id", "list").orderBy("line_no"))
+    unbroken = listed.withColumn("whole", whole).where("whole = 1").select("id", "line_no")
+    explained = under.join(unbroken, ["id", "line_no"], "left_semi")
+    per_key = edges.groupBy("f", "key").agg(F.count("*").alias("n"), F.count_if("above").alias("above"), F.count_if(F.col("above").isNull()).alias("end"), F.count_if("below").alias("below"))
+    total = per_key.groupBy("f").agg(F.count("*").alias("keys"), *(F.sum(c).alias(c) for c in ("n", "above", "end", "below"))).where(F.col("keys") >= least_keys)
+    lists = explained.groupBy("f").agg(F.count("*").alias("e")).join(total, "f").where(F.col("e") >= CLOSED * F.col("n")).select("f")
+    footer = (F.col("above") + F.col("end") >= CLOSED * F.col("n")) & (F.col("above") * 2 >= F.col("n")) & (F.col("below") * 4 >= F.col("n")) & (F.col("n") >= FOOTER_LINES)
+    chosen = explained.join(lists, "f", "left_semi").unionByName(edges.join(total.where(footer).select("f"), "f", "left_semi").select("id", "line_no", "f"))
+    chosen = materialize(chosen, "p2-chosen")
+    # What would be left of each page, and so of the pages of each edge.
+    marked = chosen.select("id", "line_no").distinct().groupBy("id").agg(F.count("*").alias("gone"))
+    left = own.groupBy("id").agg(F.count("*").alias("all")).join(marked, "id").select("id", (F.col("all") > F.col("gone")).cast("int").alias("left"))
+    sound = chosen.select("id", "f").distinct().join(left, "id").groupBy("f").agg(F.avg("left").alias("left")).where("left >= 0.9").select("f")
+    return chosen.join(sound, "f", "left_semi").select("id", "line_no")
 
 
 def page_lines(df: DataFrame, is_page, id_col: str = "row_id", text_col: str = "text", host: str = "agency", key: str = "norm_id", least_keys: int = 4) -> DataFrame:
     """(id, line_no) of every line of a page that belongs to the site and not to the text. Ids are whole numbers.
 
-    ``is_page``: the condition that a row is a web page; other rows serve as contrast.
+    ``is_page``: the condition that a row is a web page; other rows take no part.
     """
     condition = F.coalesce(F.expr(is_page) if isinstance(is_page, str) else is_page, F.lit(False))
-    hashed = _lines(df.where(condition), id_col, text_col, host, key).withColumn("h", F.xxhash64("m"))
-    web = materialize(hashed.select(F.col("id").cast("long").alias("id"), "host", "key", "line_no", "last", "m", "h", F.xxhash64(_spaced(F.col("m"))).alias("w")), "p2-lines")
-
-    # Blocks of a host are of bounded size, so a host with a third of all pages is many groups.
-    blocks = web.groupBy("host").agg(F.ceil(F.sum(F.length("m")) / BLOCK_CHARS).cast("int").alias("blocks"))
-    blocked = web.join(blocks, "host").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    runs = materialize(blocked.select("host", "block", "id", "key", "line_no", "last", "m", "h").groupBy("host", "block").applyInArrow(lambda k, t: repeated_runs(t), RUNS), "p2-runs")
-
-    # Two keys of a line may lie in two blocks: counted over the whole host.
-    site = materialize(web.select("host", "w", "key").distinct().groupBy("host", "w").count().where("count > 1").select("host", "w"), "p2-site")
-    hosted = web.join(site, ["host", "w"], "left_semi")
-    candidates = runs.select("h").unionByName(hosted.select("h")).distinct()
-    keys = web.join(candidates, "h", "left_semi").select("h", "key").distinct().groupBy("h").count()
-    boilerplate = materialize(keys.where(F.col("count") >= least_keys).select("h"), "p2-boilerplate")
-    whole = web.join(boilerplate, "h", "left_semi").select("id", "line_no")
-    broken = runs.where("id IS NOT NULL").join(boilerplate, "h", "left_semi").select("id", "line_no")
-    broken = broken.unionByName(_broken_lines(web, hosted.join(boilerplate, "h", "left_semi").select("host", "m").distinct()))
-    sure = materialize(whole.unionByName(broken).distinct(), "p2-sure")
-
-    # Menus in an order of their own: lines of at least three separated runs, each of them known from boilerplate.
-    parts = lambda lines: lines.select("id", "key", "line_no", F.split("m", MENU).alias("p")).where(F.size("p") >= 3)
-    known = parts(web.join(sure, ["id", "line_no"], "left_semi")).select(F.explode("p").alias("p")).unionByName(web.join(boilerplate, "h", "left_semi").select(F.col("m").alias("p"))).distinct()
-    menus = parts(web.join(sure, ["id", "line_no"], "left_anti")).withColumn("n", F.size("p"))
-    covered = menus.select("id", "line_no", "n", F.explode("p").alias("p")).join(known, "p", "left_semi").groupBy("id", "line_no", "n").count()
-    menu = covered.where("count = n").select("id", "line_no")
-
-    rest = web.join(sure, ["id", "line_no"], "left_anti").where(F.length("m") > 0)
-    frames = materialize(_frames(rest), "p2-frames")
-    common = frames.select("f", "key").distinct().groupBy("f").count().where(F.col("count") >= least_keys).select("f")
-    plain = _frames(_lines(df.where(~condition), id_col, text_col, host, key)).select("f").distinct()
-    only_pages = common.join(plain, "f", "left_anti")
-    framed = frames.join(only_pages, "f", "left_semi").select("id", "line_no")
-    return sure.unionByName(menu).unionByName(framed).distinct().select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("line_no").cast("int").alias("line_no"))
+    web = materialize(_lines(df.where(condition).withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, host, key), "p2-lines")
+
+    runs = _blocked(web).groupBy("host", "block", "large").applyInArrow(lambda k, t: block_runs(t), RUNS)
+    in_host = runs.groupBy("host", "w", "part_of").agg(F.when(F.col("part_of").isNull(), F.sum("keys")).otherwise(F.lit(1)).alias("keys")).groupBy("host", "w").agg(F.sum("keys").alias("keys"))
+    known = in_host.groupBy("w").agg(F.sum("keys").alias("keys"), F.max("keys").alias("most")).where((F.col("keys") >= least_keys) & (F.col("most") >= 2))
+    known = materialize(known.select("w"), "p2-runs")
+
+    found = materialize(web.join(known, "w", "left_semi").select("id", "host", "line_no", "m"), "p2-whole")
+    parts = web.where("parts IS NOT NULL").select("id", "line_no", F.size("parts").alias("n"), F.explode("parts.w").alias("w"))
+    menus = parts.join(known, "w", "left_semi").groupBy("id", "line_no", "n").count().where("count = n").select("id", "line_no")
+    broken = _broken_lines(web, found.select("host", "m").distinct())
+    sure = materialize(found.select("id", "line_no").unionByName(menus).unionByName(broken).distinct(), "p2-sure")
+
+    edges = _edges(_spaced(F.regexp_replace(F.regexp_replace("m", r" ?(/) ?", "$1"), CODE, "¤c")))
+    lines = web.select("id", "key", "line_no", "w", edges.alias("f")).join(sure.withColumn("s", F.lit(True)), ["id", "line_no"], "left").withColumn("sure", F.col("s").isNotNull()).drop("s")
+    every = sure.unionByName(_entries(lines, least_keys)).distinct()
+    return every.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("line_no").cast("int").alias("line_no"))
 
 
 def main_text(df: DataFrame, is_page, id_col: str = "row_id", text_col: str = "text", **options) -> DataFrame:

@@ -82,6 +82,42 @@ def test_page_lines_do_not_depend_on_the_blocks(make, monkeypatch):
         assert {tuple(r) for r in p2_pages.page_lines(make(CHUNKS, rows), "variant = 'web'").collect()} == {(k, 2) for k in range(5)}
 
 
+def made_site(seed=11, keys=60):
+    """Pages of one site with menus, side boxes, a footer line of neighbours and broken ends; (rows, page lines)."""
+    rng, rows, page = random.Random(seed), [], set()
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    items = ["Inicio", "Normas", "Contacto", "Prensa", "Agenda"]
+    boxes = ["Lo más leído", "También puede interesarle"]
+    entries = [lambda: f"Aviso ZZ-{rng.randrange(10_000, 99_999)} - {word()}", lambda: f"Leer más: {word()} {word()}", lambda: f"{word()} {word()}: nueva consulta QQ-{rng.randrange(10_000, 99_999)}"]
+    for k in range(keys):
+        own = [f"Producto: {word()} {word()} QX-{rng.randrange(10_000, 99_999)}", f"Artículo {k}.- {word()} {word()} {word()} del equipo {word()}", f"Que {word()} {word()} {word()}"]
+        own = own[: 1 + rng.randrange(3)]
+        head = [f"Usted está en: SITIO / Archivo / res-{k}", rng.choice([" | ", "  ", " > "]).join(rng.sample(items, 4))][: rng.randrange(3)]
+        box = [rng.choice(boxes), *(rng.choice(entries)() for _ in range(1 + rng.randrange(2)))] if rng.random() < 0.8 else []
+        foot = rng.sample(["Volver arriba", "© SITIO. Todos los derechos reservados.", f"« Anterior: {word()}  Siguiente: {word()} »"], rng.randrange(4))
+        lines = [*((x, True) for x in head), (own[0], False), *((x, True) for x in box), *((x, False) for x in own[1:]), *((x, True) for x in foot)]
+        rows.append({"row_id": k, "text": "\n".join(x for x, _ in lines), "agency": "SITIO", "norm_id": f"res-{k}", "variant": "web"})
+        page |= {(k, i) for i, (_, p) in enumerate(lines, 1) if p}
+        rows.append({"row_id": 1000 + k, "text": "\n".join(own), "agency": "SITIO", "norm_id": f"res-{k}", "variant": "pdf"})
+    return rows, page
+
+
+def test_pages_are_judged_by_pages_alone_whatever_the_blocks(make, monkeypatch):
+    rows, page = made_site()
+    found = []
+    for size, kept in ((4_000_000, rows), (4_000_000, [r for r in rows if r["variant"] == "web"]), (1_500, rows), (150, rows)):
+        monkeypatch.setattr(p2_pages, "BLOCK_CHARS", size)
+        found.append({tuple(r) for r in p2_pages.page_lines(make(CHUNKS, kept), "variant = 'web'").collect()})
+    assert found[0] == found[1] == found[2] == found[3]
+    assert not found[0] - page and len(found[0]) >= 0.9 * len(page)
+
+
+def test_pages_without_a_site_keep_their_text(make, sentence):
+    rows = [{"row_id": k, "text": f"Producto: {sentence(3)}\nExpediente: {sentence(2)} QX-{10_000 + k}\nQue {sentence(9)}", "agency": "S", "norm_id": f"n-{k}", "variant": "web"} for k in range(40)]
+    table = make(CHUNKS, rows)
+    assert p2_pages.page_lines(table, "variant = 'web'").collect() == []
+    assert {r.row_id: r.text for r in p2_pages.main_text(table, "variant = 'web'").collect()} == {r["row_id"]: r["text"] for r in rows}
+
 # 3
 
 PAIRS = [
