@@ -126,7 +126,7 @@ PAIRS = [
     ("¿Qué exige el artículo 3 sobre la bota?", "¿QUÉ EXIGE EL ARTÍCULO 3 SOBRE LA BOTA?", {"copy"}), ("¿Qué exige el artículo 3 sobre la bota?", "Respuesta: ¿Qué exige el artículo 3 sobre la bota?", {"copy"}),
     ("¿Qué exige el artículo 3 sobre la bota de la fábrica en el taller?", "The importer shall inspect the boots under penalty of a fine within the period set by law.", {"other_language"}),
     ("¿Qué exige el artículo 3 sobre la bota?", "Импортёр обязан проверить изделие до отправки со склада.", {"other_language"}),
-    ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes de la", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota (según", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota,", {"truncated"}), ("¿Quién responde?", "El importador y la autoridad del despacho", {"truncated"}),
+    ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes de la", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota (según", {"truncated"}), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota,", {"truncated"}), ("¿Quién responde?", "El importador y la autoridad del despacho", set()),
     ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes del despacho.", set()), ("¿Qué exige el artículo 3 sobre la bota?", "El importador verificará la bota antes del despacho", set()), ("¿Qué plazo fija?", "86 días hábiles", set()), ("¿Es obligatorio?", "No", set()),
     ("¿Qué exige el artículo 3 sobre la bota?", "La norma no contiene disposiciones sobre la bota.", set()), ('¿Qué rótulo lleva la bota en el envase del taller?', 'El rótulo en inglés "keep away from the heat and out of the reach of the children" se admite junto al español.', set()),
 ]
@@ -142,6 +142,18 @@ def test_defects(make):
     assert not any(found[1000 + i] for i in range(30))
 
 
+def test_endings_and_openers_are_learnt_from_the_answers(make):
+    stock = [f"Sobre la tela número {i}, quien teje avisa al taller. La tela azul llega al taller. Quien teje la tela roja {i} cobra" + (" antes." if i % 2 else ".") for i in range(40)]
+    odd = ["La tela azul llega al taller. Sobre la tela verde del taller", "La tela azul llega al taller. Quien teje la tela", "La tela azul llega al taller. Quien teje la tela verde cobra", "(a La tela azul llega al taller."]
+    rows = [{"pair_id": i, "question": "¿Qué dice la norma?", "expected_answer": a} for i, a in enumerate(stock + odd)]
+    assert {tuple(r) for r in p3_pairs.defective_pairs(make(GOLDEN, rows)).collect()} == {(40, "truncated"), (41, "truncated"), (43, "truncated")}
+
+
+def test_every_triggered_defect_is_emitted(make):
+    rows = [{"pair_id": 1, "question": "¿Qué exige el artículo 3 sobre la bota de la fábrica?", "expected_answer": "I cannot answer this question, as the rules of the manufacturer and (the"}, {"pair_id": 2, "question": "¿Qué exige el artículo 3 sobre la bota?", "expected_answer": "¿Qué exige el artículo 3 sobre la"}]
+    assert {tuple(r) for r in p3_pairs.defective_pairs(make(GOLDEN, rows)).collect()} == {(1, "refusal"), (1, "other_language"), (1, "truncated"), (2, "copy"), (2, "truncated")}
+
+
 # 4
 
 
