@@ -1,11 +1,12 @@
 """Problem 8: encoding a corpus with a public tokenizer through a table of distinct words.
 
 Spark splits every text into the tokenizer's words and counts them with map-side aggregation; each
-distinct word is encoded once. Ids are joined back by position: the ``hot_words`` most frequent words
-(a fixed number, so the broadcast has a proven bound) are looked up inside the task that holds the
-text, and only the remaining rare words travel, as (document, position, word) rows, through a
-shuffled join. That also takes the hot keys (" de", ",") out of the shuffle. Decoding joins ids to the
-vocabulary's pieces, whose number is fixed by the vocabulary.
+distinct word is encoded once. Ids are joined back by position: the most frequent words are looked up inside
+the task that holds the text, and only the remaining rare words travel, as (document, position, word) rows,
+through a shuffled join. That also takes the hot keys (" de", ",") out of the shuffle. The frequent words
+are those of at least some count, which a histogram of counts chooses so that at most ``hot_words`` words
+of at most ``HOT_CHARS`` characters are sent: a proven bound in rows and in bytes, and no sort of the words.
+Decoding joins ids to the vocabulary's pieces, whose number is fixed by the vocabulary.
 
 Defined cases: a null or an empty text gives an empty list; strings that look like special tokens are
 ordinary text; repeated ids are kept as separate rows; an empty table gives an empty result.
@@ -26,7 +27,8 @@ from clausesearch.runtime import materialize
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how byte-level BPE of this family cuts text into words.
-WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD = r"'(?:[stmd]|re|ve|ll)| ?(?:\p{L}++|\p{N}++|[^\t-\r\x85\p{Z}\p{L}\p{N}]++)|[\t-\r\x85\p{Z}]+(?![^\t-\r\x85\p{Z}])|[\t-\r\x85\p{Z}]+"
+HOT_CHARS = 64
 
 
 def split_text(text_col: str):
@@ -66,12 +68,25 @@ def _slices(batches, rows: int = 1_000):
     return (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows))
 
 
+def _hot(table: DataFrame, hot_words: int) -> pa.Table:
+    """word and ids of the most frequent words: whole steps of a histogram of counts (eight to each doubling), as many as fit."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    short = table.where(F.char_length("word") <= HOT_CHARS).withColumn("step", step)
+    least, total = None, 0
+    for row in sorted(short.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):  # at most 8 x 63 steps
+        total += row.words
+        if total > hot_words:
+            break
+        least = row.step
+    return short.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "ids").toArrow().combine_chunks()
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", hot_words: int = 1 << 18) -> DataFrame:
     """id and ``ids`` of every row."""
     spark = df.sparkSession
     counted = df.select(F.explode(split_text(text_col)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     table = materialize(encode_words(counted, vocabulary), "p8-words")
-    hot = table.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow().combine_chunks()
+    hot = _hot(table, hot_words)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, hot.schema) as writer:
         writer.write_table(hot)
@@ -83,24 +98,32 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat, at = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
         sizes = np.append(np.diff(at), 0)  # a word that isn't known has no ids here
+        at = np.append(at[:-1], 0)
         value_set = known["word"].combine_chunks()
-        for batch in _slices(batches):
-            words = batch.column("words")
-            offsets = words.offsets.to_numpy().astype(np.int64)
-            every = words.values.slice(offsets[0], offsets[-1] - offsets[0])
-            offsets -= offsets[0]
-            index = pc.fill_null(pc.index_in(every, value_set=value_set), len(sizes) - 1).to_numpy().astype(np.int64)
-            n = sizes[index]
-            before = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[_segments(np.append(at[:-1], 0), sizes, index)] if len(index) else np.zeros(0, np.int32)
-            rare = np.flatnonzero(index == len(sizes) - 1)
-            row = np.searchsorted(offsets, rare, side="right") - 1
-            place = before[rare] - before[offsets[row]]  # where its ids belong among the row's known ids
-            per_row = np.bincount(row, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), _lists(ids, np.diff(before[offsets]), pa.int32()), _lists(place, per_row, pa.int32()), _lists(every.take(pa.array(rare)), per_row, pa.string())],
-                names=[id_col, "ids", "place", "rare"],
-            )
+        for whole in batches:
+            words = whole.column("words")
+            starts = words.offsets.to_numpy().astype(np.int64)
+            distinct = words.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+            starts -= starts[0]
+            # Each distinct word of a batch is looked up once.
+            known_as = pc.fill_null(pc.index_in(distinct.dictionary, value_set=value_set), len(sizes) - 1).to_numpy().astype(np.int64)
+            every = distinct.indices.to_numpy()
+            for first in range(0, whole.num_rows, 1_000):
+                batch, offsets = whole.slice(first, 1_000), starts[first : first + 1_001]
+                own = every[offsets[0] : offsets[-1]]
+                offsets = offsets - offsets[0]
+                index = known_as[own]
+                n = sizes[index]
+                before = np.concatenate([[0], np.cumsum(n)])
+                ids = flat[_segments(at, sizes, index)] if len(index) else np.zeros(0, np.int32)
+                rare = np.flatnonzero(index == len(sizes) - 1)
+                row = np.searchsorted(offsets, rare, side="right") - 1
+                place = before[rare] - before[offsets[row]]  # where its ids belong among the row's known ids
+                per_row = np.bincount(row, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(id_col), _lists(ids, np.diff(before[offsets]), pa.int32()), _lists(place, per_row, pa.int32()), _lists(distinct.dictionary.take(pa.array(own[rare])), per_row, pa.string())],
+                    names=[id_col, "ids", "place", "rare"],
+                )
 
     id_type = df.schema[id_col].dataType
     ints = T.ArrayType(T.IntegerType())
@@ -139,8 +162,10 @@ def pieces(spark: SparkSession, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.js
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    """id and text of every row of ids; an empty list gives an empty text. Ids are taken as unique."""
-    each = df.select(id_col, F.posexplode("ids").alias("at", "id"))
-    found = each.join(F.broadcast(pieces(df.sparkSession, vocabulary)), "id")
-    joined = found.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("hex"))
-    return df.select(id_col).join(joined, id_col, "left").select(id_col, F.coalesce(F.decode(F.unhex("hex"), "UTF-8"), F.lit("")).alias("text"))
+    """id and text of every row of ids; an empty list gives an empty text, and rows of one id stay apart."""
+    rows = materialize(df.select(F.col(id_col).alias("key"), "ids").withColumn("row", F.monotonically_increasing_id()), "p8-ids")
+    # Lists travel whole; their ids are taken apart, joined and put together again where they are.
+    each = rows.repartition("row").select("key", "row", F.posexplode_outer("ids").alias("at", "id"))
+    found = each.join(F.broadcast(pieces(df.sparkSession, vocabulary)), "id", "left")
+    joined = found.groupBy("row").agg(F.first("key").alias("key"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("hex"))
+    return joined.select(F.col("key").alias(id_col), F.coalesce(F.decode(F.unhex("hex"), "UTF-8"), F.lit("")).alias("text"))
