@@ -9,16 +9,19 @@ scored exactly. The answers of a query's cells are merged.
 
 Fitted on samples (documented bounds): upper centres and codebooks on at most about ``SAMPLE`` vectors,
 lower centres on about ``PER_CELL`` vectors a cell, at most ``LOWER_SAMPLE`` for each upper cell; every vector
-is indexed. Centres are broadcast; at most ``MAX_CELLS`` of them exist, and cells that grow beyond ``BLOCK``
-queries are scanned by several tasks. Equal vectors form one class of which one enters the index.
+is indexed. Centres are broadcast; at most ``MAX_CELLS`` of them exist. A cell with more than ``BLOCK`` queries
+or stored vectors is scanned in blocks of both sides, each pair of blocks by a task of its own, and the
+answers of the blocks are merged like those of several cells. Equal vectors form one class of which one enters the index.
 
-Defined cases: null, all-zero and non-finite vectors and those of another length than most take no part; a
-row is not its own neighbour; among equal similarities smaller ids come first; fewer than k other vectors
-give fewer neighbours; an empty table gives an empty result.
+Defined cases: null, all-zero and non-finite vectors take no part; vectors of each length are a collection of
+their own; a row is not its own neighbour; among equal similarities smaller ids come first; fewer than k other
+vectors give fewer neighbours; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -179,12 +182,15 @@ def neighbours(df: DataFrame, id_col: str = "row_id", vector_col: str = "embeddi
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e18))
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(v.isNotNull() & F.exists(v, lambda x: x != 0) & finite)
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if most is None:
-        return spark.createDataFrame([], "id long, neighbour long, score double, place int")
-    dim = most.d
+    lengths = [r.d for r in rows.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
+    found = [_neighbours_of_length(rows.where(F.size("v") == d), d, k, probes, rerank) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "id long, neighbour long, score double, place int")
+
+
+def _neighbours_of_length(rows: DataFrame, dim: int, k: int, probes: int, rerank: int) -> DataFrame:
+    """The neighbours of rows (id, v) whose vectors all have ``dim`` values."""
+    spark = rows.sparkSession
     width = dim + -dim % 4
-    rows = rows.where(F.size("v") == dim)
 
     # Equal vectors: one class, of which the smallest id enters the index.
     keyed = rows.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
@@ -258,12 +264,15 @@ def neighbours(df: DataFrame, id_col: str = "row_id", vector_col: str = "embeddi
 
     routed = materialize(classes.select("rep", "v").mapInArrow(route, "id long, v binary, codes binary, cells array<int>"), "p4-routed")
     asked = routed.select("id", "v", F.explode(F.array_distinct(F.filter("cells", lambda c: c >= 0))).alias("cell"))
-    # Cells that many ask are scanned by several tasks, each with a block of the queries. There are at most MAX_CELLS cells.
-    load = routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > BLOCK)
-    load = F.broadcast(load.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    number = F.coalesce("blocks", F.lit(1))
-    stored = routed.select("id", "v", "codes", F.col("cells")[0].alias("cell")).join(load, "cell", "left").select("id", "v", "codes", "cell", F.explode(F.sequence(F.lit(0), number - 1)).alias("block"))
-    asking = asked.join(load, "cell", "left").select("id", "v", F.lit(None).cast("binary").alias("codes"), "cell", F.pmod(F.xxhash64("id"), number).cast("int").alias("block"))
+    # Blocks of the queries and of the stored vectors of crowded cells. There are at most MAX_CELLS cells.
+    pieces = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    load = routed.select(F.posexplode("cells").alias("at", "cell")).groupBy("cell").agg(F.count("*").alias("q"), F.count_if(F.col("at") == 0).alias("r"))
+    load = F.broadcast(load.where((F.col("q") > BLOCK) | (F.col("r") > BLOCK)).select("cell", pieces("q").alias("qb"), F.greatest(pieces("r"), F.lit(1)).alias("rb")))
+    qb, rb = (F.coalesce(c, F.lit(1)) for c in ("qb", "rb"))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    stored = routed.select("id", "v", "codes", F.col("cells")[0].alias("cell")).join(load, "cell", "left").select("id", "v", "codes", "cell", own(rb).alias("y"), every(qb).alias("x"))
+    asking = asked.join(load, "cell", "left").select("id", "v", F.lit(None).cast("binary").alias("codes"), "cell", own(qb).alias("x"), every(rb).alias("y"))
 
     def search(table: pa.Table) -> pa.Table:
         held = table.column("codes").is_valid().to_numpy()
@@ -277,7 +286,7 @@ def neighbours(df: DataFrame, id_col: str = "row_id", vector_col: str = "embeddi
         lists = (pa.ListArray.from_arrays(pa.array(offsets), pa.array(a.ravel()[ok])) for a in (found, scores))
         return pa.table([pa.array(q[::k]), *lists], names=["id", "found", "scores"])
 
-    answers = stored.unionByName(asking).groupBy("cell", "block").applyInArrow(search, "id long, found array<long>, scores array<float>")
+    answers = stored.unionByName(asking).groupBy("cell", "x", "y").applyInArrow(search, "id long, found array<long>, scores array<float>")
     zipped = F.transform(F.arrays_zip("found", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["found"].alias("i")))
     merged = answers.select("id", zipped.alias("z")).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("z")))), 1, k).alias("z"))
     links = materialize(merged.select("id", F.explode("z").alias("z")).select("id", F.col("z.i").alias("other"), (-F.col("z.s")).cast("double").alias("score")), "p4-links")

@@ -186,6 +186,29 @@ def test_crowded_cells_are_scanned_in_blocks(make, monkeypatch):
     assert all(got[i] == set(t) for i, t in nearest(x.astype(float), np.arange(400), 5).items())
 
 
+def test_a_dense_cell_is_split_on_both_sides(make, monkeypatch):
+    monkeypatch.setattr(p4_vectors, "BLOCK", 40)
+    monkeypatch.setattr(p4_vectors, "CELL", 10_000)
+    rng = np.random.default_rng(6)
+    x = (np.ones(8) + 0.05 * rng.normal(size=(300, 8))).astype(np.float32)
+    got = defaultdict(list)
+    for r in p4_vectors.neighbours(make(CHUNKS, [{"row_id": i, "embedding": [float(v) for v in r]} for i, r in enumerate(x)]), rerank=500).collect():
+        got[r.id].append((r.place, r.neighbour))
+    true = nearest(x.astype(float), np.arange(300), 5)
+    assert all(len(got[i]) == 5 and {n for _, n in got[i]} == set(t) for i, t in true.items())
+
+
+def test_vectors_of_each_length_are_a_collection(make):
+    rng = np.random.default_rng(7)
+    rows = [{"row_id": i, "embedding": [float(v) for v in rng.normal(size=4 if i % 3 else 6)]} for i in range(60)]
+    got = defaultdict(set)
+    for r in p4_vectors.neighbours(make(CHUNKS, rows), rerank=500).collect():
+        got[r.id].add(r.neighbour)
+    for chosen in ([i for i in range(60) if i % 3], [i for i in range(60) if not i % 3]):
+        true = nearest(np.array([rows[i]["embedding"] for i in chosen], np.float32).astype(float), np.array(chosen), 5)
+        assert all(got[i] == set(t) for i, t in true.items())
+
+
 def test_neighbours_of_equal_vectors(make):
     rows = [{"row_id": i, "embedding": [1.0, 0.5, 0.0, 2.0]} for i in range(300)] + [{"row_id": 900, "embedding": [0.0, 1.0, 0.0, 0.0]}]
     got = defaultdict(list)
@@ -239,6 +262,25 @@ def test_near_pairs_are_exact(make, sentence, monkeypatch, hot, width, num, den)
     assert len(got) == len(set(got)) and set(got) == similar(rows, width, num, den)
 
 
+def test_near_pairs_through_many_buckets_and_hot_keys(make, sentence, monkeypatch):
+    rng, rows = random.Random(8), {}
+    base = sentence(60).split()
+    for i in range(120):  # all texts share most of their shingles
+        edited = list(base)
+        for _ in range(rng.randrange(12)):
+            edited[rng.randrange(60)] = f"otro{rng.randrange(50)}"
+        rows[i] = " ".join(edited)
+    rows |= {200 + i: sentence(rng.randrange(5, 60)) for i in range(40)}
+    table = make(CHUNKS, [{"row_id": i, "text": t} for i, t in rows.items()])
+    want = similar(rows, 3, 3, 5)
+    for spread, together, places, hot in ((512, 2_000_000, 3_000_000, 20), (3, 50, 100, 4096), (2, 1, 30, 10)):
+        monkeypatch.setattr(p5_near, "SPREAD", spread)
+        monkeypatch.setattr(p5_near, "TOGETHER", together)
+        monkeypatch.setattr(p5_near, "PLACES", places)
+        got = [tuple(r) for r in p5_near.near_pairs(table, width=3, threshold=(3, 5), hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_pairs_reject_a_low_threshold(make):
     with pytest.raises(ValueError):
         p5_near.near_pairs(make(CHUNKS, []), threshold=(1, 2))
@@ -264,6 +306,12 @@ def test_components_of_a_long_chain(spark):
     assert {tuple(r) for r in p5_near.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        p5_near.components(edges, rounds=1)
+
+
 # 6
 
 
