@@ -9,10 +9,14 @@ threshold. The join is exact and never compares all texts:
   ``l``. A shared rare shingle is found through a single-token key. If none is rare, ``m + 1`` shared
   frequent shingles fall into ``m`` hash classes, so two lie in one class and are found through the
   key of that two-token combination; combinations across classes are never formed.
-* Keys are packed into one row per task and bucket, so the shuffle carries a few bytes a key. Inside a
+* Keys are packed into one row per slice of texts and bucket, so the shuffle carries a few bytes a key; where
+  there are more than ``SPREAD`` buckets, slices are packed by ranges of buckets, and each range is put
+  together and packed again, so the rows grow with the keys and not with slices times buckets. Inside a
   bucket, pairs of one key pass the length filter, the smaller text's shorter index prefix, and a
-  bound on the symmetric difference from ``BITS``-bit maps of the sets. A key shared by more than
-  ``hot`` texts is split into blocks, and pairs of blocks are compared by separate tasks.
+  bound on the symmetric difference from ``BITS``-bit maps of the sets.
+* A second sketch of the same size counts the combinations of shingles that are themselves frequent. A
+  combination shared by more than ``hot`` texts (the sketch never counts too few) goes into no bucket: its
+  texts are sent once with a block each, Spark forms the pairs of blocks, and each is compared by a task of its own.
 * What is left is compared by sets of 16-bit hashes, which never hide a shared shingle, and then
   verified on the whole texts.
 
@@ -41,6 +45,7 @@ RARE = 20
 HOT = 4096
 BITS = 512  # of the map of a set that goes with its keys
 PLACES = 3_000_000  # shingles whose keys go into one bucket
+SPREAD, TOGETHER = 512, 2_000_000  # buckets that a slice is packed into at once; keys that are packed again at once
 
 
 def _signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -77,9 +82,14 @@ def _distinct(offsets, flat, width):
     return row[new], grams[new]
 
 
+def _sketch_rows(total: np.ndarray, kind=np.uint16) -> list[pa.Array]:
+    """Block numbers and counts of a task's sketch, saturating at the greatest value of the kind."""
+    short = np.minimum(total, np.iinfo(kind).max).astype(kind).reshape(BLOCKS, -1)
+    return [pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in short], pa.binary())]
+
+
 def _sketch_and_sets(width: int):
     """One pass over the texts: rows of the task's count sketch, and the set of each text as 16-bit hashes."""
-    size = SLOTS // BLOCKS
 
     def run(batches):
         total = np.zeros(SLOTS, np.uint32)
@@ -94,27 +104,24 @@ def _sketch_and_sets(width: int):
                 sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(short.tobytes())])
                 none = pa.nulls
                 yield pa.RecordBatch.from_arrays([none(batch.num_rows, pa.int32()), none(batch.num_rows, pa.binary()), batch.column("rid"), pa.array(n.astype(np.int32)), sets], names=["block", "counts", "rid", "n", "s"])
-        total = np.minimum(total, 65535).astype(np.uint16)
-        counts = pa.array([total[i * size : (i + 1) * size].tobytes() for i in range(BLOCKS)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), counts, pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int32()), pa.nulls(BLOCKS, pa.binary())], names=["block", "counts", "rid", "n", "s"])
+        yield pa.RecordBatch.from_arrays([*_sketch_rows(total), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int32()), pa.nulls(BLOCKS, pa.binary())], names=["block", "counts", "rid", "n", "s"])
 
     return run
 
 
-def _merge_sketch(sketched: DataFrame) -> np.ndarray:
-    """Counts of all shingles in SLOTS slots, saturating at 65535; its size does not depend on the data."""
-    size = SLOTS // BLOCKS
+def _merge_sketch(sketched: DataFrame, kind=np.uint16) -> np.ndarray:
+    """Counts of all tasks (block, counts) in SLOTS slots, saturating at the greatest value of the kind; its size does not depend on the data."""
+    size, greatest = SLOTS // BLOCKS, np.iinfo(kind).max
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.uint64)
         for part in table.column("counts").to_pylist():
-            total += np.frombuffer(part, np.uint16)
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+            total += np.frombuffer(part, kind)
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, greatest).astype(kind).tobytes()], pa.binary())})
 
-    out = np.zeros(SLOTS, np.uint16)
-    parts = sketched.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(merge, "block int, counts binary")
-    for block, counts in parts.collect():
-        out[block * size : (block + 1) * size] = np.frombuffer(counts, np.uint16)
+    out = np.zeros(SLOTS, kind)
+    for block, counts in sketched.groupBy("block").applyInArrow(merge, "block int, counts binary").collect():
+        out[block * size : (block + 1) * size] = np.frombuffer(counts, kind)
     return out
 
 
@@ -155,18 +162,19 @@ def _ordered(offsets, flat, sketch, width):
 
 
 def _keys(row, grams, count, position, n, num, den):
-    """key, row and index flag of every single-token and combination key. The threshold is num / den."""
+    """key, row, index flag and most (a bound of its texts) of every single-token and combination key. The threshold is num / den."""
     overlap = -(-n * num // den)  # least overlap of a set with any partner
     inner = -(-n * 2 * num // (num + den))  # the same with a partner that is not smaller
     reach = np.where(n >= SMALL, CLASSES + 1, 2)
     left = (position - (n - overlap)[row]).astype(np.int64)  # below l: within the prefix extended by l
     index = (position - (n - inner)[row]).astype(np.int64)
     alone = (n == 1)[row]
-    keys, rows, flags = [], [], []
+    keys, rows, flags, most = [], [], [], []
     single = (count > 1) & ((count <= RARE) | alone) & (left < reach[row])
     keys.append(mix(grams[single] + np.uint64(1)))
     rows.append(row[single])
     flags.append(index[single] < reach[row[single]])
+    most.append(count[single])
     for classes, chosen in ((CLASSES, n >= SMALL), (1, n <= SMALL_MOST)):
         l = classes + 1  # noqa: E741
         at = np.flatnonzero((count > RARE) & (left < l) & chosen[row])
@@ -181,8 +189,9 @@ def _keys(row, grams, count, position, n, num, den):
             keys.append(mix(mix(np.minimum(grams[one], grams[two])) + np.maximum(grams[one], grams[two]) + np.uint64(classes)))
             rows.append(row[one])
             flags.append((index[one] < l) & (index[two] < l))
+            most.append(np.minimum(count[one], count[two]))
             d += 1
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(flags)
+    return tuple(np.concatenate(x) for x in (keys, rows, flags, most))
 
 
 def _bitmaps(row, grams, rows):
@@ -192,33 +201,117 @@ def _bitmaps(row, grams, rows):
 
 
 PACKED = "bucket int, keys binary, who binary, rid binary, n binary, bits binary"
-CANDIDATES = T.StructType([T.StructField(c, t) for c, t in (("a", T.LongType()), ("b", T.LongType()), ("unit", T.StringType()), ("side", T.IntegerType()), ("n", T.IntegerType()), ("flag", T.BooleanType()), ("bits", T.BinaryType()))])
+PACKED_NAMES = ["bucket", "keys", "who", "rid", "n", "bits"]
+
+
+def _slot(keys):
+    return (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _keyed_slices(batches, sketch, width, num, den):
+    """rid, sizes, maps and the keys of slices of texts."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 5_000):
+            batch = whole.slice(first, 5_000)
+            offsets, flat = split_words(batch.column("t"))
+            row, grams, count, position, n = _ordered(offsets, flat, sketch, width)
+            yield batch.column("rid").to_numpy(), n, _bitmaps(row, grams, batch.num_rows), _keys(row, grams, count, position, n, num, den)
 
 
-def _pack(sent, width, num, den, buckets):
+def _frequent_keys(sent, width, num, den, hot):
+    """Rows of the task's count sketch of the keys that may have more than ``hot`` texts."""
+
     def run(batches):
-        sketch = np.frombuffer(sent.value, np.uint16)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 5_000):
-                batch = whole.slice(first, 5_000)
-                offsets, flat = split_words(batch.column("t"))
-                row, grams, count, position, n = _ordered(offsets, flat, sketch, width)
-                maps = _bitmaps(row, grams, batch.num_rows)
-                rid = batch.column("rid").to_numpy()
-                keys, rows, flags = _keys(row, grams, count, position, n, num, den)
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                small = (keys // np.uint64(buckets)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = []
-                for b in range(buckets):
-                    own = order[cut[b] : cut[b + 1]]
-                    if len(own):
-                        present, local = np.unique(rows[own], return_inverse=True)
-                        who = (local.astype(np.uint16) << np.uint16(1)) | flags[own]
-                        out.append((b, small[own].tobytes(), who.astype(np.uint16).tobytes(), rid[present].tobytes(), n[present].astype(np.int32).tobytes(), maps[present].tobytes()))
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "who", "rid", "n", "bits"])
+        total = np.zeros(SLOTS, np.uint32)
+        for _, _, _, (keys, _, _, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
+            total += np.bincount(_slot(keys[most > hot]), minlength=SLOTS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays(_sketch_rows(total, np.uint32), names=["block", "counts"])
+
+    return run
+
+
+def _rows_of_buckets(buckets, bucket, keys, who, flags, rid, n, maps):
+    """Packed rows of keys; ``who`` is the place of each key's text in rid, n and maps."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.append(buckets, buckets[-1] + 1) if len(buckets) else buckets)
+    for b, low, high in zip(buckets, cut[:-1], cut[1:], strict=True):
+        own = order[low:high]
+        for at in range(0, len(own), 30_000):  # places fit 15 bits
+            part = own[at : at + 30_000]
+            present, local = np.unique(who[part], return_inverse=True)
+            mark = (local.astype(np.uint16) << np.uint16(1)) | flags[part]
+            yield int(b), keys[part].tobytes(), mark.astype(np.uint16).tobytes(), rid[present].tobytes(), n[present].astype(np.int32).tobytes(), maps[present].tobytes()
+
+
+def _packed(rows) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=PACKED_NAMES)
+
+
+def _pack(sent, counted, width, num, den, hot, ranges, each):
+    """Packed rows of the keys of a range of ``each`` buckets; keys of 64 bits where a range has several buckets."""
+
+    def run(batches):
+        frequent = np.frombuffer(counted.value, np.uint32)
+        for rid, n, maps, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
+            cool = (most <= hot) | (frequent[_slot(keys)] <= hot)
+            keys, rows, flags = keys[cool], rows[cool], flags[cool]
+            bucket = (keys % np.uint64(ranges)).astype(np.int64)
+            rest = keys // np.uint64(ranges)
+            yield _packed(_rows_of_buckets(np.unique(bucket), bucket, rest.astype(np.uint32) if each == 1 else rest, rows, flags, rid, n, maps))
+
+    return run
+
+
+def _unpack(columns, key_type):
+    """key, who, flag, rid, n and bits of packed rows (lists of binaries), put together."""
+    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in columns[c]])
+    rid, n, bits = read("rid", np.int64), read("n", np.int32).astype(np.int64), read("bits", np.uint64).reshape(-1, BITS // 64)
+    key, local = read("keys", key_type), read("who", np.uint16)
+    base = np.cumsum([0, *(len(x) // 8 for x in columns["rid"])])[:-1]
+    who = (local >> 1).astype(np.int64) + np.repeat(base, [len(x) // 2 for x in columns["who"]])
+    return key, who, (local & 1).astype(bool), rid, n, bits
+
+
+def _pack_again(each):
+    """Packed rows of ranges of buckets, sorted by range, as packed rows of their buckets."""
+
+    def again(bucket, held):
+        columns = dict(zip(PACKED_NAMES[1:], zip(*held, strict=True), strict=True))
+        key, who, flag, rid, n, bits = _unpack(columns, np.uint64)
+        part = (key % np.uint64(each)).astype(np.int64)
+        return _packed(_rows_of_buckets(np.unique(part) + bucket * each, part + bucket * each, (key // np.uint64(each)).astype(np.uint32), who, flag, rid, n, bits))
+
+    def run(batches):
+        bucket, held, size = None, [], 0
+        for batch in (whole.slice(at, 1) for whole in batches for at in range(whole.num_rows)):
+            row = [batch.column(c)[0].as_py() for c in PACKED_NAMES]
+            if held and (row[0] != bucket or size > TOGETHER):
+                yield again(bucket, held)
+                held, size = [], 0
+            bucket = row[0]
+            held.append(row[1:])
+            size += len(row[2]) // 2
+        if held:
+            yield again(bucket, held)
+
+    return run
+
+
+HOT_MEMBERS = "key long, blocks int, rid long, n int, flag boolean, bits binary"
+
+
+def _hot_members(sent, counted, width, num, den, hot):
+    """The texts of each key that the sketch of keys counts more than ``hot`` times, and the number of blocks for it."""
+
+    def run(batches):
+        frequent = np.frombuffer(counted.value, np.uint32)
+        for rid, n, maps, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
+            at = np.flatnonzero((most > hot) & (frequent[_slot(keys)] > hot))
+            keys, rows, flags = keys[at], rows[at], flags[at]
+            blocks = -(-frequent[_slot(keys)].astype(np.int64) // max(1, hot // 2))
+            bits = pa.array([maps[r].tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(blocks.astype(np.int32)), pa.array(rid[rows]), pa.array(n[rows].astype(np.int32)), pa.array(flags), bits], names=["key", "blocks", "rid", "n", "flag", "bits"])
 
     return run
 
@@ -251,53 +344,34 @@ def _groups(key, who, n, rid, flag, bits, num, den):
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def _match(num, den, hot):
+def _match(num, den):
+    """Candidate pairs of the texts of one bucket."""
+
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-        rid, n, bits = read("rid", np.int64), read("n", np.int32).astype(np.int64), read("bits", np.uint64).reshape(-1, BITS // 64)
-        key, local = read("keys", np.uint32), read("who", np.uint16)
-        base = np.cumsum([0, *(len(x) // 8 for x in table.column("rid").to_pylist())])[:-1]
-        who = (local >> 1).astype(np.int64) + np.repeat(base, [len(x) // 2 for x in table.column("who").to_pylist()])
-        flag = (local & 1).astype(bool)
+        key, who, flag, rid, n, bits = _unpack({c: table.column(c).to_pylist() for c in PACKED_NAMES[1:]}, np.uint32)
         order = np.argsort(key, kind="stable")
         key, who, flag = key[order], who[order], flag[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size = np.repeat(np.diff(edge), np.diff(edge))
-        some = size > 1
-        key, who, flag, size = key[some], who[some], flag[some], size[some]
+        some = np.repeat(np.diff(edge), np.diff(edge)) > 1
+        key, who, flag = key[some], who[some], flag[some]
         order = np.lexsort((rid[who], n[who], key))
-        key, who, flag, size = key[order], who[order], flag[order], size[order]
-        cool = size <= hot
-        pairs = _groups(key[cool], who[cool], n, rid, flag[cool], bits, num, den)
-        unit, side, member = [], [], []
-        for k in np.unique(key[~cool]):  # too many texts for one task: pairs of blocks, by size
-            own = np.flatnonzero(key == k)
-            parts = np.array_split(own, -(-len(own) // (hot // 2)))
-            for i, x in enumerate(parts):
-                for j in range(i, len(parts)):
-                    if n[who[x[-1]]] * den >= n[who[parts[j][0]]] * num:
-                        for s, part in ((0, x), (1, parts[j])) if i != j else ((0, x),):
-                            unit += [f"{bucket}-{k}-{i}-{j}"] * len(part)
-                            side += [s] * len(part)
-                            member.append(part)
-        at = np.concatenate(member) if member else np.zeros(0, np.int64)
-        none = pa.nulls
-        plain = pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(len(pairs), pa.string()), none(len(pairs), pa.int32()), none(len(pairs), pa.int32()), none(len(pairs), pa.bool_()), none(len(pairs), pa.binary())], names=CANDIDATES.names)
-        blocks = pa.table([pa.array(rid[who[at]]), none(len(at), pa.int64()), pa.array(unit, pa.string()), pa.array(side, pa.int32()), pa.array(n[who[at]].astype(np.int32)), pa.array(flag[at]), pa.array([bits[w].tobytes() for w in who[at]], pa.binary())], names=CANDIDATES.names)
-        return pa.concat_tables([plain, blocks])
+        pairs = _groups(key[order], who[order], n, rid, flag[order], bits, num, den)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
 def _match_blocks(num, den):
-    def run(table: pa.Table) -> pa.Table:
-        rid, side = table.column("a").to_numpy(), table.column("side").to_numpy()
+    """Candidate pairs of one pair of blocks (x, y) of a hot key's texts."""
+
+    def run(unit: tuple, table: pa.Table) -> pa.Table:
+        within = unit[1].as_py() == unit[2].as_py()
+        rid, side = table.column("rid").to_numpy(), table.column("side").to_numpy()
         n, flag = table.column("n").to_numpy().astype(np.int64), table.column("flag").to_numpy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        found, right = [np.zeros((0, 2), np.int64)], np.flatnonzero(side == side.max())
-        for i in np.flatnonzero((side == 0)):
-            other = right if side.max() else right[right > i]
+        found, right = [np.zeros((0, 2), np.int64)], np.flatnonzero(side == (0 if within else 1))
+        for i in np.flatnonzero(side == 0):
+            other = right[right > i] if within else right
             smaller = (n[i] < n[other]) | ((n[i] == n[other]) & (rid[i] < rid[other]))
             other = other[np.where(smaller, flag[i], flag[other])]
             x, y = np.full(len(other), i), other
@@ -311,6 +385,14 @@ def _match_blocks(num, den):
     return run
 
 
+def _hot_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of the texts of hot keys: each text goes to the pairs of its block with every other one."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = each.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rid", "n", "flag", "bits")
+    return units.groupBy("key", "x", "y").applyInArrow(_match_blocks(num, den), "a long, b long")
+
+
 def _verify(width, num, den, schema):
     def run(batches):
         for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
@@ -350,12 +432,19 @@ def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     places = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, min(8, places // 300_000), places // PLACES)
     sketched = materialize(texts.select("rid", "t").mapInArrow(_sketch_and_sets(width), SKETCHED), "p5-sketched")
-    sent = spark.sparkContext.broadcast(_merge_sketch(sketched).tobytes())
-
-    packed = texts.select("rid", "t").mapInArrow(_pack(sent, width, num, den, buckets), PACKED)
-    matched = materialize(packed.groupBy("bucket").applyInArrow(_match(num, den, hot), CANDIDATES), "p5-matched")
-    blocks = matched.where("unit IS NOT NULL").groupBy("unit").applyInArrow(_match_blocks(num, den), "a long, b long")
-    candidates = matched.where("unit IS NULL").select("a", "b").unionByName(blocks).distinct()
+    sent = spark.sparkContext.broadcast(_merge_sketch(sketched.where("block IS NOT NULL").select("block", "counts")).tobytes())
+
+    keyed = texts.select("rid", "t")
+    frequent = _merge_sketch(keyed.mapInArrow(_frequent_keys(sent, width, num, den, hot), "block int, counts binary"), np.uint32)
+    counted = spark.sparkContext.broadcast(frequent.tobytes())
+    each = -(-buckets // SPREAD)
+    packed = keyed.mapInArrow(_pack(sent, counted, width, num, den, hot, -(-buckets // each), each), PACKED)
+    if each > 1:
+        packed = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pack_again(each), PACKED)
+    candidates = packed.groupBy("bucket").applyInArrow(_match(num, den), "a long, b long")
+    if frequent.max(initial=0) > hot:
+        candidates = candidates.unionByName(_hot_pairs(keyed.mapInArrow(_hot_members(sent, counted, width, num, den, hot), HOT_MEMBERS), num, den))
+    candidates = candidates.distinct()
     sets = [sketched.where("rid IS NOT NULL").select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("s").alias(f"s_{s}")) for s in "ab"]
     candidates = materialize(candidates.join(sets[0], "a").join(sets[1], "b").mapInArrow(_reach(num, den), "a long, b long"), "p5-candidates")
     sides = [texts.select(F.col("rid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "b1", "b2", "t"))) for s in "ab"]
@@ -380,10 +469,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the least node of its component.
 
     Alternates large-star and small-star steps, each a shuffle of the links; the number of rounds
-    grows with the logarithm of the largest component.
+    grows with the logarithm of the largest component. Links that have not settled after ``rounds`` are an error.
     """
     links = edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct()
     links = materialize(links, "links")
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("low", "high")), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+    before = mark(links)
     for _ in range(rounds):
         both = links.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(links.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -391,10 +482,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = large.where("low < high").distinct()
         down = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(down, "high").select(F.col("m").alias("low"), F.explode(F.array("low", "high")).alias("high"))
-        new = materialize(small.where("low < high").distinct(), "links")
-        if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
+        links = materialize(small.where("low < high").distinct(), "links")
+        after = mark(links)
+        if after == before:
             break
-        links = new
+        before = after
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = links.groupBy("high").agg(F.min("low").alias("root")).select(F.col("high").alias("node"), "root")
     return roots.unionByName(links.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct().join(roots.select("node"), "node", "left_anti"))
 
