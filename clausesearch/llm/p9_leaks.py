@@ -4,12 +4,14 @@ Every task builds an FM-index for each shard of documents it reads (bounded in w
 grows with the table) and searches all test phrases at once: a phrase is a run of ``n`` words of an item,
 found by backward search through the ranks of a wavelet matrix over the Burrows-Wheeler transform; its
 places come from sampled suffix positions by walking the LF mapping. Occurrences of one item are merged
-into spans to remove. Nothing is shuffled but the found rows; the test items, a set that does not grow
-with the corpus, are sent in blocks of at most ``block`` phrases.
+into spans, and the spans of all items into those to remove. Nothing is shuffled but the found rows. The
+test items, a set that does not grow with the corpus, are sent ``ITEM_CHARS`` characters at a time (about a
+million words, with distinct phrases found once on the driver), and each shard is searched for them in
+blocks of ``PHRASES``; one pass over the corpus serves all items of that size, a larger set takes one pass for each.
 
 Words are compared in lower case and without diacritics. Defined cases: null, empty and short texts and
-items contain nothing; equal items are each reported; repeated documents are each reported; empty tables
-give an empty result; extra columns are ignored.
+items contain nothing; equal items are each reported; repeated documents are each reported, and different
+texts of one id are cut each by its own spans; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausesearch.llm.text import split_words
+from clausesearch.runtime import materialize
 
-SAMPLE = 32
+SAMPLE, ITEM_CHARS, PHRASES = 32, 6_000_000, 100_000
 
 
 def folded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -125,24 +128,29 @@ class FMIndex:
         return out
 
 
-def _phrases(items: list[tuple], n: int):
-    """(words of all phrases, phrase matrix of word numbers, item number of each) of the items."""
-    offsets, flat = folded_words(pa.array([t for _, t in items], pa.string()))
+def _phrases(texts: list[str], n: int):
+    """The distinct phrases of n words of all texts: (words, their numbers in text order, first place of each phrase, owners, cuts).
+
+    The texts that hold phrase p are owners[cuts[p]:cuts[p + 1]].
+    """
+    offsets, flat = folded_words(pa.array(texts, pa.string()))
     coded = flat.dictionary_encode()
-    words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    rows, owner = [], []
-    for i in range(len(items)):
-        run = codes[offsets[i] : offsets[i + 1]]
-        if len(run) >= n:
-            rows.append(np.lib.stride_tricks.sliding_window_view(run, n))
-            owner.append(np.full(len(run) - n + 1, i))
-    if not rows:
-        return words, np.zeros((0, n), np.int64), np.zeros(0, np.int64)
-    return words, np.concatenate(rows), np.concatenate(owner)
-
-
-def _search_shard(symbols, offsets, phrases, n, bits):
-    """(row, phrase, word position in the row) of every occurrence in the texts of one shard."""
+    codes = coded.indices.to_numpy().astype(np.int32)
+    sizes = np.maximum(np.diff(offsets) - n + 1, 0)
+    at = np.repeat(offsets[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    if not len(at):
+        return coded.dictionary, codes, at, owner, np.zeros(1, np.int64)
+    _, first, which = np.unique(codes[at[:, None] + np.arange(n)], axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    return coded.dictionary, codes, at[first], owner[order], np.searchsorted(which.ravel()[order], np.arange(len(first) + 1))
+
+
+def _search_shard(symbols, offsets, codes, first, n, bits):
+    """(row, phrase, word position in the row) of every occurrence in the texts of one shard.
+
+    Phrase p is codes[first[p] : first[p] + n], one less than the symbols.
+    """
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     # Words of no item (symbol 0) never match: only runs of n known words of one text are indexed.
     known = symbols > 0
@@ -157,61 +165,62 @@ def _search_shard(symbols, offsets, phrases, n, bits):
     s = symbols[np.minimum(source, len(symbols) - 1)]
     s[ends - 1] = 0
     index = FMIndex(s, bits)
-    low, high = index.search(phrases)
-    counts = high - low
-    which = np.repeat(np.arange(len(phrases)), counts)
-    rows = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    at = source[index.locate(rows)]
-    return row[at], which, at - offsets[row[at]]
+    found = []
+    for block in range(0, len(first), PHRASES):
+        low, high = index.search(codes[first[block : block + PHRASES, None] + np.arange(n)].astype(np.int64) + 1)
+        counts = high - low
+        which = np.repeat(np.arange(len(low)) + block, counts)
+        rows = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        at = source[index.locate(rows)]
+        found.append((row[at], which, at - offsets[row[at]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", block: int = 100_000, shard_words: int = 1_000_000) -> DataFrame:
-    """doc id, item id, first_word and last_word (from 0) of each merged span that an item shares with a document."""
+def _spans(documents: DataFrame, items: DataFrame, n: int, doc_id: str, item_id: str, text_col: str, block: int, shard_words: int) -> DataFrame:
+    """doc id, hash of the text, item id, first_word and last_word of each merged span."""
     spark = documents.sparkSession
-    schema = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
+    fields = [T.StructField("doc", documents.schema[doc_id].dataType), T.StructField("t", T.LongType()), T.StructField("item", items.schema[item_id].dataType), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())]
+    schema = T.StructType(fields)
 
     def search(blocked):
-        words, phrases, owner = _phrases(blocked, n)
-        ids = pa.array([i for i, _ in blocked])
+        words, codes, first, owner, cuts = _phrases([t for _, t in blocked], n)
         bits = max(1, int(len(words)).bit_length())
-        sent = spark.sparkContext.broadcast((words.to_pylist(), phrases + 1, owner, ids.to_pylist()))
+        sent = spark.sparkContext.broadcast((words.to_pylist(), codes, first, owner, cuts, [i for i, _ in blocked]))
 
         def run(batches):
-            listed, wanted, own, names = sent.value
+            listed, codes, first, owner, cuts, names = sent.value
             value_set, id_array = pa.array(listed, pa.string()), pa.array(names, pa.from_numpy_dtype(np.int64) if names and isinstance(names[0], int) else None)
-            unique, inverse = np.unique(wanted, axis=0, return_inverse=True)
-            inverse = inverse.ravel()
-            by_phrase = np.argsort(inverse, kind="stable")
-            starts = np.searchsorted(inverse[by_phrase], np.arange(len(unique) + 1))
             for batch in batches:
-                offsets, flat = folded_words(batch.column(text_col))
+                offsets, flat = folded_words(batch.column("x"))
                 symbols = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy().astype(np.int64) + 1
-                first = 0
-                while first < batch.num_rows:  # shards of bounded size
-                    last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + shard_words, side="right")) - 1)
-                    part = offsets[first : last + 1]
-                    row, phrase, at = _search_shard(symbols[part[0] : part[-1]], part - part[0], unique, n, bits)
-                    count = starts[phrase + 1] - starts[phrase]  # a phrase may belong to several items
-                    pick = np.repeat(starts[phrase] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    row, at, item = np.repeat(row, count) + first, np.repeat(at, count), own[by_phrase[pick]]
+                begin_row = 0
+                while begin_row < batch.num_rows:  # shards of bounded size
+                    end_row = max(begin_row + 1, int(np.searchsorted(offsets, offsets[begin_row] + shard_words, side="right")) - 1)
+                    part = offsets[begin_row : end_row + 1]
+                    row, phrase, at = _search_shard(symbols[part[0] : part[-1]], part - part[0], codes, first, n, bits)
+                    count = cuts[phrase + 1] - cuts[phrase]  # a phrase may belong to several items
+                    pick = np.repeat(cuts[phrase] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    row, at, item = np.repeat(row, count) + begin_row, np.repeat(at, count), owner[pick]
                     order = np.lexsort((at, item, row))
                     row, at, item = row[order], at[order], item[order]
                     new = np.ones(len(row), bool)
                     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] > at[:-1] + n)
                     begin = np.flatnonzero(new)
                     end = np.append(begin[1:], len(row)) - 1 if len(begin) else begin
+                    here = pa.array(row[begin])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(doc_id).take(pa.array(row[begin])), id_array.take(pa.array(item[begin])), pa.array(at[begin].astype(np.int32)), pa.array((at[end] + n - 1).astype(np.int32))],
+                        [batch.column("doc").take(here), batch.column("t").take(here), id_array.take(pa.array(item[begin])), pa.array(at[begin].astype(np.int32)), pa.array((at[end] + n - 1).astype(np.int32))],
                         names=schema.names,
                     )
-                    first = last
+                    begin_row = end_row
 
-        return documents.select(doc_id, text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, schema)
+        texts = documents.select(F.col(doc_id).alias("doc"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))
+        return texts.where(F.col("x").isNotNull()).mapInArrow(run, schema)
 
     blocked, size, parts = [], 0, []
     for item in items.select(item_id, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         blocked.append((item[0], item[1]))
-        size += len(item[1]) // 4
+        size += len(item[1])
         if size >= block:
             parts.append(search(blocked))
             blocked, size = [], 0
@@ -223,6 +232,53 @@ def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_id: st
     return out
 
 
+def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", block: int = ITEM_CHARS, shard_words: int = 1_000_000) -> DataFrame:
+    """doc id, item id, first_word and last_word (from 0) of each merged span that an item shares with a document."""
+    spans = _spans(documents, items, n, doc_id, item_id, text_col, block, shard_words)
+    return spans.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "first_word", "last_word")
+
+
 def contained_items(documents: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", **options) -> DataFrame:
     """(doc id, item id) of every item that shares n consecutive words with a document."""
     return leaked_spans(documents, items, n, doc_id, item_id, **options).select(doc_id, item_id).distinct()
+
+
+def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``folded_words`` begins and ends in the text; marks after its last letter belong to it."""
+    plain = pc.replace_substring_regex(pc.utf8_normalize(pa.array(list(text), pa.string()), form="NFD"), r"\pM+", "").to_pylist()
+    sizes = np.array([len(c) for c in plain], np.int64)
+    at = np.repeat(np.arange(len(text)), sizes)
+    signs = pa.array(list("".join(plain)), pa.string()).dictionary_encode()
+    inside = pc.match_substring_regex(signs.dictionary, r"^[\pL\pN]$").to_numpy(zero_copy_only=False)[signs.indices.to_numpy()] if len(at) else np.zeros(0, bool)
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    begin, end = at[np.flatnonzero(edge == 1)], at[np.flatnonzero(edge == -1) - 1] + 1
+    # The next character that is no mark, at or after each place.
+    solid = np.append(np.flatnonzero(sizes > 0), len(text))
+    return begin, solid[np.searchsorted(solid, end)]
+
+
+def _cut(text: str, spans: list[dict]) -> str:
+    begin, end = word_bounds(text)
+    edges = [0, *(x for s in spans for x in (begin[s["first_word"]], end[s["last_word"]])), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", **options) -> DataFrame:
+    """doc id and text of every document, without the words of the spans it shares with any item (overlapping spans are one)."""
+    spans = _spans(documents, items, n, doc_id, item_id, text_col, options.get("block", ITEM_CHARS), options.get("shard_words", 1_000_000)).select("doc", "t", "first_word", "last_word").distinct()
+    before = Window.partitionBy("doc", "t").orderBy("first_word", "last_word").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("new", (F.col("first_word") > F.coalesce(F.max("last_word").over(before), F.lit(-2)) + 1).cast("int"))
+    number = F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = fresh.withColumn("k", number).groupBy("doc", "t", "k").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    cuts = materialize(merged.groupBy("doc", "t").agg(F.array_sort(F.collect_list(F.struct("first_word", "last_word"))).alias("cuts")), "p9-cuts")
+    rows = documents.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("x")).withColumn("t", F.xxhash64("x"))
+
+    def cut(batches):
+        for batch in batches:
+            texts = [_cut(t, c) for t, c in zip(batch.column("x").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], names=["doc", "x"])
+
+    schema = T.StructType([T.StructField("doc", documents.schema[doc_id].dataType), T.StructField("x", T.StringType())])
+    cleaned = rows.join(cuts, ["doc", "t"]).select("doc", "x", "cuts").mapInArrow(cut, schema)
+    rest = rows.join(cuts.select("doc", "t"), ["doc", "t"], "left_anti").select("doc", "x")
+    return rest.unionByName(cleaned).select(F.col("doc").alias(doc_id), F.col("x").alias(text_col))

@@ -106,11 +106,20 @@ def p9_found(spark, sf_dir):
     return p9_leaks.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\pL\pN]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\pL\pN]+') AS w FROM eval_items),
+x AS (SELECT doc_id, i - 1 AS at, array_to_string(w[i:i + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS u(i)), y AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM e, unnest(range(1, len(w) - 10)) AS u(i)),
+m AS (SELECT doc_id, item_id, at, coalesce(at > lag(at) OVER (PARTITION BY doc_id, item_id ORDER BY at) + 12, true)::INT AS new FROM x JOIN y USING (g)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY at) AS k FROM m)
+SELECT doc_id, item_id, min(at)::INT AS first_word, (max(at) + 11)::INT AS last_word FROM k GROUP BY doc_id, item_id, k""")
 def p9_spans(spark, sf_dir):
     return p9_leaks.leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+@query()
+def p9_cleaned(spark, sf_dir):
+    return p9_leaks.remove_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
 WINDOWS_SQL = """WITH g AS (SELECT doc_id, i AS pos, md5(substr(text, i, 240)) AS g FROM documents, unnest(range(1, length(text) - 238)) AS u(i)),
 s AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1), m AS (SELECT doc_id, pos, g FROM g SEMI JOIN s USING (g))"""
 

@@ -394,6 +394,24 @@ def test_leaks(make, spark, sentence):
     assert spans == {(4, 2): (0, 19), (4, 1): (20, 34), (4, 3): (20, 34)}
 
 
+def test_leaks_are_removed(make, spark, sentence):
+    one, two = sentence(14), "Acción médica según el párrafo octavo de la norma común vigente hoy aquí"
+    items = spark.createDataFrame([(1, one), (2, " ".join([*one.split()[2:], "cola"])), (3, two)], "item_id long, text string")
+    docs = {0: f"¡Antes, {one}! Después.", 1: f"«{two.upper()}» fin", 2: None, 3: "nada", 4: f"a e\u0301a {two.replace('ó', 'o' + chr(769))}\u0301, b", 5: f"{one} {two}", 6: one.rsplit(" ", 3)[0]}
+    rows = [{"doc_id": i, "text": t} for i, t in docs.items()] + [{"doc_id": 0, "text": "otro texto de ese número"}]
+    got = sorted((r.doc_id, r.text or "") for r in p9_leaks.remove_leaks(make(DOCUMENTS, rows), items).collect())
+    assert got == [(0, "otro texto de ese número"), (0, "¡Antes, ! Después."), (1, "«» fin"), (2, ""), (3, "nada"), (4, "a e\u0301a , b"), (5, ""), (6, docs[6])]
+
+
+def test_many_items_take_one_pass(make, spark, sentence):
+    texts = [sentence(30) for _ in range(300)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    table = make(DOCUMENTS, [{"doc_id": i, "text": f"{sentence(20)} {texts[i * 7]} {sentence(5)}"} for i in range(40)])
+    spans = p9_leaks.leaked_spans(table, items)
+    assert spans._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 1
+    assert {(r.doc_id, r.item_id, r.first_word, r.last_word) for r in spans.collect()} == {(i, i * 7, 20, 49) for i in range(40)}
+
+
 # 10
 
 
