@@ -2,10 +2,13 @@
 
 Windows of ``k`` characters are hashed at every position and winnowed: of any ``length - k + 1``
 consecutive windows the least hash is kept, so two texts with ``length`` characters in common share
-a kept hash. The hashes go into a log-structured index of immutable runs, each a table bucketed and
-sorted by hash. A new batch becomes a run, is merge-joined with the older runs (bucket by bucket,
-without a shuffle), and when there are more than ``fanout`` runs they are compacted into one. Shared
-hashes are verified on the characters around them.
+a kept hash. The hashes go into a log-structured index of immutable runs in the shared folder, each bucketed
+and sorted by hash, with a bucket for every ``BUCKET_CHARS`` characters of the first table. A new batch becomes a
+run and is merge-joined with the older runs, bucket by bucket, without a shuffle. Before a batch is added to
+more than ``fanout`` runs, the newest runs of like size are compacted into one. The index is reopened by its
+folder, and a later batch reads its own texts and the runs alone (``new_pairs``). A hash that a task meets more
+than ``HOT`` times goes into a part of the run that is not bucketed but spread over all tasks, so no hash
+fills a bucket. Shared hashes are verified on the characters around them.
 
 Texts are compared by code points as they stand. Defined cases: null texts and texts shorter than
 ``length`` share nothing; a span repeated inside one record only is not shared; equal texts share all
@@ -17,7 +20,9 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,7 @@ from clausesearch.runtime import materialize, shared_dir
 
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
+BUCKET_CHARS, HOT, SKETCH = 16_000_000, 2_000, 1 << 20
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -84,60 +90,120 @@ def winnow(texts: list[str | None], k: int, length: int) -> tuple[np.ndarray, np
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int, length: int) -> DataFrame:
-    """h, id and pos of the kept windows of every text."""
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("pos", T.IntegerType())])
+    """h, id and pos of the kept windows of every text, and whether the task had met the hash's slot ``HOT`` times before."""
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("pos", T.IntegerType()), T.StructField("hot", T.BooleanType())])
 
     def run(batches):
+        met = np.zeros(SKETCH, np.int64)
         for batch in batches:
             step = 500  # texts at a time, to bound the arrays
             for first in range(0, batch.num_rows, step):
                 part = batch.slice(first, step)
                 text, at, h = winnow(part.column(text_col).to_pylist(), k, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(id_col).take(pa.array(text)), pa.array(at.astype(np.int32))], names=schema.names)
+                slot = h & (SKETCH - 1)
+                hot = met[slot] >= HOT
+                met += np.bincount(slot, minlength=SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(id_col).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(hot)], names=schema.names)
 
     rows = df.select(id_col, text_col).where(F.char_length(text_col) >= length)
     return rows.mapInArrow(run, schema)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window hashes in the shared folder."""
+    """Sorted immutable runs of window hashes in a folder; an existing folder is opened as it was left.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.fanout, self.runs = spark, fanout, []
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The newest complete state file names the runs, so a batch that fails half-way changes nothing. One writer at a time.
+    """
 
-    def _write(self, rows: DataFrame) -> str:
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 8, fanout: int = 2):
+        self.spark, self.fanout, self.buckets, self.runs = spark, fanout, buckets, []
+        self.folder = (folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
+        self.state, self.tables = 0, {}
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state-*/_SUCCESS")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        if found:
+            last = max(f.getPath().getParent().getName() for f in found)
+            self.state = int(last.split("-")[1])
+            left = json.loads(spark.read.text(f"{self.folder}/{last}").first().value)
+            self.buckets, self.runs = left["buckets"], left["runs"]
+
+    def _save(self, runs: list[dict]) -> None:
+        self.state += 1
+        line = json.dumps({"buckets": self.buckets, "runs": runs})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.folder}/state-{self.state:08d}")
+        self.runs = runs
+
+    def _write(self, rows: DataFrame) -> dict:
+        """A run: hot rows are spread over the tasks, all others lie in the bucket of their hash."""
         name = f"run_{uuid.uuid4().hex}"
-        rows = rows.repartition(self.buckets, "h").sortWithinPartitions("h")
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        return name
+        path = f"{self.folder}/{name}"
+        spread = rows.withColumn("k", F.when(F.col("hot"), F.xxhash64("h", "id")).otherwise(F.col("h"))).repartition(self.buckets, "k").drop("k")
+        spread.write.partitionBy("hot").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        self.tables[path] = name
+        sizes = {r.hot: r["count"] for r in self.spark.read.parquet(path).groupBy("hot").count().collect()} if self._any(path) else {}
+        kind = rows.schema["id"].dataType.simpleString()
+        return {"path": path, "rows": sum(sizes.values()), "hot": sizes.get(True, 0), "id": kind}
+
+    def _any(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/hot=*")
+        return bool(at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at))
+
+    def _cool(self, run: dict) -> DataFrame:
+        """The bucketed part of a run."""
+        if run["path"] not in self.tables:
+            name = self.tables[run["path"]] = f"run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (h BIGINT, id {run['id']}, pos INT, hot BOOLEAN) USING parquet PARTITIONED BY (hot) CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{run['path']}'")
+            self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return self.spark.table(self.tables[run["path"]]).where("NOT hot").select("h", "id", "pos")
+
+    def _hot(self, run: dict) -> DataFrame:
+        return self.spark.read.parquet(f"{run['path']}/hot=true").select("h", "id", "pos")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds (h, id, pos) rows as a run; (h, id, pos) of both sides of every hash that the batch shares with older runs or within itself."""
-        new = self._write(batch)
-        fresh, old = self.spark.table(new), [self.spark.table(r) for r in self.runs]
-        inside = fresh.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-        shared = [fresh.join(inside.hint("merge"), "h", "left_semi")]
+        """Adds (h, id, pos, hot) rows as a run; (h, id, pos) of both sides of every hash that the batch shares with older runs or within itself."""
+        self.compact()
+        new, old = self._write(batch), self.runs
+        ends = lambda df: df.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        fresh = self._cool(new)
+        shared = [fresh.join(ends(fresh).where("lo < hi").select("h").hint("merge"), "h", "left_semi")]
         for run in old:
-            keys = run.select("h").distinct().join(fresh.select("h").distinct().hint("merge"), "h", "left_semi")
-            shared += [run.join(keys.hint("merge"), "h", "left_semi"), fresh.join(keys.hint("merge"), "h", "left_semi")]
-        out = shared[0]
-        for part in shared[1:]:
-            out = out.unionByName(part)
-        self.runs.append(new)
-        return out
+            cool = self._cool(run)
+            keys = cool.select("h").distinct().join(fresh.select("h").distinct().hint("merge"), "h", "left_semi")
+            shared += [cool.join(keys.hint("merge"), "h", "left_semi"), fresh.join(keys.hint("merge"), "h", "left_semi")]
+        # Hot hashes of any run, with all their rows: few hashes, each aggregated before it is joined.
+        if any(run["hot"] for run in [*old, new]):
+            hot = reduce(DataFrame.unionByName, (self._hot(run).select("h").distinct() for run in [*old, new] if run["hot"])).distinct()
+            every = [self._cool(run).join(hot, "h", "left_semi").withColumn("new", F.lit(run is new)) for run in [*old, new]]
+            every += [self._hot(run).withColumn("new", F.lit(run is new)) for run in [*old, new] if run["hot"]]
+            places = materialize(reduce(DataFrame.unionByName, every), "p10-hot")
+            keys = places.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("new").alias("new")).where("new AND lo < hi").select("h")
+            shared.append(places.join(keys, "h", "left_semi").drop("new"))
+        self._save([*old, new])
+        return reduce(DataFrame.unionByName, shared)
 
     def compact(self) -> None:
-        """Merges all runs into one when there are more than ``fanout``."""
-        if len(self.runs) > self.fanout:
-            merged = self.spark.table(self.runs[0])
-            for run in self.runs[1:]:
-                merged = merged.unionByName(self.spark.table(run))
-            self.runs = [self._write(merged)]
+        """Where there are more than ``fanout`` runs, the newest ones become one, as far back as a run has at most twice the rows of those after it."""
+        if len(self.runs) <= self.fanout:
+            return
+        first, rows = len(self.runs) - 1, self.runs[-1]["rows"]
+        while first and self.runs[first - 1]["rows"] <= 2 * rows:
+            first -= 1
+            rows += self.runs[first]["rows"]
+        if first < len(self.runs) - 1:
+            old = self.runs[first:]
+            parts = [self._cool(run).withColumn("hot", F.lit(False)) for run in old] + [self._hot(run).withColumn("hot", F.lit(True)) for run in old if run["hot"]]
+            self._save([*self.runs[:first], self._write(reduce(DataFrame.unionByName, parts))])
+            self.close(old)
+
+    def close(self, runs: list[dict] | None = None) -> None:
+        """Takes the tables of runs (all by default) out of the session's catalogue; their files stay."""
+        for run in self.runs if runs is None else runs:
+            if run["path"] in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run['path'])}")
 
 
 def shared_places(df: DataFrame, id_col: str, text_col: str, date: str | None, length: int, k: int | None = None, batches: int = 3, outer_only: bool = True) -> DataFrame:
-    """(h, id, pos) of every kept window whose hash occurs in several records, through the index, batch by batch.
+    """(h, id, pos) of every kept window whose hash occurs in several records, through an index, batch by batch in order of dates.
 
     With ``outer_only``, only the outer places of periodic text.
     """
@@ -145,9 +211,8 @@ def shared_places(df: DataFrame, id_col: str, text_col: str, date: str | None, l
     spark = df.sparkSession
     split = date is not None and batches > 1
     moments = F.percentile_approx(F.unix_micros(date), [i / batches for i in range(1, batches)]) if split else F.lit(None)
-    rows, cuts = df.select(F.count("*").alias("n"), moments.alias("c")).first()
-    # A bucket for every 2,000 texts, within what the session is set up for.
-    index = FingerprintIndex(spark, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, rows // 2_000)))
+    chars, cuts = df.select(F.sum(F.char_length(text_col)).alias("n"), moments.alias("c")).first()
+    index = FingerprintIndex(spark, buckets=max(8, -(-(chars or 0) // BUCKET_CHARS)))
     if split:
         cuts = cuts or []
         number = sum((F.coalesce(F.unix_micros(date) > F.lit(c), F.lit(True)).cast("int") for c in cuts), F.lit(0))
@@ -157,10 +222,12 @@ def shared_places(df: DataFrame, id_col: str, text_col: str, date: str | None, l
     for i in range(batches):
         part = materialize(index.add(fingerprints(df.where(number == i), id_col, text_col, k, length)).distinct(), "p10-shared")
         found = part if found is None else found.unionByName(part)
-        index.compact()
-    found = found.distinct()
-    if not outer_only:
-        return found
+    index.close()
+    return _outer(found.distinct(), k) if outer_only else found.distinct()
+
+
+def _outer(found: DataFrame, k: int) -> DataFrame:
+    """Places (h, id, pos) without the inner ones of periodic text."""
     # Periodic text: of a run of equal hashes at one distance of at most a window, the two outer places on each side stand
     # for all. At wider or unequal distances the text between may differ, so every place stays.
     order = Window.partitionBy("h", "id").orderBy("pos")
@@ -184,7 +251,25 @@ def sharing_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(a, b), a < b: records with at least ``length`` consecutive characters in common."""
     k = length // 2
     df = df.where(F.char_length(text_col) >= length)
-    places = materialize(shared_places(df, id_col, text_col, date, length, k, batches), "p10-places")
+    return _pairs(df, materialize(shared_places(df, id_col, text_col, date, length, k, batches), "p10-places"), id_col, text_col, length)
+
+
+def new_pairs(index: FingerprintIndex, batch: DataFrame, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240) -> DataFrame:
+    """(a, b), a < b: pairs with a record of ``batch``, which is added to the index; ``documents`` holds the batch and all texts added before.
+
+    Of the older texts only those that share a hash with the batch are read, around their places.
+    """
+    k = length // 2
+    places = materialize(_outer(index.add(fingerprints(batch, id_col, text_col, k, length)).distinct(), k), "p10-places")
+    pairs = _pairs(documents.where(F.char_length(text_col) >= length), places, id_col, text_col, length)
+    fresh = batch.select(F.col(id_col).alias("n")).distinct()
+    either = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("n")).join(fresh, "n", "left_semi")
+    return either.select("a", "b").distinct()
+
+
+def _pairs(df: DataFrame, places: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """The pairs of places with the same hash whose surroundings have ``length`` characters in common."""
+    k = length // 2
     context = materialize(_contexts(df, places, id_col, text_col, k, length), "p10-context")
     left, right = (context.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "before", "c"))) for s in "ab")
     schema = T.StructType([T.StructField("a", df.schema[id_col].dataType), T.StructField("b", df.schema[id_col].dataType)])

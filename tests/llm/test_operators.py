@@ -458,6 +458,28 @@ def test_a_list_of_like_clauses_is_quoted_from_its_middle(make, sentence):
     assert {tuple(r) for r in p10_spans.sharing_pairs(table).collect()} == pairs
 
 
+def test_an_index_is_reopened_and_takes_new_batches(make, spark, sentence, tmp_path, monkeypatch):
+    passages = [sentence(60)[:300] for _ in range(6)]
+    rng = random.Random(9)
+    docs = {i: sentence(rng.randrange(1, 40)) + "".join(rng.sample(passages, rng.randrange(3))) + sentence(20) for i in range(60)}
+    docs |= {100: "ab" * 900, 101: "ab" * 300}
+    pairs, inside = shared(docs, 240)
+    table = make(DOCUMENTS, [{"doc_id": i, "text": t} for i, t in docs.items()])
+    for hot in (2_000, 1):  # with every hash but the first of a task in the spread part
+        monkeypatch.setattr(p10_spans, "HOT", hot)
+        found, folder = set(), str(tmp_path / f"index{hot}")
+        for i in range(5):
+            index = p10_spans.FingerprintIndex(spark, folder, buckets=4, fanout=2)  # opened anew each time
+            batch, seen = table.where(f"doc_id % 5 = {i}"), table.where(f"doc_id % 5 <= {i}")
+            new = {tuple(r) for r in p10_spans.new_pairs(index, batch, seen).collect()}
+            assert new == {(a, b) for a, b in pairs if max(a % 5, b % 5) == i}
+            found |= new
+            index.close()
+        assert found == pairs and len(index.runs) < 5 and not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+        assert {tuple(r) for r in p10_spans.sharing_pairs(table).collect()} == pairs
+        assert {r.doc_id: r.shared_chars for r in p10_spans.shared_amounts(table).collect()} == inside
+
+
 def test_every_long_match_keeps_a_common_window(sentence):
     rng = random.Random(4)
     for _ in range(30):
