@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"(?U)[\s\x1c-\x1f]"
-#: A header of an article at the start of a line; flags: case-insensitive, Unicode, only \n ends a line.
-HEADER = r"^[ \t]*(?:ART[ÍI]CULO|ART\.)[ \t]*(\d+)[ \t]*[°º]?[ \t]*[.\-–]"
+#: A header of an article at the start of a line, any white space around its number; flags: case-insensitive, Unicode, only \n ends a line.
+HEADER = r"^[ \t]*(?:ART[ÍI]CULO|ART\.)[\s\x1c-\x1f]*(\d+)[\s\x1c-\x1f]*[°º]?[\s\x1c-\x1f]*[.\-–]"
 HEADER_FLAGS = r"(?iumdU)"
 
 

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from clausesearch.operators.golden import KEY
 
-#: Fixed values of the format.
-NO_ARTICLE, NO_HITS = "sin artículo", "(sin resultados)"
+#: Fixed values of the format; the attributes of a block are fixed too, as a model gives them back.
+NO_ARTICLE, NO_HITS = "sin artículo", "(no se recuperó ningún fragmento del corpus)"
 ANSWER = "answerable boolean, answer string, citations array<struct<country:string,norm_id:string,article:string>>, confidence string"
 SYSTEM = "Responda solo con los fragmentos dados y cite cada norma; si no alcanzan, diga que no puede responderse."
 
 
 def format_contexts(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """qid, context: one tagged block per hit in rank order; queries (qid) without hits get a fixed text. Texts are not escaped."""
-    block = F.format_string('<fragmento pais="%s" norma="%s" articulo="%s">\n%s\n</fragmento>', F.col("country"), F.col("norm_id"), F.coalesce("article", F.lit(NO_ARTICLE)), F.coalesce("text", F.lit("")))
+    block = F.format_string('<fragmento country="%s" norm_id="%s" article="%s">\n%s\n</fragmento>', F.col("country"), F.col("norm_id"), F.coalesce("article", F.lit(NO_ARTICLE)), F.coalesce("text", F.lit("")))
     made = hits.withColumn("block", block).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
     if queries is None:
         return made

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausesearch.operators.vectors import _usable
+from clausesearch.runtime import materialize
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -39,40 +40,43 @@ def round_robin(df: DataFrame, n: int, seed: int = 7, by: str = "country", key:
 
 def _pair_scores(table: pa.Table, keep: int) -> pa.Table:
     side = table.column("side").to_numpy()
-    x = np.array(table.column("v").to_pylist(), np.float64).reshape(table.num_rows, -1)
+    x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids, country = table.column("id").to_numpy(), np.array(table.column("country").to_pylist(), object)
+    ids = table.column("id").to_numpy()
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    codes = {c: i for i, c in enumerate(sorted(set(country)))}
-    rank = np.array([codes[c] for c in country], np.int64)
     for at in range(0, len(a), 1024):
         rows = a[at : at + 1024]
-        score = np.where(rank[rows][:, None] < rank[b][None, :], np.minimum(x[rows] @ x[b].T, 1.0), -2)
-        r, c = np.nonzero(score > -1.5)
+        score = np.minimum(x[rows] @ x[b].T, 1.0)
+        # The best of this block, ties kept.
+        limit = np.partition(score, score.size - keep, axis=None)[score.size - keep] - 1e-9 if score.size > keep else -2
+        r, c = np.nonzero(score >= limit)
         s = score[r, c]
-        if len(s) > keep:  # the best of this block, ties kept
-            limit = np.partition(s, len(s) - keep)[len(s) - keep] - 1e-9
-            r, c, s = r[s >= limit], c[s >= limit], s[s >= limit]
         out.append((ids[rows[r]], ids[b[c]], s))
     one, two, s = (np.concatenate([o[j] for o in out]) for j in range(3))
     return pa.table({"a": pa.array(one), "b": pa.array(two), "score": pa.array(s)})
 
 
-def cross_country_pairs(df: DataFrame, n: int = 10, more_than: int = 600, blocks: int = 4, id_col: str = "row_id", vector_col: str = "embedding") -> DataFrame:
+def cross_country_pairs(df: DataFrame, n: int = 10, more_than: int = 600, rows_of_block: int = 16_384, id_col: str = "row_id", vector_col: str = "embedding") -> DataFrame:
     """The n most similar pairs of articles of different countries, each pair of norms once: a, b, score.
 
-    One chunk stands for an article (its longest). Articles are compared block against block, each pair of
-    blocks being one group, and a block passes on only its best 4 n pairs; of the best 4 n of all, the first
-    of each pair of norms stays.
+    One chunk stands for an article (its longest). The articles of each country lie in blocks of at most about
+    ``rows_of_block``; a block is compared with those of the countries after its own, each pair of blocks being
+    one group, and a group passes on only its best 4 n pairs; of the best 4 n of all, the first of each pair of
+    norms stays. Each article is copied once for each block of other countries, so the copies grow with the
+    square of the articles over ``rows_of_block``.
     """
     rows = longest_articles(df, more_than, id_col).where(_usable(F.col(vector_col)) & F.col("country").isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), "country", "norm_id", F.col(vector_col).alias("v"))
-    blocks = max(blocks, -(-rows.count() // 8192))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")
-    left = rows.select("id", "country", "v", F.lit(0).alias("side"), own.alias("x"), F.explode(every).alias("y"))
-    right = rows.select("id", "country", "v", F.lit(1).alias("side"), F.explode(every).alias("x"), own.alias("y"))
+    rows = materialize(rows, "articles")
+    sizes = sorted((r.country, -(-r["count"] // rows_of_block)) for r in rows.groupBy("country").count().collect())  # one row a country
+    blocks = [(c, i) for c, m in sizes for i in range(m)]
+    first = {c: next(j for j, b in enumerate(blocks) if b[0] == c) for c, _ in sizes}
+    after = {c: first[c] + m for c, m in sizes}
+    table = df.sparkSession.createDataFrame([(c, m, first[c], list(range(after[c], len(blocks))), list(range(first[c]))) for c, m in sizes], "country string, m int, first int, later array<int>, earlier array<int>")
+    placed = rows.join(F.broadcast(table), "country").withColumn("own", F.col("first") + F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    left = placed.select("id", "v", F.lit(0).alias("side"), F.col("own").alias("x"), F.explode("later").alias("y"))
+    right = placed.select("id", "v", F.lit(1).alias("side"), F.explode("earlier").alias("x"), F.col("own").alias("y"))
     scored = left.unionByName(right).groupBy("x", "y").applyInArrow(lambda t: _pair_scores(t, 4 * n), "a long, b long, score double")
     best = scored.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "a", "b").limit(4 * n)
     names = rows.select("id", "country", "norm_id")

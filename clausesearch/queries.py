@@ -72,11 +72,11 @@ def html_main_text(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", html_text(page).alias("text"))
 
 
-HEAD = r"[ \t]*(?:ART[ÍI]CULO|ART\.)[ \t]*\d+[ \t]*[°º]?[ \t]*[.\-–]"
+HEAD = rf"[ \t]*(?:ART[ÍI]CULO|ART\.){W}*\d+{W}*[°º]?{W}*[.\-–]"
 SPANS = rf"""
 parts AS (SELECT doc_id, string_split(regexp_replace(text, '(?im)(^{HEAD})', chr(1) || '\1', 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL),
 each AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM parts),
-spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS span, nullif(regexp_extract(x, '(?i)^[ \t]*(?:ART[ÍI]CULO|ART\.)[ \t]*(\d+)[ \t]*[°º]?[ \t]*[.\-–]', 1), '') AS article, body
+spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS span, nullif(regexp_extract(x, '(?i)^[ \t]*(?:ART[ÍI]CULO|ART\.){W}*(\d+){W}*[°º]?{W}*[.\-–]', 1), '') AS article, body
   FROM (SELECT *, regexp_replace(x, '^{W}+|{W}+$', '', 'g') AS body FROM each) WHERE body <> '')"""
 
 
@@ -315,9 +315,9 @@ def containing(spark, sf_dir):
     return evaluate.containing(read_table(spark, sf_dir, "chunks"), "por mil")
 
 
-@query(f"""WITH {_lexical_sql(GOLDEN_Q, 3)}, blocks AS (SELECT qid, rank, '<fragmento pais="' || country || '" norma="' || norm_id || '" articulo="' || coalesce(article, 'sin artículo') || '">' || chr(10) || text || chr(10) || '</fragmento>' AS block
+@query(f"""WITH {_lexical_sql(GOLDEN_Q, 3)}, blocks AS (SELECT qid, rank, '<fragmento country="' || country || '" norm_id="' || norm_id || '" article="' || coalesce(article, 'sin artículo') || '">' || chr(10) || text || chr(10) || '</fragmento>' AS block
   FROM lexical JOIN chunks ON row_id = id), made AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM blocks GROUP BY qid)
-SELECT qid, coalesce(context, '(sin resultados)') AS context FROM questions LEFT JOIN made USING (qid)""")
+SELECT qid, coalesce(context, '(no se recuperó ningún fragmento del corpus)') AS context FROM questions LEFT JOIN made USING (qid)""")
 def answer_contexts(spark, sf_dir):
     chunks, asked = read_table(spark, sf_dir, "chunks"), golden_queries(spark, sf_dir)
     hits = fulltext.search_lexical(chunks, asked, 3)

@@ -31,14 +31,17 @@ def get_spark(app: str = "clausesearch", master: str | None = None, partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a new temporary folder is made and set
-    as the session's checkpoint folder.
+    Where the setting is absent and all tasks run on this machine (tests, a laptop), a new temporary
+    folder is made and set as the session's checkpoint folder; on a cluster that is an error, as each
+    executor would write to a folder of its own.
     """
     jsc = spark.sparkContext._jsc.sc()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and jsc.getCheckpointDir().isDefined():
         where = jsc.getCheckpointDir().get()
     if not where:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="clausesearch-")
         spark.sparkContext.setCheckpointDir(where)
         where = jsc.getCheckpointDir().get()

@@ -1,16 +1,19 @@
-"""A table of chunks in a shared folder: immutable versions, upsert by chunk_id, derived tokens."""
+"""A table of chunks in a shared folder: immutable files by part, upsert by chunk_id, derived columns."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausesearch.functions.text import words
 from clausesearch.operators.fulltext import postings
+from clausesearch.runtime import materialize
 
-KEY = "chunk_id"
+KEY, PART = "chunk_id", "_part"
 
 
 def last_per_key(df: DataFrame, order: list[str], key: str = KEY) -> DataFrame:
@@ -21,7 +24,7 @@ def last_per_key(df: DataFrame, order: list[str], key: str = KEY) -> DataFrame:
 def merge(existing: DataFrame, new: DataFrame, order: list[str], key: str = KEY) -> DataFrame:
     """Rows of ``existing`` with those of ``new`` put in place of equal keys; within ``new`` the last row wins."""
     fresh = last_per_key(new, order, key)
-    return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return existing.join(fresh.select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def pending(df: DataFrame, existing: DataFrame, key: str = KEY) -> DataFrame:
@@ -30,36 +33,68 @@ def pending(df: DataFrame, existing: DataFrame, key: str = KEY) -> DataFrame:
 
 
 class ChunkStore:
-    """Versions are folders; a small pointer table names the current one, so readers never see half a write."""
+    """Rows lie in ``parts`` parts by the hash of their key; an upsert writes anew only the parts that it touches.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    A numbered state file names the folder of every part and the derived columns. It is made only where it
+    does not exist yet, after all data is written: readers never see half a write, and of two writers that
+    start from one state the second gets an error.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 32):
+        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def exists(self) -> bool:
-        return self._fs.exists(self._path("current"))
+    def _state(self) -> dict:
+        found = self._fs.globStatus(self._path("state-*.json"))
+        if not found:
+            return {"number": 0, "parts": self.parts, "folders": {}, "derived": {"tokens": None}}
+        last = max(f.getPath().getName() for f in found)
+        return json.loads(self.spark.read.text(f"{self.folder}/{last}", wholetext=True).first().value)
+
+    def _move(self, state: dict) -> None:
+        number = state["number"] + 1
+        out = self._fs.create(self._path(f"state-{number:09d}.json"), False)  # an error if another writer was first
+        try:
+            out.write(bytearray(json.dumps(state | {"number": number}), "utf-8"))
+        finally:
+            out.close()
 
-    def current(self) -> str:
-        return self.spark.read.text(f"{self.folder}/current").orderBy(F.desc("value")).first().value.split(" ")[1]
+    def exists(self) -> bool:
+        return bool(self._state()["folders"])
+
+    def _derive(self, df: DataFrame, derived: dict[str, str | None]) -> DataFrame:
+        """The table with its derived columns, computed where the files lack them or hold none."""
+        for name, expression in derived.items():
+            made = words(F.col("text")) if expression is None else F.expr(expression)
+            df = df.withColumn(name, F.coalesce(F.col(name), made) if name in df.columns else made)
+        return df
+
+    def _read(self, state: dict, parts: list[str]) -> DataFrame:
+        by_folder: dict[str, list[str]] = {}
+        for p in parts:
+            by_folder.setdefault(state["folders"][p], []).append(p)
+        tables = [self.spark.read.option("basePath", f"{self.folder}/{v}").parquet(*(f"{self.folder}/{v}/{PART}={p}" for p in ps)).drop(PART) for v, ps in by_folder.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
     def read(self) -> DataFrame:
-        """The current version; ``tokens`` is derived where an older version lacks it."""
-        df = self.spark.read.parquet(f"{self.folder}/{self.current()}")
-        return df if "tokens" in df.columns else df.withColumn("tokens", words(F.col("text")))
+        """The current table; derived columns are computed where older files lack them."""
+        state = self._state()
+        return self._derive(self._read(state, list(state["folders"])), state["derived"])
 
     def keys(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.current()}").select(KEY)
+        state = self._state()
+        return self._read(state, list(state["folders"])).select(KEY)
 
-    def write(self, df: DataFrame) -> int:
-        """Writes a whole new version with its derived column, then moves the pointer; returns its rows."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.drop("tokens").withColumn("tokens", words(F.col("text"))).write.parquet(f"{self.folder}/{version}")
-        number = self.spark.read.text(f"{self.folder}/current").count() if self.exists() else 0
-        self.spark.createDataFrame([(f"{number:09d} {version}",)], "value string").write.mode("append").text(f"{self.folder}/current")
-        return self.spark.read.parquet(f"{self.folder}/{version}").count()
+    def add_derived(self, name: str, expression: str) -> None:
+        """A further column, given by an SQL expression over the others; no file is written anew, new files hold it."""
+        state = self._state()
+        self._move(state | {"derived": state["derived"] | {name: expression}})
+
+    def _part(self, parts: int):
+        return F.pmod(F.xxhash64(KEY), F.lit(parts)).cast("int")
 
     def upsert(self, df: DataFrame, order: list[str], embeddings: DataFrame | None = None) -> int:
         """Inserts or replaces by chunk_id; returns the rows given. New columns evolve the table.
@@ -68,25 +103,27 @@ class ChunkStore:
         """
         if embeddings is not None:
             df = df.drop("embedding").join(embeddings, KEY, "left")
-            if not df.where(F.col("embedding").isNull()).isEmpty():
-                raise ValueError("chunks and embeddings do not match")
-        n = df.count()
-        if n:
-            self.write(merge(self.read().drop("tokens"), df.drop("tokens"), order) if self.exists() else last_per_key(df, order))
+        state = self._state()
+        given = materialize(df.drop(*state["derived"]), "upsert")
+        if embeddings is not None and not given.where(F.col("embedding").isNull()).isEmpty():
+            raise ValueError("chunks and embeddings do not match")
+        n = given.count()
+        if not n:
+            return 0
+        touched = [str(r[0]) for r in given.select(self._part(state["parts"])).distinct().collect()]  # at most ``parts``
+        old = [p for p in touched if p in state["folders"]]
+        rows = merge(self._read(state, old).drop(*state["derived"]), given, order) if old else last_per_key(given, order)
+        version = f"v-{uuid.uuid4().hex}"
+        self._derive(rows, state["derived"]).withColumn(PART, self._part(state["parts"])).repartition(PART).write.partitionBy(PART).parquet(f"{self.folder}/{version}")
+        self._move(state | {"folders": state["folders"] | dict.fromkeys(touched, version)})
         return n
 
     def pending(self, df: DataFrame) -> DataFrame:
         return pending(df, self.keys()) if self.exists() else df
 
-    def write_postings(self, config: str = "simple") -> DataFrame:
-        """The inverted index as a table sorted by lexeme, so a search reads few row groups."""
+    def write_postings(self, config: str = "simple", id_col: str = KEY) -> DataFrame:
+        """The inverted index as a table sorted by lexeme, so a search (``stored=``) reads few row groups."""
         path = f"{self.folder}/postings-{config}-{uuid.uuid4().hex}"
-        listed = postings(self.read(), KEY, config=config)
+        listed = postings(self.read(), id_col, config=config)
         listed.repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.parquet(path)
         return self.spark.read.parquet(path)
-
-
-def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row per key by a window, for tables whose rows are wide."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(o) for o in order)))
-    return df.withColumn("_r", place).where("_r = 1").drop("_r")

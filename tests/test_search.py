@@ -125,7 +125,7 @@ def test_a_question_without_a_code_has_a_context(spark, tmp_path):
     golden = [(20, "¿Quién verificará la bota 7?", [("AR", "n", "7")]), (40, "¿?", [("AR", "n", "1")])]
     spark.createDataFrame(golden, "pair_id long, question string, citations array<struct<country:string,norm_id:string,article:string>>").write.parquet(f"{tmp_path}/golden_questions.parquet")
     got = {r.qid: r.context for r in queries.question_contexts(spark, str(tmp_path)).collect()}
-    assert got[20].count("<fragmento") == 8 and 'articulo="7"' in got[20].split("\n")[0] and got[40] == "(sin resultados)"
+    assert got[20].count("<fragmento") == 8 and 'article="7"' in got[20].split("\n")[0] and got[40] == "(no se recuperó ningún fragmento del corpus)"
     assert [r.qid for r in queries.question_citations_unsupported(spark, str(tmp_path)).collect()] == [40]
     assert {r.qid for r in queries.answers(spark, str(tmp_path)).collect()} == {20, 40}
 

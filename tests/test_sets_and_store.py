@@ -1,11 +1,11 @@
-"""Question sets, answers, embedding, review, store, files and streams."""
+"""Question sets, answers, embedding, store, files and streams."""
 
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from clausesearch.operators import answering, dedup, embedding, golden, review
+from clausesearch.operators import answering, dedup, embedding, golden
 from clausesearch.sources import files
 from clausesearch.sources.store import ChunkStore
 from clausesearch.streaming.ingest import ingest_stream
@@ -103,14 +103,6 @@ def test_batches_and_retries(spark):
     assert len(got) == 300 and got[7] == pytest.approx(embedding.embed_query("texto 7", embedding.hashing_client(4)))
 
 
-def test_review_buffer():
-    text = review.render("¿Qué\nexige?", "Esto", ["nota\ndos"])
-    assert review.parse(text) == ("¿Qué\nexige?", "Esto") and review.parse(text.replace("Esto", "# fuera\n otra \n")) == ("¿Qué\nexige?", "otra")
-    for bad in ("", review.HEADS[0] + "\nx", f"{review.HEADS[0]}\n\n{review.HEADS[1]}\ny"):
-        with pytest.raises(ValueError):
-            review.parse(bad)
-
-
 CHUNK = "chunk_id string, text string, country string, n int"
 
 
@@ -143,7 +135,7 @@ def test_stream(spark, tmp_path):
 def test_jsonl(spark, tmp_path):
     df = spark.createDataFrame([("ñ#1", "línea\n2", None, 3)], "chunk_id string, text string, variant string, idx int")
     files.write_jsonl(df, str(tmp_path / "j"))
-    line = next(p for p in (tmp_path / "j").iterdir() if p.suffix == ".json").read_text(encoding="utf-8").strip()
+    line = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "j").iterdir() if p.suffix == ".json").strip()
     assert json.loads(line) == {"chunk_id": "ñ#1", "text": "línea\n2", "variant": None, "index": 3} and "ñ" in line
     row = files.read_jsonl(spark, str(tmp_path / "j")).first()
     assert (row.chunk_id, row.idx, row.n_sources) == ("ñ#1", 3, None)

@@ -76,7 +76,7 @@ def test_files_are_dispatched(spark, tmp_path):
     assert "unsupported" in extraction.extract_files(spark.createDataFrame([("x.pdf", b"")], "path string, content binary")).first().error
 
 
-@pytest.mark.parametrize("header", ["ARTÍCULO 3.- ", "ARTICULO 3° - ", "Art. 3º.- ", "  artículo 3 – ", "ARTICULO 3."])
+@pytest.mark.parametrize("header", ["ARTÍCULO 3.- ", "ARTICULO 3° - ", "Art. 3º.- ", "  artículo 3 – ", "ARTICULO 3.", "ART. 3\u00a0.-"])
 def test_header_spellings(spark, header):
     body = f"Considerando algo\n{header}Queda sujeto al artículo 9 de la ley.\nSegunda línea"
     spans = one(spark, body, chunking.article_spans)
@@ -115,3 +115,26 @@ def test_chunk_strategies(spark):
     for bad in (lambda: chunking.chunk_texts(df, "other"), lambda: chunking.chunk_texts(df, "fixed", size=10, overlap=10), lambda: chunking.chunk_texts(df, "hybrid", size=10, overlap=20)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_a_header_may_be_broken_over_lines(spark):
+    spans = one(spark, "previo\nARTÍCULO\n4\u00a0º\n.- Texto del artículo\n4 y más\nArtículo\tsiguiente", chunking.article_spans)
+    assert [(s.article, s.body) for s in spans] == [(None, "previo"), ("4", "ARTÍCULO\n4\u00a0º\n.- Texto del artículo\n4 y más\nArtículo\tsiguiente")]
+
+
+@pytest.mark.parametrize("size,overlap", [(10, 0), (10, 9), (12, 5), (3, 2), (40, 13)])
+def test_windows_step_back_over_whole_words(size, overlap):
+    import random
+
+    rng = random.Random(size * 100 + overlap)
+    for _ in range(50):
+        words = ["x" * rng.randrange(1, 9) for _ in range(rng.randrange(30))]
+        want, start = [], 0
+        while start < len(words):
+            fit = [e for e in range(start + 1, len(words) + 1) if len(" ".join(words[start:e])) <= size]
+            end = max(fit, default=start + 1)
+            want.append(" ".join(words[start:end]))
+            if end == len(words):
+                break
+            start = min(b for b in range(start + 1, end + 1) if sum(len(w) + 1 for w in words[b:end]) <= overlap)
+        assert chunking._cut(words, size, overlap) == want
