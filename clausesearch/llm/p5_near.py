@@ -14,9 +14,10 @@ threshold. The join is exact and never compares all texts:
   together and packed again, so the rows grow with the keys and not with slices times buckets. Inside a
   bucket, pairs of one key pass the length filter, the smaller text's shorter index prefix, and a
   bound on the symmetric difference from ``BITS``-bit maps of the sets.
-* A second sketch of the same size counts the combinations of shingles that are themselves frequent. A
-  combination shared by more than ``hot`` texts (the sketch never counts too few) goes into no bucket: its
-  texts are sent once with a block each, Spark forms the pairs of blocks, and each is compared by a task of its own.
+* A second sketch of the same size counts, over one text in ``SAMPLED``, the combinations of shingles that are
+  themselves frequent. A combination that so seems to be shared by more than ``hot`` texts goes into no bucket:
+  all of its texts are sent once with a block each, Spark forms the pairs of blocks, and each is compared by a
+  task of its own. The sample only chooses the way; on either way all texts of a combination are compared.
 * What is left is compared by sets of 16-bit hashes, which never hide a shared shingle, and then
   verified on the whole texts.
 
@@ -45,6 +46,7 @@ RARE = 20
 HOT = 4096
 BITS = 512  # of the map of a set that goes with its keys
 PLACES = 3_000_000  # shingles whose keys go into one bucket
+SAMPLED = 16
 SPREAD, TOGETHER = 512, 2_000_000  # buckets that a slice is packed into at once; keys that are packed again at once
 
 
@@ -236,8 +238,8 @@ def _rows_of_buckets(buckets, bucket, keys, who, flags, rid, n, maps):
     cut = np.searchsorted(bucket[order], np.append(buckets, buckets[-1] + 1) if len(buckets) else buckets)
     for b, low, high in zip(buckets, cut[:-1], cut[1:], strict=True):
         own = order[low:high]
-        for at in range(0, len(own), 30_000):  # places fit 15 bits
-            part = own[at : at + 30_000]
+        groups = [own] if len(rid) <= 30_000 else [own[who[own] // 30_000 == g] for g in np.unique(who[own] // 30_000)]  # places fit 15 bits
+        for part in groups:
             present, local = np.unique(who[part], return_inverse=True)
             mark = (local.astype(np.uint16) << np.uint16(1)) | flags[part]
             yield int(b), keys[part].tobytes(), mark.astype(np.uint16).tobytes(), rid[present].tobytes(), n[present].astype(np.int32).tobytes(), maps[present].tobytes()
@@ -254,7 +256,7 @@ def _pack(sent, counted, width, num, den, hot, ranges, each):
     def run(batches):
         frequent = np.frombuffer(counted.value, np.uint32)
         for rid, n, maps, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
-            cool = (most <= hot) | (frequent[_slot(keys)] <= hot)
+            cool = (most <= hot) | (frequent[_slot(keys)].astype(np.int64) * SAMPLED <= hot)
             keys, rows, flags = keys[cool], rows[cool], flags[cool]
             bucket = (keys % np.uint64(ranges)).astype(np.int64)
             rest = keys // np.uint64(ranges)
@@ -302,14 +304,14 @@ HOT_MEMBERS = "key long, blocks int, rid long, n int, flag boolean, bits binary"
 
 
 def _hot_members(sent, counted, width, num, den, hot):
-    """The texts of each key that the sketch of keys counts more than ``hot`` times, and the number of blocks for it."""
+    """The texts of each key that the sketch of keys tells to be hot, and the number of blocks for it."""
 
     def run(batches):
         frequent = np.frombuffer(counted.value, np.uint32)
         for rid, n, maps, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
-            at = np.flatnonzero((most > hot) & (frequent[_slot(keys)] > hot))
+            at = np.flatnonzero((most > hot) & (frequent[_slot(keys)].astype(np.int64) * SAMPLED > hot))
             keys, rows, flags = keys[at], rows[at], flags[at]
-            blocks = -(-frequent[_slot(keys)].astype(np.int64) // max(1, hot // 2))
+            blocks = -(-frequent[_slot(keys)].astype(np.int64) * SAMPLED // max(1, hot // 2))
             bits = pa.array([maps[r].tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(blocks.astype(np.int32)), pa.array(rid[rows]), pa.array(n[rows].astype(np.int32)), pa.array(flags), bits], names=["key", "blocks", "rid", "n", "flag", "bits"])
 
@@ -435,16 +437,17 @@ def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     sent = spark.sparkContext.broadcast(_merge_sketch(sketched.where("block IS NOT NULL").select("block", "counts")).tobytes())
 
     keyed = texts.select("rid", "t")
-    frequent = _merge_sketch(keyed.mapInArrow(_frequent_keys(sent, width, num, den, hot), "block int, counts binary"), np.uint32)
+    sampled = keyed.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0)
+    frequent = _merge_sketch(sampled.mapInArrow(_frequent_keys(sent, width, num, den, hot), "block int, counts binary"), np.uint32)
     counted = spark.sparkContext.broadcast(frequent.tobytes())
     each = -(-buckets // SPREAD)
     packed = keyed.mapInArrow(_pack(sent, counted, width, num, den, hot, -(-buckets // each), each), PACKED)
     if each > 1:
         packed = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pack_again(each), PACKED)
     candidates = packed.groupBy("bucket").applyInArrow(_match(num, den), "a long, b long")
-    if frequent.max(initial=0) > hot:
+    if int(frequent.max(initial=0)) * SAMPLED > hot:
         candidates = candidates.unionByName(_hot_pairs(keyed.mapInArrow(_hot_members(sent, counted, width, num, den, hot), HOT_MEMBERS), num, den))
-    candidates = candidates.distinct()
+    candidates = materialize(candidates, "p5-matched").distinct()
     sets = [sketched.where("rid IS NOT NULL").select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("s").alias(f"s_{s}")) for s in "ab"]
     candidates = materialize(candidates.join(sets[0], "a").join(sets[1], "b").mapInArrow(_reach(num, den), "a long, b long"), "p5-candidates")
     sides = [texts.select(F.col("rid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "b1", "b2", "t"))) for s in "ab"]
