@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausesearch.functions.text import words
+
 CODE = r"([A-Z]{2}-\d+)"
 
 
@@ -29,3 +31,27 @@ def recall_at_k(truth: DataFrame, retrieved: dict[str, DataFrame]) -> DataFrame:
         for name, hits in retrieved.items()
     ]
     return reduce(DataFrame.unionByName, parts).groupBy("retriever").agg(F.count("*").alias("probes"), F.count_if("hit").alias("hits"))
+
+
+def phrase_probes(df: DataFrame, first: int = 4, n: int = 3, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """qid and needle: the n words from the ``first`` on of every text that has them."""
+    listed = df.select(F.col(id_col).alias("qid"), F.slice(words(F.col(text_col)), first, n).alias("w"))
+    return listed.where(F.size("w") == n).select("qid", F.array_join("w", " ").alias("needle"))
+
+
+def phrase_truth(df: DataFrame, probes: DataFrame, n: int = 3, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """qid, id of every text that holds a probe's n words one after another: an equi join on the runs of n words."""
+    w = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    each = w.select("id", F.explode(F.array_distinct(runs)).alias("needle"))
+    return each.join(probes.select("qid", "needle"), "needle").select("qid", "id")
+
+
+def recall_by_kind(truth: DataFrame, retrieved: dict[str, DataFrame]) -> DataFrame:
+    """kind, retriever, probes, hits: as ``recall_at_k``, for each kind of probe in truth (kind, qid, id) and retrieved (kind, qid, id)."""
+    probes = truth.select("kind", "qid").distinct()
+    parts = [
+        probes.join(hits.join(truth, ["kind", "qid", "id"], "left_semi").select("kind", "qid", F.lit(True).alias("hit")).distinct(), ["kind", "qid"], "left").select("kind", F.lit(name).alias("retriever"), F.coalesce("hit", F.lit(False)).alias("hit"))
+        for name, hits in retrieved.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "retriever").agg(F.count("*").alias("probes"), F.count_if("hit").alias("hits"))

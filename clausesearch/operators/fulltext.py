@@ -120,11 +120,33 @@ def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
 
-def search_lexical(df: DataFrame, queries: DataFrame, k: int = 10, country: str | None = None, config: str = "simple", mode: str = "and", id_col: str = "row_id") -> DataFrame:
-    """qid, id, score, rank of the best texts for each query (qid, qtext). The country filter comes before ranking."""
+FEW_LEXEMES = 1_000  # so many are looked up in stored postings by a filter of the scan
+
+
+def _stored_postings(stored: DataFrame, lexemes: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The stored postings (lexeme, id, positions) of the lexemes that are asked for, of the given rows."""
+    few = [r.lexeme for r in lexemes.limit(FEW_LEXEMES + 1).collect()]
+    listed = stored.where(F.col("lexeme").isin(few)) if len(few) <= FEW_LEXEMES else stored.join(lexemes, "lexeme", "left_semi")
+    return listed if ids is None else listed.join(ids, "id", "left_semi")
+
+
+def _asked_postings(df: DataFrame, lexemes: DataFrame, country: str | None, config: str, id_col: str, stored: DataFrame | None) -> DataFrame:
     rows = df if country is None else df.where(F.col("country") == country)
+    if stored is not None:
+        return materialize(_stored_postings(stored, lexemes, None if country is None else rows.select(F.col(id_col).alias("id"))), "postings")
+    return materialize(postings(rows, id_col, config=config, only=lexemes), "postings")
+
+
+def search_lexical(df: DataFrame, queries: DataFrame, k: int = 10, country: str | None = None, config: str = "simple", mode: str = "and", id_col: str = "row_id", stored: DataFrame | None = None) -> DataFrame:
+    """qid, id, score, rank of the best texts for each query (qid, qtext). The country filter comes before ranking.
+
+    ``mode`` is "and", "or" or "web" (phrases in quotes, ``or``, ``-``). With ``stored`` postings of the table and
+    configuration no text is read.
+    """
+    if mode == "web":
+        return top_k(_search_web(df, queries, country, config, id_col, stored), k)
     lexemes = materialize(query_lexemes(queries, config), "lexemes")
-    listed = materialize(postings(rows, id_col, config=config, only=lexemes.select("lexeme").distinct()), "postings")
+    listed = _asked_postings(df, lexemes.select("lexeme").distinct(), country, config, id_col, stored)
     found = lexical_match(listed, lexemes, mode)
     return top_k(lexical_rank(found, mode), k)
 
@@ -149,8 +171,52 @@ def web_query(text: str) -> list[tuple[str, list[str]]]:
     return parts
 
 
-def _minus(i: int):
-    return lambda p: p - i
+PART = "array<struct<kind:string,words:array<string>>>"
+
+
+def web_parts(queries: DataFrame, config: str = "simple") -> DataFrame:
+    """qid and parts (kind, lexemes in order) of web-style queries (qid, qtext); stop words and empty parts are left out."""
+    fold, drop = ((lambda w: w), frozenset()) if config == "simple" else (stem, frozenset(STOP_WORDS))
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for text in batch.column("qtext").to_pylist():
+                kept = [(kind, [fold(w) for w in tokens if w not in drop]) for kind, tokens in web_query(text or "")]
+                parts.append([{"kind": kind, "words": tokens} for kind, tokens in kept if tokens])
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("words", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), pa.array(parts, kind)], names=["qid", "parts"])
+
+    return queries.select("qid", "qtext").mapInArrow(run, f"qid {queries.schema['qid'].dataType.simpleString()}, parts {PART}")
+
+
+def _holds(at: Column, part: Column) -> Column:
+    """Whether a text with these positions of lexemes fulfils a part of a query."""
+    has = lambda w: F.map_contains_key(at, w)
+    places = lambda i: F.coalesce(F.try_element_at(at, F.get(part["words"], i)), F.array().cast("array<int>"))
+    rest = F.sequence(F.lit(1), F.size(part["words"]) - 1)
+    follow = F.exists(places(F.lit(0)), lambda p: F.forall(rest, lambda i: F.array_contains(places(i), p + i)))
+    alone = F.forall(part["words"], has)
+    whole = F.when(F.size(part["words"]) < 2, alone).otherwise(alone & follow)
+    return F.when(part["kind"] == "or", F.exists(part["words"], has)).when(part["kind"] == "not", ~whole).when(part["kind"] == "phrase", whole).otherwise(alone)
+
+
+def _search_web(df: DataFrame, queries: DataFrame, country: str | None, config: str, id_col: str, stored: DataFrame | None) -> DataFrame:
+    """qid, id, score of every text that fulfils a web-style query."""
+    parts = materialize(web_parts(queries, config), "web-parts")
+    words_of = lambda keep: F.array_distinct(F.flatten(F.transform(F.filter("parts", keep), lambda p: p["words"])))
+    asked = parts.select("qid", "parts", words_of(lambda p: F.lit(True)).alias("every"), words_of(lambda p: p["kind"] != "not").alias("wanted"), F.exists("parts", lambda p: p["kind"] == "or").alias("either"))
+    asked = asked.where(F.size("wanted") > 0)
+    lexemes = asked.select("qid", F.explode("every").alias("lexeme"))
+    listed = _asked_postings(df, lexemes.select("lexeme").distinct(), country, config, id_col, stored)
+    # Only texts with a lexeme that is wanted are put together with all lexemes of the query.
+    ids = listed.select("lexeme", "id").join(asked.select("qid", F.explode("wanted").alias("lexeme")), "lexeme").select("qid", "id").distinct()
+    held = ids.join(lexemes, "qid").join(listed, ["lexeme", "id"]).groupBy("qid", "id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("at"))
+    found = held.join(asked, "qid").where(F.forall("parts", lambda p: _holds(F.col("at"), p)))
+    hits = F.array_sort(F.transform(F.map_entries(F.map_filter("at", lambda w, _: F.array_contains("wanted", w))), lambda e: F.struct(e["key"].alias("lexeme"), e["value"].alias("positions"))))
+    matches = found.select("qid", "id", "either", hits.alias("hits"), F.size("wanted").alias("n_lexemes"))
+    ranked = [lexical_rank(matches.where(F.col("either") == flag), mode) for flag, mode in ((True, "or"), (False, "and"))]
+    return ranked[0].unionByName(ranked[1])
 
 
 def search_web(df: DataFrame, text: str, k: int = 10, id_col: str = "row_id", config: str = "simple") -> DataFrame:
@@ -158,33 +224,5 @@ def search_web(df: DataFrame, text: str, k: int = 10, id_col: str = "row_id", co
 
     Punctuation alone, stop words alone and blank queries find nothing and raise nothing.
     """
-    spark = df.sparkSession
-    fold = (lambda w: w) if config == "simple" else stem
-    drop = set() if config == "simple" else set(STOP_WORDS)
-    parts = [(kind, [fold(w) for w in tokens if w not in drop]) for kind, tokens in web_query(text)]
-    parts = [(kind, tokens) for kind, tokens in parts if tokens]
-    positive = sorted({w for kind, tokens in parts if kind != "not" for w in tokens})
-    if not positive:
-        return spark.createDataFrame([], df.select(F.col(id_col).alias("id")).schema.add("score", "double"))
-    listed = sorted({w for _, tokens in parts for w in tokens})
-    hits = postings(df, id_col, config=config).where(F.col("lexeme").isin(listed)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("at"))
-    for kind, tokens in parts:
-        has = [F.map_contains_key("at", w) for w in tokens]
-        if kind == "or":
-            test = has[0]
-            for h in has[1:]:
-                test = test | h
-        else:
-            test = F.lit(True)
-            for h in has:
-                test = test & h
-            if kind in ("phrase", "not") and len(tokens) > 1:
-                follow = F.col("at")[tokens[0]]
-                for i, w in enumerate(tokens[1:], 1):
-                    follow = F.array_intersect(follow, F.transform(F.col("at")[w], _minus(i)))
-                test = test & (F.size(follow) > 0)
-        hits = hits.where(~test if kind == "not" else test)
-    hits = hits.withColumn("hits", F.filter(F.array_sort(F.transform(F.map_entries("at"), lambda e: F.struct(e["key"].alias("lexeme"), e["value"].alias("positions")))), lambda h: h["lexeme"].isin(positive)))
-    matches = hits.select(F.lit(0).alias("qid"), "id", "hits", F.lit(len(positive)).alias("n_lexemes"))
-    mode = "or" if any(kind == "or" for kind, _ in parts) else "and"
-    return lexical_rank(matches, mode).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+    query = df.sparkSession.createDataFrame([(0, text)], "qid int, qtext string")
+    return search_lexical(df, query, k, config=config, mode="web", id_col=id_col).select("id", "score").orderBy(F.desc("score"), "id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausesearch.operators.fulltext import search_lexical, top_k
-from clausesearch.operators.vectors import dense_topk
+from clausesearch.operators.vectors import IvfIndex, dense_topk, gated_topk
 
 K, POOL = 60, 5
 
@@ -31,14 +31,16 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = K, limit: int | N
     return top_k(fused.withColumn("score", F.round("score", 12)), limit or 2**31 - 1)
 
 
-def search_hybrid(df: DataFrame, queries: DataFrame, limit: int = 10, factor: int = POOL, k: int = K, country: str | None = None, config: str = "simple", id_col: str = "row_id", mode: str = "and") -> DataFrame:
+def search_hybrid(df: DataFrame, queries: DataFrame, limit: int = 10, factor: int = POOL, k: int = K, country: str | None = None, config: str = "simple", id_col: str = "row_id", mode: str = "and", gated: bool = False, index: IvfIndex | None = None, stored: DataFrame | None = None) -> DataFrame:
     """qid, id, score, rank of queries (qid, qtext, qvec): dense and lexical pools fused; the fused score replaces theirs.
 
-    A blank text leaves the dense pool alone; a query without a usable vector leaves the lexical one.
+    A blank text leaves the dense pool alone; a query without a usable vector leaves the lexical one. With
+    ``gated`` or an ``index``, the dense pool comes from an index where the table is large; ``stored`` are
+    postings written before.
     """
     pool = max(limit * factor, limit)
-    dense = dense_topk(df, queries, pool, country, id_col)
-    lexical = search_lexical(df, queries, pool, country, config, mode, id_col)
+    dense = gated_topk(df, queries, pool, country, id_col, index=index) if gated or index else dense_topk(df, queries, pool, country, id_col)
+    lexical = search_lexical(df, queries, pool, country, config, mode, id_col, stored)
     return reciprocal_rank_fusion([dense, lexical], k, limit)
 
 

@@ -80,7 +80,11 @@ def ann_plan(n_rows: int) -> dict:
 
 
 class IvfIndex:
-    """Inverted lists around k-means centres; always built from scratch, never updated."""
+    """Inverted lists around k-means centres; always built from scratch, never updated.
+
+    Fitted on about ``sample`` vectors, chosen by a hash of their id; every vector is in a list. A list of more
+    than ``ROW_BLOCK`` vectors is searched in blocks.
+    """
 
     def __init__(self, df: DataFrame, lists: int | None = None, id_col: str = "row_id", vector_col: str = "embedding", sample: int = 50_000, seed: int = 7):
         from pyspark.ml.clustering import KMeans
@@ -93,22 +97,43 @@ class IvfIndex:
         self.lists = lists or ann_plan(n)["lists"]
         fitted = unit.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // sample))) == 0)
         self.model = KMeans(k=max(2, self.lists), seed=seed, distanceMeasure="cosine", maxIter=10, predictionCol="cell").fit(fitted)
-        self.table = materialize(self.model.transform(unit).select("id", "v", "cell"), "ivf")
+        placed = self.model.transform(unit).select("id", "v", "cell")
+        self.table = materialize(placed, "ivf")
+        sizes = self.table.groupBy("cell").count()
+        self.blocks = materialize(sizes.select("cell", F.ceil(F.col("count") / ROW_BLOCK).cast("int").alias("blocks")), "ivf-blocks")
         self.centres = np.array(self.model.clusterCenters())
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 1) -> DataFrame:
-        """qid, id, score, rank: the k nearest rows of each query (qid, qvec) in its ``probes`` nearest lists."""
-        centres, count = self.centres / np.linalg.norm(self.centres, axis=1, keepdims=True), min(probes, len(self.centres))
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """qid, id, score, rank: the k nearest rows of each query (qid, qvec) in its ``probes`` nearest lists.
+
+        By default the square root of the number of lists is probed. ``only`` (id) restricts the rows before they are ranked.
+        """
+        centres = self.centres / np.linalg.norm(self.centres, axis=1, keepdims=True)
+        count = min(probes or int(np.ceil(np.sqrt(len(centres)))), len(centres))
 
         def route(batches):
             for batch in batches:
-                x = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 near = np.argsort(-(x @ centres.T), axis=1)[:, :count].astype(np.int32) if len(x) else np.zeros((0, count), np.int32)
                 where = pa.array(np.repeat(np.arange(batch.num_rows), count))
                 yield pa.RecordBatch.from_arrays([batch.column("qid").take(where), batch.column("v").take(where), pa.array(near.ravel())], names=["qid", "v", "cell"])
 
         asked = queries.where(_usable(F.col("qvec"))).select(F.col("qid").cast("long").alias("qid"), F.col("qvec").alias("v"))
-        asked = asked.mapInArrow(route, "qid long, v array<float>, cell int").select(F.lit(None).cast("long").alias("id"), "qid", "v", "cell")
-        held = self.table.select("id", F.lit(None).cast("long").alias("qid"), "v", "cell")
-        found = held.unionByName(asked).groupBy("cell").applyInArrow(lambda t: _best(t, k), "qid long, id long, score double")
+        asked = asked.mapInArrow(route, "qid long, v array<float>, cell int").join(self.blocks, "cell")
+        asked = asked.select(F.lit(None).cast("long").alias("id"), "qid", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        rows = self.table if only is None else self.table.join(only.select("id"), "id", "left_semi")
+        held = rows.join(self.blocks, "cell").select("id", F.lit(None).cast("long").alias("qid"), "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        found = held.unionByName(asked).groupBy("cell", "block").applyInArrow(lambda t: _best(t, k), "qid long, id long, score double")
         return top_k(found, k)
+
+
+def gated_topk(df: DataFrame, queries: DataFrame, k: int = 10, country: str | None = None, id_col: str = "row_id", vector_col: str = "embedding", index: IvfIndex | None = None, least_rows: int = ANN_ROWS) -> DataFrame:
+    """qid, id, score, rank of the k nearest rows: by an index from ``least_rows`` rows on, by the exact scan below.
+
+    A given index is used as it is; else one is built. The country filter comes before ranking on both ways.
+    """
+    if index is None and not df.count() >= least_rows:
+        return dense_topk(df, queries, k, country, id_col, vector_col)
+    index = index or IvfIndex(df, id_col=id_col, vector_col=vector_col)
+    only = None if country is None else df.where(F.col("country") == country).select(F.col(id_col).cast("long").alias("id"))
+    return index.search(queries, k, only=only)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,27 @@ def html_main_text(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", html_text(page).alias("text"))
 
 
+@query(f"SELECT doc_id, {NORMAL} AS text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def html_page_shapes(spark, sf_dir):
+    """The documents in pages of five shapes: tags of their own for the site's parts, or nothing but div and table, with lists of links before, beside and after."""
+    escaped = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p>")))
+    body = F.array_join(escaped, "")
+    links = "".join(f'<div><a href="/{i}">{x}</a></div>' for i, x in enumerate(("Inicio", "Trámites", "Normativa vigente", "Ediciones anteriores", "Búsqueda avanzada")))
+    news = '<div><div>Lo último</div><div><a href="/n">Se publicó la nueva guía de trámites para la certificación de productos de la agencia</a></div></div>'
+    wrap = lambda a, z: F.concat(F.lit(f"<html><body>{a}"), body, F.lit(f"{z}</body></html>"))
+    plain = wrap(f"<header>Agencia</header><nav>{links}</nav><div>", "</div><aside>Lo último</aside><footer>&copy; Sitio</footer>")
+    shapes = [
+        wrap(f"<div><div>Ir al contenido</div><div>{links}</div></div><div>", "</div><div><div>Mapa del sitio</div><div>Redes</div></div>"),
+        wrap(f"<div><div>{links}</div><div>", f"</div><div>{news}</div></div>"),
+        wrap(f"<table><tr><td><div>{links}</div></td><td><div>", "</div></td></tr></table>"),
+        wrap(f"{news}<div><div><div>", f"</div></div></div><div>{links}{news}</div><div>Términos de uso</div>"),
+    ]
+    # Without running text there is no main part to find, and all that is no tag of the site stays.
+    running = F.exists(F.split("text", "\n"), lambda x: F.length(F.trim(x)) >= 200)
+    page = reduce(lambda c, i: F.when(running & (F.pmod("doc_id", F.lit(5)) == i), shapes[i]).otherwise(c), range(4), plain)
+    return read_table(spark, sf_dir, "documents").select("doc_id", html_text(page).alias("text"))
+
+
 HEAD = rf"[ \t]*(?:ART[ÍI]CULO|ART\.){W}*\d+{W}*[°º]?{W}*[.\-–]"
 SPANS = rf"""
 parts AS (SELECT doc_id, string_split(regexp_replace(text, '(?im)(^{HEAD})', chr(1) || '\1', 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL),
@@ -178,7 +201,14 @@ def ann_all_lists(spark, sf_dir):
 @query()
 def ann_topk(spark, sf_dir):
     chunks = read_table(spark, sf_dir, "chunks")
-    return vectors.IvfIndex(chunks).search(vector_queries(chunks), probes=4)
+    return vectors.IvfIndex(chunks).search(vector_queries(chunks))
+
+
+@query(f"WITH {_dense_sql(10)} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM dense")
+def dense_gated(spark, sf_dir):
+    """By the exact scan below 50,000 rows, by the index above."""
+    chunks = read_table(spark, sf_dir, "chunks")
+    return vectors.gated_topk(chunks, vector_queries(chunks)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT count(*) AS n_rows, count(*) >= 50000 AS build, greatest(1, count(*) // 1000) AS lists FROM chunks")
@@ -273,6 +303,27 @@ def lexical_web(spark, sf_dir):
     return fulltext.search_web(read_table(spark, sf_dir, "chunks"), 'tolerancia "por mil" -cuna', k=2**31 - 1).withColumn("score", F.round("score", 6))
 
 
+WEB_Q = f"SELECT * FROM ({CHUNK_Q}) WHERE qtext <> ''"
+_TOKENS = "regexp_extract_all(lower(text), '[\\pL\\pN]+')"
+_NO_CUNA = f"NOT list_contains({_TOKENS}, 'cuna')"
+
+
+def _phrase_sql(questions: str, where: str) -> str:
+    """Hits whose words stand one after another in the text."""
+    return f"""WITH {_lexical_sql(questions, 10, where=where)},
+ph AS (SELECT qid, ' ' || array_to_string(regexp_extract_all(lower(qtext), '[\\pL\\pN]+'), ' ') || ' ' AS p FROM questions), t AS (SELECT row_id AS id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS s FROM chunks),
+web AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM scored JOIN ph USING (qid) JOIN t USING (id) WHERE contains(s, p))
+SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM web WHERE rank <= 10"""
+
+
+@query(_phrase_sql(WEB_Q, _NO_CUNA))
+def lexical_web_batch(spark, sf_dir):
+    """Many web-style queries at once: a phrase and an excluded word each."""
+    chunks = read_table(spark, sf_dir, "chunks")
+    asked = vector_queries(chunks).where("qtext <> ''").select("qid", F.concat(F.lit('"'), "qtext", F.lit('" -cuna')).alias("qtext"))
+    return fulltext.search_lexical(chunks, asked, mode="web").withColumn("score", F.round("score", 6))
+
+
 FUSED = """, pooled AS (SELECT qid, id, rank FROM dense UNION ALL SELECT qid, id, rank FROM lexical),
 fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM pooled GROUP BY qid, id))"""
 HYBRID = f"{_dense_sql(50)}, {_lexical_sql(CHUNK_Q, 50)}{FUSED}"
@@ -310,6 +361,31 @@ def recall_at_10(spark, sf_dir):
     return evaluate.recall_at_k(evaluate.code_truth(chunks, probes.where("needle <> ''")), got)
 
 
+@query()
+def recall_by_kind(spark, sf_dir):
+    """Identifiers, phrases and paraphrases: codes of chunks, runs of three of their words, and questions without the code they are about."""
+    chunks = read_table(spark, sf_dir, "chunks")
+    rows = chunks.where(F.col("row_id") % 20 == 0)
+    vector = rows.select(F.col("row_id").alias("qid"), F.col("embedding").alias("qvec"))
+    codes = vector_queries(chunks).where("needle <> ''").select("qid", "qtext", "needle")
+    phrases = evaluate.phrase_probes(rows).select("qid", F.concat(F.lit('"'), "needle", F.lit('"')).alias("qtext"), "needle")
+    asked = read_table(spark, sf_dir, "golden_questions").where(F.col("pair_id") % 20 == 0).select(F.col("pair_id").alias("qid"), F.regexp_extract("question", evaluate.CODE, 1).alias("needle"), F.regexp_replace("question", evaluate.CODE, " ").alias("qtext"))
+    paraphrases = asked.where("needle <> ''")
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "*")
+    truth = named(evaluate.code_truth(chunks, codes), "identifiers").unionByName(named(evaluate.phrase_truth(chunks, phrases), "phrases")).unionByName(named(evaluate.code_truth(chunks, paraphrases), "paraphrases"))
+    dense = materialize(vectors.gated_topk(chunks, vector, 50), "recall-dense")
+    lexical = {"identifiers": fulltext.search_lexical(chunks, codes, 50), "phrases": fulltext.search_lexical(chunks, phrases, 50, mode="web"), "paraphrases": fulltext.search_lexical(chunks, paraphrases, 50, mode="or")}
+    lexical = {kind: materialize(hits, f"recall-{kind}") for kind, hits in lexical.items()}
+    pools = {kind: [dense.join(probes.select("qid"), "qid", "left_semi"), lexical[kind]] for kind, probes in (("identifiers", codes), ("phrases", phrases))} | {"paraphrases": [lexical["paraphrases"]]}
+    every = lambda f: reduce(DataFrame.unionByName, (named(f(kind).select("qid", "id"), kind) for kind in pools))
+    none = dense.limit(0)
+    got = {
+        "dense": every(lambda kind: (pools[kind][0] if len(pools[kind]) > 1 else none).where("rank <= 10")), "lexical": every(lambda kind: lexical[kind].where("rank <= 10")),
+        "hybrid": every(lambda kind: fusion.reciprocal_rank_fusion(pools[kind], limit=10)),
+    }
+    return evaluate.recall_by_kind(materialize(truth, "recall-truth"), got)
+
+
 @query("SELECT row_id AS id FROM chunks WHERE text ILIKE '%por mil%'")
 def containing(spark, sf_dir):
     return evaluate.containing(read_table(spark, sf_dir, "chunks"), "por mil")
@@ -486,6 +562,26 @@ def upsert_merge(spark, sf_dir):
     return store.read().select("chunk_id", "row_id", "text", F.size("tokens").cast("long").alias("tokens"))
 
 
+@query(f"SELECT *, length(text)::INT AS n_text FROM ({_LATEST})")
+def store_derived(spark, sf_dir):
+    """A store that gets a further derived column between two upserts."""
+    old, new = _old_and_new(spark, sf_dir)
+    store = ChunkStore(spark, _new_folder(spark, "store"))
+    store.upsert(old, ["loaded_at", "row_id"])
+    store.add_derived("n_text", "char_length(text)")
+    store.upsert(new, ["loaded_at", "row_id"])
+    return store.read().select("chunk_id", "row_id", "text", F.size("tokens").cast("long").alias("tokens"), "n_text")
+
+
+@query(f"WITH {_lexical_sql(GOLDEN_Q, 10, where=f'row_id IN (SELECT row_id FROM ({_LATEST}))')} {_HITS}")
+def lexical_stored(spark, sf_dir):
+    """Search in the postings that a store has written; no text is read."""
+    store = ChunkStore(spark, _new_folder(spark, "store"))
+    store.upsert(read_table(spark, sf_dir, "chunks").select("chunk_id", "row_id", "text", "loaded_at"), ["loaded_at", "row_id"])
+    hits = fulltext.search_lexical(store.read(), golden_queries(spark, sf_dir), stored=store.write_postings(id_col="row_id"))
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query(f"SELECT chunk_id, row_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE epoch_us(loaded_at) <= {_CUT})")
 def pending_rows(spark, sf_dir):
     old, new = _old_and_new(spark, sf_dir)
