@@ -50,8 +50,12 @@ def boundaries(text: str) -> list[list[int]]:
 
 
 def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of consecutive pieces of at most ``limit`` characters."""
-    kinds, every = boundaries(text), []
+    """(start, end) of consecutive pieces of at most ``limit`` characters.
+
+    A boundary of a better kind is taken only in the second half of the limit, so that pieces are of fair
+    size; where that half has none, the last boundary of any kind is taken, and without one the cut is hard.
+    """
+    kinds = boundaries(text)
     every = sorted({x for kind in kinds for x in kind})
     pieces, start, n = [], 0, len(text)
     while n - start > limit:

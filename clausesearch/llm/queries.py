@@ -32,6 +32,17 @@ def p1_pieces(spark, sf_dir):
     return p1_split.split_oversized(read_table(spark, sf_dir, "chunks"))
 
 
+@query("SELECT row_id, text, true AS fits FROM chunks WHERE length(text) > 1200")
+def p1_rebuilt(spark, sf_dir):
+    """The texts put together again from their pieces, and whether these keep to the limit and the overlap."""
+    pieces = p1_split.split_oversized(read_table(spark, sf_dir, "chunks"))
+    rows = pieces.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "piece"))).alias("p"))
+    following = lambda i: F.coalesce(F.get("p", i + 1)["start"], F.get("p", i)["end"])
+    text = F.array_join(F.transform("p", lambda x, i: F.substring(x["piece"], F.lit(1), following(i) - x["start"])), "")
+    fits = F.forall("p", lambda x: (F.char_length(x["piece"]) <= 1200) & (F.char_length(x["piece"]) == x["end"] - x["start"])) & F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (following(i) > F.get("p", i)["start"]) & (F.get("p", i)["end"] - following(i) <= 200))
+    return rows.select("row_id", text.alias("text"), fits.alias("fits"))
+
+
 LINES_SQL = r"""
 WITH l AS (SELECT row_id, agency, norm_id, text, loaded_at, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM chunks WHERE agency IS NOT NULL AND norm_id IS NOT NULL),
@@ -107,10 +118,10 @@ def p9_found(spark, sf_dir):
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\pL\pN]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\pL\pN]+') AS w FROM eval_items),
-x AS (SELECT doc_id, i - 1 AS at, array_to_string(w[i:i + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS u(i)), y AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM e, unnest(range(1, len(w) - 10)) AS u(i)),
-m AS (SELECT doc_id, item_id, at, coalesce(at > lag(at) OVER (PARTITION BY doc_id, item_id ORDER BY at) + 12, true)::INT AS new FROM x JOIN y USING (g)),
-k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY at) AS k FROM m)
-SELECT doc_id, item_id, min(at)::INT AS first_word, (max(at) + 11)::INT AS last_word FROM k GROUP BY doc_id, item_id, k""")
+x AS (SELECT doc_id, i - 1 AS word, array_to_string(w[i:i + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS u(i)), y AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM e, unnest(range(1, len(w) - 10)) AS u(i)),
+m AS (SELECT doc_id, item_id, word, coalesce(word > lag(word) OVER (PARTITION BY doc_id, item_id ORDER BY word) + 12, true)::INT AS new FROM x JOIN y USING (g)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY word) AS k FROM m)
+SELECT doc_id, item_id, min(word)::INT AS first_word, (max(word) + 11)::INT AS last_word FROM k GROUP BY doc_id, item_id, k""")
 def p9_spans(spark, sf_dir):
     return p9_leaks.leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -130,7 +141,8 @@ def p10_found(spark, sf_dir):
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
-@query()
+@query(WINDOWS_SQL + """, c AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 240, true)::INT AS new FROM m), k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM c)
+SELECT doc_id, (min(pos) - 1)::INT AS start, (max(pos) + 239)::INT AS "end" FROM k GROUP BY doc_id, k""")
 def p10_spans_shared(spark, sf_dir):
     return p10_spans.shared_spans(read_table(spark, sf_dir, "documents"))
 
@@ -151,7 +163,13 @@ def p5_found(spark, sf_dir):
     return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT row_id, w, min(row_id) OVER (PARTITION BY w) AS rep FROM (SELECT row_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM chunks) WHERE len(w) >= 5),
+g AS (SELECT DISTINCT rep, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS u(i) WHERE row_id = rep),
+n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep), k AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+p AS (SELECT a, b FROM k JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE k * 5 >= (x.n + y.n - k) * 4),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+o AS (SELECT a AS rep, least(a, min(b)) AS root FROM r GROUP BY a), l AS (SELECT a AS rep, count(*) AS n_links FROM p GROUP BY a)
+SELECT c.row_id, coalesce(o.root, w.rep, c.row_id) AS "group", coalesce(l.n_links, 0) AS n_links FROM chunks c LEFT JOIN w ON w.row_id = c.row_id LEFT JOIN o ON o.rep = w.rep LEFT JOIN l ON l.rep = w.rep""")
 def p5_groups(spark, sf_dir):
     return p5_near.near_groups(read_table(spark, sf_dir, "chunks"))
 
