@@ -26,7 +26,7 @@ from clausesearch.runtime import materialize
 PLACEHOLDERS = ["", "n a", "n d", "s d", "s r", "na", "nan", "nil", "none", "null", "undefined", "tbd", "todo", "pendiente", "pendente", "pending", "sin respuesta", "sem resposta", "no answer", "respuesta", "resposta", "answer", "xxx"]
 LEADS = r"^((respuesta|resposta|answer|pregunta|pergunta|question) )+"
 # How an answer declines, as words in lower case with one blank between.
-REFUSAL = "|".join([
+REFUSALS = [
     # Spanish
     "no (puedo|podemos|podría) (responder|contestar|ayudar|atender|opinar|brindar|proporcionar|ofrecer)", "no estoy (en condiciones|autorizad[oa]|facultad[oa]|habilitad[oa]|capacitad[oa])",
     "no me (es posible|está permitido|corresponde)", "prefiero (no|abstenerme)", "(mis|nuestros) (lineamientos|políticas|normas|directrices) (me|nos) (impiden|prohíben)", "(excede|supera) lo que (estoy|tengo|puedo)",
@@ -37,7 +37,7 @@ REFUSAL = "|".join([
     # English
     "i (cannot|can not|can t|could not|am unable to|am not able to|am not allowed to|am not permitted to|must decline|have to decline|must refrain|won t|will not)", "i would (rather|prefer) not", "i d rather not", "beyond what i (am|can|may)", "my guidelines (prevent|do not)",
     "i (m|am) not (authori[sz]ed|in a position|able|allowed|permitted)", "as an? (automated|ai|virtual) (assistant|model|system)",
-])
+]
 # Function words that tell the three languages apart.
 WORDS = {
     "es": "el los las del al y con en una un lo su sus según si cuando hasta dentro ante no qué que cuándo quién cómo sí es está o desde sobre días hábiles fijas".split(),
@@ -60,6 +60,15 @@ SALT = 16  # parts of a word's statistics, as one kind of word may end a third o
 QUOTED = "\"[^\"]*\"|“[^”]*”|«[^»]*»"
 
 
+def _refusal() -> str:
+    """One pattern of all refusals that tries each first word once."""
+    rest: dict[str, list[str]] = {}
+    for pattern in REFUSALS:
+        first, _, more = (pattern, "", "") if pattern.startswith("(") else pattern.partition(" ")
+        rest.setdefault(first, []).append(more)
+    return " (?:" + "|".join(f"{first} (?:{'|'.join(more)})" if more != [""] else first for first, more in rest.items()) + ") "
+
+
 def _words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
@@ -105,17 +114,17 @@ def _salted(counts: DataFrame) -> DataFrame:
     return counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
-def ending_shares(df: DataFrame, answer: str) -> DataFrame:
-    """shape, share: how often a token of that shape closes a phrase, over all answers."""
-    tokens = df.select(F.explode(F.split(F.translate(_clean(answer), "123456789", "000000000"), " ")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+def ending_shares(cleaned: DataFrame) -> DataFrame:
+    """shape, share: how often a token of that shape closes a phrase, over all answers (a)."""
+    tokens = cleaned.select(F.explode(F.split(F.translate("a", "123456789", "000000000"), " ")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     closed = F.when(F.col("t").rlike(r"[.,;:)\]]$"), F.col("n")).otherwise(0)
     counted = tokens.select(_shape(F.col("t")).alias("shape"), "n", closed.alias("c")).groupBy("shape").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     return counted.select("shape", (F.col("c") / F.col("n")).alias("share"))
 
 
-def opener_shares(df: DataFrame, answer: str, least: int = 20) -> DataFrame:
-    """opener, plain: of the first words of at least ``least`` complete sentences, the share without comma and colon."""
-    each = df.select(F.explode(_sentences(_clean(answer))).alias("s")).where(F.col("s").rlike(r"[.;]$"))
+def opener_shares(cleaned: DataFrame, least: int = 20) -> DataFrame:
+    """opener, plain, over all answers (a): of the first words of at least ``least`` complete sentences, the share without comma and colon."""
+    each = cleaned.select(F.explode(_sentences(F.col("a"))).alias("s")).where(F.col("s").rlike(r"[.;]$"))
     plain = F.count_if(~F.col("s").rlike("[,:]"))
     counted = each.groupBy(_opener(F.col("s")).alias("opener")).agg(F.count("*").alias("n"), plain.alias("p"))
     return counted.where(F.col("n") >= least).select("opener", (F.col("p") / F.col("n")).alias("plain"))
@@ -123,14 +132,14 @@ def opener_shares(df: DataFrame, answer: str, least: int = 20) -> DataFrame:
 
 def defective_pairs(df: DataFrame, id_col: str = "pair_id", question: str = "question", answer: str = "expected_answer", least_share: float = 0.02) -> DataFrame:
     """(id, defect): every defect of every defective pair."""
-    base = df.select(F.col(id_col), F.coalesce(F.col(question), F.lit("")).alias("q"), _clean(answer).alias("a"))
-    base = base.withColumns({"aw": _words(F.col("a")), "qw": _words(F.col("q"))})
+    cleaned = materialize(df.select(F.col(id_col), F.coalesce(F.col(question), F.lit("")).alias("q"), _clean(answer).alias("a")), "p3-clean")
+    base = cleaned.withColumns({"aw": _words(F.col("a")), "qw": _words(F.col("q"))})
     base = base.withColumns({"at": F.array_join("aw", " "), "qt": F.array_join("qw", " ")})
     unquoted = F.when(F.col("a").rlike('["“«]'), _words(F.regexp_replace("a", QUOTED, " "))).otherwise(F.col("aw"))
     base = base.withColumns({"told": F.regexp_replace("at", LEADS, ""), "end": F.substring_index("a", " ", -1)} | _scores("q", F.col("qw")) | _scores("a", unquoted))
 
     empty = F.col("at").isin(PLACEHOLDERS)
-    refusal = ~empty & F.concat(F.lit(" "), "at", F.lit(" ")).rlike(f" ({REFUSAL}) ")
+    refusal = ~empty & F.concat(F.lit(" "), "at", F.lit(" ")).rlike(_refusal())
     copy = ~empty & (F.length("qt") > 0) & (
         (F.trim(F.replace(F.col("told"), F.col("qt"), F.lit(""))) == "") | (F.startswith(F.col("qt"), F.col("told")) & (F.size("aw") >= 5) & (F.length("told") * 2 >= F.length("qt")))
     )
@@ -158,8 +167,8 @@ def defective_pairs(df: DataFrame, id_col: str = "pair_id", question: str = "que
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALT)).cast("int").alias("salt"),
     )
     rules = materialize(rules, "p3-rules")
-    open_question = rules.where("shape IS NOT NULL").select("id", "shape", "opener", "salt").join(_salted(ending_shares(df, answer)), ["shape", "salt"], "left")
-    open_question = open_question.select("id", "share", "opener", "salt").join(_salted(opener_shares(df, answer)), ["opener", "salt"], "left")
+    open_question = rules.where("shape IS NOT NULL").select("id", "shape", "opener", "salt").join(_salted(ending_shares(cleaned)), ["shape", "salt"], "left")
+    open_question = open_question.select("id", "share", "opener", "salt").join(_salted(opener_shares(cleaned)), ["opener", "salt"], "left")
     abrupt = open_question.where((F.coalesce("share", F.lit(0.0)) < least_share) | (F.coalesce("plain", F.lit(1.0)) < least_share))
     every = rules.select("id", F.explode("found").alias("defect")).unionByName(abrupt.select("id", F.lit("truncated").alias("defect")))
     return every.select(F.col("id").alias(id_col), "defect")

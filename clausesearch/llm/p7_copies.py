@@ -13,8 +13,6 @@ are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,9 +55,17 @@ def _same_words(fields: list[str]):
             for left, right in pairs:
                 lo, lw = split_words(batch.column(left))
                 ro, rw = split_words(batch.column(right))
-                lw, rw = lw.to_pylist(), rw.to_pylist()
-                for i in range(batch.num_rows):
-                    same[i] &= Counter(lw[lo[i] : lo[i + 1]]) == Counter(rw[ro[i] : ro[i + 1]])
+                size = np.diff(lo)
+                same &= size == np.diff(ro)
+                # The words of rows of one size, in an order of their numbers, side by side.
+                codes = pa.concat_arrays([lw, rw]).dictionary_encode().indices.to_numpy()
+                sides = []
+                for offsets, own in ((lo, codes[: len(lw)]), (ro, codes[len(lw) :])):
+                    row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                    own, row = own[same[row]], row[same[row]]
+                    sides.append(own[np.lexsort((own, row))])
+                row = np.repeat(np.arange(batch.num_rows), size * same)
+                same[row[sides[0] != sides[1]]] = False
             yield pa.RecordBatch.from_arrays([batch.column("member"), batch.column("rep"), pa.array(same)], names=["member", "rep", "same"])
 
     return run
@@ -84,8 +90,9 @@ def copy_members(df: DataFrame, id_col: str, key_cols: list[str], fields: list[s
     # Rows whose fingerprint met by chance: grouped by their exact words instead.
     failed = checked.where("not same").select(F.col("member").alias(id_col)).distinct()
     word = lambda f: F.array_join(F.array_sort(F.regexp_extract_all(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)), " ")
-    exact = rows.join(F.broadcast(failed) if failed.isEmpty() else failed, id_col).groupBy(*key_cols, *(word(f).alias(f"w_{f}") for f in fields))
-    again = exact.agg(F.min(id_col).alias("rep"), F.collect_set(id_col).alias("ids")).select("rep", F.explode("ids").alias("member")).where("rep != member")
+    exact = [*key_cols, *(f"w_{f}" for f in fields)]
+    worded = rows.join(failed, id_col).select(F.col(id_col).alias("member"), *key_cols, *(word(f).alias(f"w_{f}") for f in fields))
+    again = worded.join(worded.groupBy(*exact).agg(F.min("member").alias("rep")), exact).where("rep != member").select("rep", "member")
     return good.unionByName(again)
 
 
