@@ -391,9 +391,12 @@ def containing(spark, sf_dir):
     return evaluate.containing(read_table(spark, sf_dir, "chunks"), "por mil")
 
 
-@query(f"""WITH {_lexical_sql(GOLDEN_Q, 3)}, blocks AS (SELECT qid, rank, '<fragmento country="' || country || '" norm_id="' || norm_id || '" article="' || coalesce(article, 'sin artículo') || '">' || chr(10) || text || chr(10) || '</fragmento>' AS block
+_CONTEXTS = """, blocks AS (SELECT qid, rank, '<fragmento country="' || country || '" norm_id="' || norm_id || '" article="' || coalesce(article, 'sin artículo') || '">' || chr(10) || text || chr(10) || '</fragmento>' AS block
   FROM lexical JOIN chunks ON row_id = id), made AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM blocks GROUP BY qid)
-SELECT qid, coalesce(context, '(no se recuperó ningún fragmento del corpus)') AS context FROM questions LEFT JOIN made USING (qid)""")
+SELECT qid, coalesce(context, '(no se recuperó ningún fragmento del corpus)') AS context FROM questions LEFT JOIN made USING (qid)"""
+
+
+@query(f"WITH {_lexical_sql(GOLDEN_Q, 3)}{_CONTEXTS}")
 def answer_contexts(spark, sf_dir):
     chunks, asked = read_table(spark, sf_dir, "chunks"), golden_queries(spark, sf_dir)
     hits = fulltext.search_lexical(chunks, asked, 3)
@@ -407,14 +410,20 @@ def question_rank_or(spark, sf_dir):
     return hits.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"WITH {_lexical_sql(QUESTION_Q, 8, 'or')}{_CONTEXTS}")
 def question_contexts(spark, sf_dir):
     """Whole questions through hybrid search, eight hits each."""
     chunks, asked = read_table(spark, sf_dir, "chunks"), question_queries(spark, sf_dir)
     return answering.format_contexts(fusion.attach(fusion.search_hybrid(chunks, asked, 8, mode="or"), chunks), asked)
 
 
-@query()
+_CITED = "SELECT pair_id, unnest(citations) AS c, generate_subscripts(citations, 1) - 1 AS place FROM golden_questions"
+_UNSUPPORTED = f""", seen AS (SELECT DISTINCT qid, country, norm_id, article FROM lexical JOIN chunks ON row_id = id), cited AS ({_CITED})
+SELECT pair_id AS qid, c.country AS country, c.norm_id AS norm_id, c.article AS article FROM cited WHERE pair_id % 20 = 0 AND NOT EXISTS (
+  SELECT 1 FROM seen s WHERE s.qid = pair_id AND s.country IS NOT DISTINCT FROM c.country AND s.norm_id IS NOT DISTINCT FROM c.norm_id AND s.article IS NOT DISTINCT FROM c.article)"""
+
+
+@query(f"WITH {_lexical_sql(QUESTION_Q, 10, 'or')}{_UNSUPPORTED}")
 def question_citations_unsupported(spark, sf_dir):
     """Citations in none of the ten best hits of the whole question."""
     chunks = read_table(spark, sf_dir, "chunks")
@@ -430,12 +439,7 @@ def answers(spark, sf_dir):
     return answering.answer_questions(asked, question_contexts(spark, sf_dir))
 
 
-_CITED = "SELECT pair_id, unnest(citations) AS c, generate_subscripts(citations, 1) - 1 AS place FROM golden_questions"
-
-
-@query(f"""WITH {_lexical_sql(GOLDEN_Q, 10)}, seen AS (SELECT DISTINCT qid, country, norm_id, article FROM lexical JOIN chunks ON row_id = id), cited AS ({_CITED})
-SELECT pair_id AS qid, c.country AS country, c.norm_id AS norm_id, c.article AS article FROM cited WHERE pair_id % 20 = 0 AND NOT EXISTS (
-  SELECT 1 FROM seen s WHERE s.qid = pair_id AND s.country IS NOT DISTINCT FROM c.country AND s.norm_id IS NOT DISTINCT FROM c.norm_id AND s.article IS NOT DISTINCT FROM c.article)""")
+@query(f"WITH {_lexical_sql(GOLDEN_Q, 10)}{_UNSUPPORTED}")
 def citations_unsupported(spark, sf_dir):
     chunks = read_table(spark, sf_dir, "chunks")
     hits = fusion.attach(fulltext.search_lexical(chunks, golden_queries(spark, sf_dir)), chunks)
