@@ -35,7 +35,7 @@ from clausesearch.runtime import materialize, shared_dir
 
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-BUCKET_CHARS, HOT, SKETCH = 16_000_000, 2_000, 1 << 20
+BUCKET_CHARS, HOT, SKETCH, PART, PAIRS_OF_TASK = 16_000_000, 2_000, 1 << 20, 512, 500_000
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -137,8 +137,8 @@ class FingerprintIndex:
         """A run: hot rows are spread over the tasks, all others lie in the bucket of their hash."""
         name = f"run_{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}"
-        spread = rows.withColumn("k", F.when(F.col("hot"), F.xxhash64("h", "id")).otherwise(F.col("h"))).repartition(self.buckets, "k").drop("k")
-        spread.write.partitionBy("hot").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        spread = rows.repartition(self.buckets, F.when(F.col("hot"), F.xxhash64("h", "id")).otherwise(F.col("h")))
+        spread.write.option("compression", "zstd").partitionBy("hot").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         self.tables[path] = name
         sizes = {r.hot: r["count"] for r in self.spark.read.parquet(path).groupBy("hot").count().collect()} if self._any(path) else {}
         kind = rows.schema["id"].dataType.simpleString()
@@ -267,11 +267,29 @@ def new_pairs(index: FingerprintIndex, batch: DataFrame, documents: DataFrame, i
     return either.select("a", "b").distinct()
 
 
+def _most(limit: int, holds) -> int:
+    """The greatest n up to the limit for which an equality of n characters holds."""
+    if holds(limit):
+        return limit
+    low, high = 0, limit - 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if holds(middle) else (low, middle - 1)
+    return low
+
+
 def _pairs(df: DataFrame, places: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """The pairs of places with the same hash whose surroundings have ``length`` characters in common."""
     k = length // 2
     context = materialize(_contexts(df, places, id_col, text_col, k, length), "p10-context")
-    left, right = (context.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "before", "c"))) for s in "ab")
+    # A hash with many surroundings: one side lies in parts of about PART, each compared with all of the other side by a task of its own.
+    crowded = context.groupBy("h").count().where(F.col("count") > PART).select("h", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    placed = context.join(crowded, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    side = lambda s, part: placed.select("h", part.alias("part"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "before", "c")))
+    # The pairs to compare, not the bytes, tell how many tasks there are.
+    compared = context.groupBy("h").count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0
+    tasks = int(min(20_000, max(1, compared // PAIRS_OF_TASK)))
+    left, right = side("a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     schema = T.StructType([T.StructField("a", df.schema[id_col].dataType), T.StructField("b", df.schema[id_col].dataType)])
 
     def verify(batches):
@@ -284,17 +302,15 @@ def _pairs(df: DataFrame, places: DataFrame, id_col: str, text_col: str, length:
                     continue
                 if a[x : x + k] != b[y : y + k]:
                     continue
-                back = 0
-                while back < min(x, y) and a[x - back - 1] == b[y - back - 1]:
-                    back += 1
-                end = k
-                while x + end < len(a) and y + end < len(b) and back + end < length and a[x + end] == b[y + end]:
-                    end += 1
-                same[i] = back + end >= length
+                back = _most(min(x, y), lambda n, a=a, b=b, x=x, y=y: a[x - n : x] == b[y - n : y])
+                after = _most(min(len(a) - x, len(b) - y) - k, lambda n, a=a, b=b, x=x + k, y=y + k: a[x : x + n] == b[y : y + n])
+                same[i] = back + k + after >= length
             keep = pa.array(same)
             yield pa.RecordBatch.from_arrays([batch.column("id_a").filter(keep), batch.column("id_b").filter(keep)], names=["a", "b"])
 
-    pairs = left.join(right, "h").where("id_a < id_b").select("id_a", "id_b", "before_a", "before_b", "c_a", "c_b")
+    if tasks > 1:
+        left = left.repartition(tasks, "h", "part")
+    pairs = left.join(right, ["h", "part"]).where("id_a < id_b").select("id_a", "id_b", "before_a", "before_b", "c_a", "c_b")
     return pairs.mapInArrow(verify, schema).distinct()
 
 

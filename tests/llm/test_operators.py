@@ -467,6 +467,7 @@ def test_an_index_is_reopened_and_takes_new_batches(make, spark, sentence, tmp_p
     table = make(DOCUMENTS, [{"doc_id": i, "text": t} for i, t in docs.items()])
     for hot in (2_000, 1):  # with every hash but the first of a task in the spread part
         monkeypatch.setattr(p10_spans, "HOT", hot)
+        monkeypatch.setattr(p10_spans, "PART", hot)
         found, folder = set(), str(tmp_path / f"index{hot}")
         for i in range(5):
             index = p10_spans.FingerprintIndex(spark, folder, buckets=4, fanout=2)  # opened anew each time
