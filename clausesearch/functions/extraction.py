@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from clausesearch.functions.text import normalize_text
 
+#: Elements that hold no text of the page's own.
 CHROME = frozenset(["script", "style", "noscript", "nav", "header", "footer", "aside"])
 BLOCKS = frozenset("p div section article main li ul ol table tr td th h1 h2 h3 h4 h5 h6 br body html blockquote pre dl dt dd form".split())
 HEADER_LINE = re.compile(r"(?i)^\s*(?:art[íi]culo|art\.)\s*\d+")

@@ -13,7 +13,7 @@ from clausesearch.functions.text import words
 from clausesearch.operators.fulltext import postings
 from clausesearch.runtime import materialize
 
-KEY, PART = "chunk_id", "_part"
+KEY, PART, ROWS_OF_PART = "chunk_id", "_part", 200_000
 
 
 def last_per_key(df: DataFrame, order: list[str], key: str = KEY) -> DataFrame:
@@ -33,7 +33,9 @@ def pending(df: DataFrame, existing: DataFrame, key: str = KEY) -> DataFrame:
 
 
 class ChunkStore:
-    """Rows lie in ``parts`` parts by the hash of their key; an upsert writes anew only the parts that it touches.
+    """Rows lie in parts by the hash of their key; an upsert writes anew only the parts that it touches.
+
+    The first upsert fixes the number of parts: ``parts``, or one for every ``ROWS_OF_PART`` of its rows.
 
     A numbered state file names the folder of every part and the derived columns. It is made only where it
     does not exist yet, after all data is written: readers never see half a write, and of two writers that
@@ -110,6 +112,8 @@ class ChunkStore:
         n = given.count()
         if not n:
             return 0
+        if not state["folders"]:
+            state["parts"] = max(state["parts"], n // ROWS_OF_PART)
         touched = [str(r[0]) for r in given.select(self._part(state["parts"])).distinct().collect()]  # at most ``parts``
         old = [p for p in touched if p in state["folders"]]
         rows = merge(self._read(state, old).drop(*state["derived"]), given, order) if old else last_per_key(given, order)
