@@ -6,8 +6,6 @@ kernels; only the distinct words of a batch are hashed one by one.
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,15 +50,6 @@ def hash_words(flat: pa.Array, seed: int = 0) -> np.ndarray:
     return table[d.indices.to_numpy()]
 
 
-def fold_marks(text: str | None) -> str:
-    """The text without diacritics."""
-    if not text:
-        return ""
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-
-
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of each segment, modulo 2**64; an empty segment gives 0."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
