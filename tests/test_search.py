@@ -146,3 +146,63 @@ def test_cross_country_pairs(spark):
     assert set(got) == {(1, 2), (4, 3)}
     assert [r.country for r in corpus.round_robin(df, 3).collect()] == ["AR", "CL", "AR"]
     assert [tuple(r) for r in corpus.longest_articles(df, 600).where(F.col("norm_id") == "b").select("row_id").collect()] == [(2,)]
+
+
+def test_web_queries_in_batches(spark, texts):
+    asked = ask(spark, '"norma iec" -aparatos', "60364 or 60335", '"iec norma"', " - ¡", None, "aparatos -norma", '"aparatos y más" aparatos')
+    assert found(fulltext.search_lexical(texts, asked, mode="web")) == [(0, 1), (1, 1), (1, 2), (5, 3), (6, 3)]
+    assert found(fulltext.search_lexical(texts, asked, mode="web", country="CL")) == [(1, 2)]
+
+
+def test_stored_postings_give_the_same_hits(spark, texts, monkeypatch):
+    stored = fulltext.postings(texts)
+    asked = ask(spark, "IEC 60364", "iec", "aparatos", "nada")
+    for few in (1_000, 1):
+        monkeypatch.setattr(fulltext, "FEW_LEXEMES", few)
+        for options in ({}, {"country": "CL"}, {"mode": "or"}, {"mode": "web"}):
+            want = [tuple(r) for r in fulltext.search_lexical(texts, asked, **options).orderBy("qid", "rank").collect()]
+            assert [tuple(r) for r in fulltext.search_lexical(texts, asked, stored=stored, **options).orderBy("qid", "rank").collect()] == want
+
+
+def test_the_gate_decides_between_scan_and_index(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 6)).round(3)
+    df = spark.createDataFrame([(i, "AR" if i % 2 else "CL", [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, country string, embedding array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (1, None), (2, [0.0] * 6), (3, [0.0, 1.0, 1.0, 0.0, 0.0, 0.0])], "qid long, qvec array<float>")
+    exact = found(vectors.gated_topk(df, asked, 5))
+    assert exact == found(vectors.dense_topk(df, asked, 5)) and {q for q, _ in exact} == {0, 3}
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 30)
+    index = vectors.IvfIndex(df, lists=4)
+    assert found(index.search(asked, 5, probes=4)) == exact
+    assert {i % 2 for _, i in found(vectors.gated_topk(df, asked, 5, country="AR", index=index))} == {1}
+    assert len(found(vectors.gated_topk(df, asked, 5, least_rows=100))) == 10
+
+
+def test_recall_by_kind_of_probe(spark, texts):
+    probes = evaluate.phrase_probes(texts, first=2, n=3)
+    assert {tuple(r) for r in probes.collect()} == {(1, "norma iec 60364"), (2, "norma iec 60335"), (3, "aparatos y más")}
+    truth = evaluate.phrase_truth(texts, probes.unionByName(spark.createDataFrame([(9, "rige los aparatos")], "qid long, needle string")))
+    assert {tuple(r) for r in truth.collect()} == {(1, 1), (2, 2), (3, 3), (9, 2)}
+    named = truth.select(F.lit("phrases").alias("kind"), "*")
+    got = spark.createDataFrame([("phrases", 1, 1), ("phrases", 2, 1), ("phrases", 9, 2), ("codes", 1, 1)], "kind string, qid long, id long")
+    assert {tuple(r) for r in evaluate.recall_by_kind(named, {"a": got, "b": got.limit(0)}).collect()} == {("phrases", "a", 4, 2), ("phrases", "b", 4, 0)}
+
+
+@pytest.mark.parametrize("block", [16_384, 3])
+def test_pairs_of_countries_are_exact(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "ABC"[i % 3], f"n{i}", str(i), 900, [float(v) for v in rng.normal(size=4)]) for i in range(40)] + [(90, None, "x", "1", 900, [1.0, 0.0, 0.0, 0.0]), (91, "A", "y", "1", 900, None)]
+    df = spark.createDataFrame(rows, "row_id long, country string, norm_id string, article string, n_chars int, embedding array<float>")
+    want = []
+    for a in rows[:40]:
+        for b in rows[:40]:
+            if a[1] < b[1]:
+                x, y = np.array(a[5], np.float32).astype(float), np.array(b[5], np.float32).astype(float)
+                want.append((-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 9), a[0], b[0]))
+    got = [(r.a, r.b) for r in corpus.cross_country_pairs(df, rows_of_block=block).collect()]
+    assert got == [(a, b) for _, a, b in sorted(want)[:10]]
+    assert corpus.cross_country_pairs(df.limit(0)).collect() == []

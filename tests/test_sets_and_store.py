@@ -148,3 +148,38 @@ def test_dedup_and_statistics(spark):
     got = dedup.chunk_statistics(df.where("text IS NOT NULL")).where("strategy = 's'").first()
     assert (got.n_chunks, got.median, got.p95, got.longest, got.with_article, got.percent) == (4, 4, 4, 10, 2, 50)
     assert dedup.chunk_statistics(df.limit(0)).collect() == [] and dedup.chunk_statistics(df.where("row_id = 5")).first().p95 == 3
+
+
+def test_an_upsert_writes_only_the_parts_it_touches(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), parts=8)
+    df = spark.createDataFrame([(f"c{i}", f"texto {i}", "AR", i) for i in range(100)], CHUNK)
+    store.upsert(df, ["n"])
+    before = store._state()
+    assert len(before["folders"]) == 8 and len(set(before["folders"].values())) == 1
+    store.upsert(df.where("chunk_id = 'c7'").withColumn("text", F.lit("otro")), ["n"])
+    after = store._state()
+    assert sum(before["folders"][p] != after["folders"][p] for p in after["folders"]) == 1
+    assert {(r.chunk_id, r.text) for r in store.read().collect()} == {(f"c{i}", "otro" if i == 7 else f"texto {i}") for i in range(100)}
+    with pytest.raises(Exception, match="(?i)exist"):  # a second writer that started from the same state
+        store._move(before)
+
+
+def test_a_derived_column_reaches_older_rows(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.upsert(spark.createDataFrame([("a", "uno dos", "AR", 1), ("b", "x", "AR", 1)], CHUNK), ["n"])
+    store.add_derived("length", "char_length(text)")
+    assert {(r.chunk_id, r.length) for r in store.read().collect()} == {("a", 7), ("b", 1)}
+    store.upsert(spark.createDataFrame([("b", "xyz", "AR", 2)], CHUNK), ["n"])
+    assert {(r.chunk_id, r.length, len(r.tokens)) for r in ChunkStore(spark, str(tmp_path / "s")).read().collect()} == {("a", 7, 2), ("b", 3, 1)}
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from clausesearch import runtime
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+        with pytest.raises(ValueError, match="checkpoint"):
+            runtime.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default)))
