@@ -112,13 +112,16 @@ def codebooks(residual: np.ndarray, unit: np.ndarray, weight: float, rounds: int
     return books
 
 
-def scan(data: np.ndarray, ids: np.ndarray, codes: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, books: np.ndarray, k: int, rerank: int):
-    """Top k ids and exact scores of each query among the data of one cell; missing places have id -1."""
-    n, m = codes.shape
+def scan(data: np.ndarray, ids: np.ndarray, packed: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, books: np.ndarray, k: int, rerank: int):
+    """Top k ids and exact scores of each query among the data of one cell; missing places have id -1.
+
+    ``packed``: two codes of four bits a byte, which make one table index.
+    """
+    n, m = len(packed), packed.shape[1] * 2
     out_ids, out_scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2, np.float32)
     if n == 0:  # a cell near to some queries that stores no vector itself
         return out_ids, out_scores
-    two = codes[:, 0::2].astype(np.int64) * 16 + codes[:, 1::2]  # two codes of four bits make one table index
+    two = packed.astype(np.int64)
     for at in range(0, len(queries), 1024):
         q = queries[at : at + 1024]
         table = np.einsum("qm,mc->mcq", q, books)
@@ -259,6 +262,7 @@ def _neighbours_of_length(rows: DataFrame, dim: int, k: int, probes: int, rerank
             u = _unit(batch.column("v"), dim)
             cell = nearest_cells(u, probes)
             codes = encode(u - centres[cell[:, 0]], u, books, weight)
+            codes = codes[:, 0::2] << 4 | codes[:, 1::2]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * cell.shape[1]), pa.array(cell.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), _binary(u), _binary(codes), lists], names=["id", "v", "codes", "cells"])
 
@@ -278,7 +282,7 @@ def _neighbours_of_length(rows: DataFrame, dim: int, k: int, probes: int, rerank
         held = table.column("codes").is_valid().to_numpy()
         ids = table.column("id").to_numpy()
         vectors = _matrix(table.column("v"), np.float32, width)
-        codes = _matrix(table.column("codes").drop_null(), np.uint8, width)
+        codes = _matrix(table.column("codes").drop_null(), np.uint8, width // 2)
         found, scores = scan(vectors[held], ids[held], codes, vectors[~held], ids[~held], books, k, rerank)
         q = np.repeat(ids[~held], k)
         ok = found.ravel() >= 0
