@@ -138,8 +138,11 @@ def _blocked(web: DataFrame) -> DataFrame:
 
 
 def _edges(m: Column) -> Column:
-    """Hashes of each beginning and ending of one to three words and signs, codes masked."""
-    return F.array(*(F.xxhash64(F.lit(sign * k), F.substring_index(m, " ", sign * k)) for k in range(1, FRAME_WORDS + 1) for sign in (1, -1)))
+    """Hashes of each beginning and ending of one to three words and signs, codes masked; a sign alone is none."""
+    run = lambda n: F.substring_index(m, " ", n)
+    edges = [F.xxhash64(F.lit(sign * k), run(sign * k)) for k in range(1, FRAME_WORDS + 1) for sign in (1, -1)]
+    words = [F.when(run(sign).rlike(r"[\p{L}\p{N}¤]"), edge) for sign, edge in zip((1, -1), edges[:2], strict=True)]
+    return F.array_compact(F.array(*words, *edges[2:]))
 
 
 def _entries(lines: DataFrame, least_keys: int) -> DataFrame:
