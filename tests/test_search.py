@@ -206,3 +206,28 @@ def test_pairs_of_countries_are_exact(spark, block):
     got = [(r.a, r.b) for r in corpus.cross_country_pairs(df, rows_of_block=block).collect()]
     assert got == [(a, b) for _, a, b in sorted(want)[:10]]
     assert corpus.cross_country_pairs(df.limit(0)).collect() == []
+
+
+def scored_rows(monkeypatch, search):
+    """Rows that a search ranks, and its result."""
+    seen = []
+    keep = fulltext.top_k
+    monkeypatch.setattr(fulltext, "top_k", lambda scored, k=10: (seen.append(scored), keep(scored, k))[1])
+    return found(search()), seen[0].count()
+
+
+@pytest.mark.parametrize("block", [32_768, 70])
+def test_questions_of_common_words_form_no_pairs(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(fulltext, "BLOCK", block, raising=False)
+    rng = random.Random(3)
+    texts = [(i, " ".join(["de", "la"] * rng.randint(1, 4) + rng.choices(["bota", "llave", "horno", "cinta"], k=6))) for i in range(300)]
+    df = spark.createDataFrame(texts, "row_id long, text string")
+    asked = [f"de la {rng.choice(['bota', 'llave'])} horno {i}" for i in range(60)]
+    got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, ask(spark, *asked), 3, mode="or"))
+    want = []
+    for q, text in enumerate(asked):
+        score = {i: sum(0.1 * sum(1 / j**2 for j in range(1, t.split().count(w) + 1)) / fulltext.ZETA2 for w in sorted(set(text.split()))) / 5 for i, t in texts}
+        want += [(q, i) for i in sorted(score, key=lambda i: (-round(score[i], 9), i))[:3]]
+    assert got == want and rows <= 60 * 3 * -(-300 // block)
