@@ -231,3 +231,14 @@ def test_questions_of_common_words_form_no_pairs(spark, monkeypatch, block):
         score = {i: sum(0.1 * sum(1 / j**2 for j in range(1, t.split().count(w) + 1)) / fulltext.ZETA2 for w in sorted(set(text.split()))) / 5 for i, t in texts}
         want += [(q, i) for i in sorted(score, key=lambda i: (-round(score[i], 9), i))[:3]]
     assert got == want and rows <= 60 * 3 * -(-300 // block)
+
+
+def test_phrases_with_common_words_form_no_pairs(spark, monkeypatch):
+    texts = [(i, f"de la bota de {i} la cuna" if i % 3 else f"la de bota de la {i}") for i in range(300)]
+    df = spark.createDataFrame(texts, "row_id long, text string")
+    asked = ask(spark, *(f'"la {i}" -cuna' for i in range(60)), *(f'"de la" {i} -"bota de la"' for i in range(60)))
+    monkeypatch.setattr(fulltext, "BLOCK", 70, raising=False)
+    got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, asked, mode="web"))
+    assert got == [(i, i) for i in range(0, 60, 3)] + [(60 + i, i) for i in range(60) if i % 3] and rows == len(got)
+    got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, ask(spark, *['"de la" or bota'] * 40), 2, mode="web"))
+    assert len(got) == 80 and rows <= 40 * 2 * 5
