@@ -242,3 +242,12 @@ def test_phrases_with_common_words_form_no_pairs(spark, monkeypatch):
     assert got == [(i, i) for i in range(0, 60, 3)] + [(60 + i, i) for i in range(60) if i % 3] and rows == len(got)
     got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, ask(spark, *['"de la" or bota'] * 40), 2, mode="web"))
     assert len(got) == 80 and rows <= 40 * 2 * 5
+
+
+def test_rows_are_sent_once_for_thousands_of_vector_queries(spark, monkeypatch):
+    import pyarrow as pa
+
+    df = spark.range(300).selectExpr("id AS row_id", "array(1.0f, cast(id AS float)) AS embedding")
+    asked = spark.range(2_100).selectExpr("id AS qid", "array(1.0f, cast(id AS float)) AS qvec")
+    monkeypatch.setattr(vectors, "_best", lambda t, k: pa.table({"qid": pa.array([0], pa.int64()), "id": pa.array([0], pa.int64()), "score": [float(t.num_rows)]}))
+    assert sum(r.score for r in vectors.dense_topk(df, asked).collect()) == 300 + 2_100
