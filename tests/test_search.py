@@ -251,3 +251,12 @@ def test_rows_are_sent_once_for_thousands_of_vector_queries(spark, monkeypatch):
     asked = spark.range(2_100).selectExpr("id AS qid", "array(1.0f, cast(id AS float)) AS qvec")
     monkeypatch.setattr(vectors, "_best", lambda t, k: pa.table({"qid": pa.array([0], pa.int64()), "id": pa.array([0], pa.int64()), "score": [float(t.num_rows)]}))
     assert sum(r.score for r in vectors.dense_topk(df, asked).collect()) == 300 + 2_100
+
+
+def test_truth_among_retrieved_pairs(spark, texts):
+    among = spark.createDataFrame([(1, 1), (1, 3), (9, 2), (9, 1), (8, 3)], "qid long, id long")
+    probes = spark.createDataFrame([(1, "norma iec 60364"), (9, "rige los aparatos"), (7, "la norma iec"), (8, "aparatos y má")], "qid long, needle string")
+    assert {tuple(r) for r in evaluate.phrase_truth(texts, probes, among=among).collect()} == {(1, 1), (9, 2)}
+    coded = spark.createDataFrame([(1, "AB-12 y AB-12"), (2, "AB-123")], "row_id long, text string")
+    asked = spark.createDataFrame([(1, "AB-12"), (9, "AB-123")], "qid long, needle string")
+    assert [tuple(r) for r in evaluate.code_truth(coded, asked, among=among).collect()] == [(1, 1), (9, 2)]
