@@ -260,3 +260,11 @@ def test_truth_among_retrieved_pairs(spark, texts):
     coded = spark.createDataFrame([(1, "AB-12 y AB-12"), (2, "AB-123")], "row_id long, text string")
     asked = spark.createDataFrame([(1, "AB-12"), (9, "AB-123")], "qid long, needle string")
     assert [tuple(r) for r in evaluate.code_truth(coded, asked, among=among).collect()] == [(1, 1), (9, 2)]
+
+
+def test_words_of_texts_are_stemmed_in_their_block(spark, texts, monkeypatch):
+    calls = []
+    keep = fulltext.stems
+    monkeypatch.setattr(fulltext, "stems", lambda v: (calls.append(sorted(r.token for r in v.collect())), keep(v))[1])
+    assert found(fulltext.search_lexical(texts, ask(spark, "el aparato", "instalación"), config="spanish")) == [(0, 3), (0, 2), (1, 1)]
+    assert calls == [["aparato", "instalación"]]
