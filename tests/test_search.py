@@ -268,3 +268,9 @@ def test_words_of_texts_are_stemmed_in_their_block(spark, texts, monkeypatch):
     monkeypatch.setattr(fulltext, "stems", lambda v: (calls.append(sorted(r.token for r in v.collect())), keep(v))[1])
     assert found(fulltext.search_lexical(texts, ask(spark, "el aparato", "instalación"), config="spanish")) == [(0, 3), (0, 2), (1, 1)]
     assert calls == [["aparato", "instalación"]]
+
+
+def test_codes_with_a_common_part_form_no_pairs(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"AB-{i} AB-{i + 1}") for i in range(300)], "row_id long, text string")
+    got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, ask(spark, *(f"AB-{i}" for i in range(1, 61))), 4, mode="or"))
+    assert got[:4] == [(0, 0), (0, 1), (0, 2), (0, 3)] and got[-4:] == [(59, 59), (59, 60), (59, 0), (59, 1)] and rows <= 60 * 4
