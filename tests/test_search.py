@@ -274,3 +274,17 @@ def test_codes_with_a_common_part_form_no_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"AB-{i} AB-{i + 1}") for i in range(300)], "row_id long, text string")
     got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, ask(spark, *(f"AB-{i}" for i in range(1, 61))), 4, mode="or"))
     assert got[:4] == [(0, 0), (0, 1), (0, 2), (0, 3)] and got[-4:] == [(59, 59), (59, 60), (59, 0), (59, 1)] and rows <= 60 * 4
+
+
+@pytest.mark.parametrize("name", ["question_contexts", "question_citations_unsupported", "answers"])
+def test_questions_of_common_words_form_no_pairs_behind_contexts(spark, tmp_path, monkeypatch, name):
+    from clausesearch import queries
+
+    schema = "row_id long, chunk_id string, text string, country string, agency string, norm_id string, variant string, year int, article string, embedding array<float>"
+    spark.createDataFrame([(i, f"c{i}", f"el de la bota {i}", "AR", "A", "n", "web", 2020, str(i), [1.0, float(i)]) for i in range(200)], schema).write.parquet(f"{tmp_path}/chunks.parquet")
+    golden = [(20 * i, f"el de la bota {i}", [("AR", "n", str(i))]) for i in range(40)]
+    spark.createDataFrame(golden, "pair_id long, question string, citations array<struct<country:string,norm_id:string,article:string>>").write.parquet(f"{tmp_path}/golden_questions.parquet")
+    seen, keep = [], fulltext.top_k
+    monkeypatch.setattr(fulltext, "top_k", lambda scored, k=10: (seen.append(scored), keep(scored, k))[1])
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == (0 if name == "question_citations_unsupported" else 40) and seen[0].count() <= 40 * 50
