@@ -9,11 +9,13 @@ threshold. The join is exact and never compares all texts:
   ``l``. A shared rare shingle is found through a single-token key. If none is rare, ``m + 1`` shared
   frequent shingles fall into ``m`` hash classes, so two lie in one class and are found through the
   key of that two-token combination; combinations across classes are never formed.
-* Keys are packed into one row per slice of texts and bucket, so the shuffle carries a few bytes a key; where
-  there are more than ``SPREAD`` buckets, slices are packed by ranges of buckets, and each range is put
-  together and packed again, so the rows grow with the keys and not with slices times buckets. Inside a
+* Keys are packed into one row per slice of texts and bucket, so the shuffle carries six bytes a key, however many
+  buckets there are; where there are more than ``SPREAD`` buckets, slices are packed by ranges of buckets, and each
+  range is put together and packed again, so the rows grow with the keys and not with slices times buckets. Inside a
   bucket, pairs of one key pass the length filter, the smaller text's shorter index prefix, and a
-  bound on the symmetric difference from ``BITS``-bit maps of the sets.
+  bound on the symmetric difference from ``BITS``-bit maps of the sets. Sizes and maps do not travel with the keys:
+  they are one table of the shared folder, and a bucket reads them there for its texts that share a key
+  (through ``pyarrow.fs``, so the executors' Python must reach that folder).
 * A second sketch of the same size counts, over one text in ``SAMPLED``, the combinations of shingles that are
   themselves frequent. A combination that so seems to be shared by more than ``hot`` texts goes into no bucket:
   all of its texts are sent once with a block each, Spark forms the pairs of blocks, and each is compared by a
@@ -31,6 +33,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +48,10 @@ CLASSES = 16
 SMALL, SMALL_MOST = 28, 47  # sets below 28 need the small scheme; their partners have at most 46 shingles
 RARE = 20
 HOT = 4096
-BITS = 512  # of the map of a set that goes with its keys
-PLACES = 3_000_000  # shingles whose keys go into one bucket
+BITS = 512  # of the map of a set
+PLACES = 4_000_000  # shingles whose keys go into one bucket
 SAMPLED = 16
-SPREAD, TOGETHER = 512, 2_000_000  # buckets that a slice is packed into at once; keys that are packed again at once
+SPREAD, TOGETHER = 1024, 2_000_000  # buckets that a slice is packed into at once; keys that are packed again at once
 
 
 def _signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -70,7 +74,8 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-SKETCHED = "block int, counts binary, rid long, n int, s binary"
+SKETCHED = "block int, counts binary, rid long, n int, s binary, bits binary"
+SKETCHED_NAMES = ["block", "counts", "rid", "n", "s", "bits"]
 
 
 def _distinct(offsets, flat, width):
@@ -91,7 +96,7 @@ def _sketch_rows(total: np.ndarray, kind=np.uint16) -> list[pa.Array]:
 
 
 def _sketch_and_sets(width: int):
-    """One pass over the texts: rows of the task's count sketch, and the set of each text as 16-bit hashes."""
+    """One pass over the texts: rows of the task's count sketch, and the set of each text as 16-bit hashes and as a map."""
 
     def run(batches):
         total = np.zeros(SLOTS, np.uint32)
@@ -105,8 +110,9 @@ def _sketch_and_sets(width: int):
                 offsets = (np.concatenate([[0], np.cumsum(n)]) * 2).astype(np.int32)
                 sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(short.tobytes())])
                 none = pa.nulls
-                yield pa.RecordBatch.from_arrays([none(batch.num_rows, pa.int32()), none(batch.num_rows, pa.binary()), batch.column("rid"), pa.array(n.astype(np.int32)), sets], names=["block", "counts", "rid", "n", "s"])
-        yield pa.RecordBatch.from_arrays([*_sketch_rows(total), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int32()), pa.nulls(BLOCKS, pa.binary())], names=["block", "counts", "rid", "n", "s"])
+                maps = _binaries(_bitmaps(row, grams, batch.num_rows))
+                yield pa.RecordBatch.from_arrays([none(batch.num_rows, pa.int32()), none(batch.num_rows, pa.binary()), batch.column("rid"), pa.array(n.astype(np.int32)), sets, maps], names=SKETCHED_NAMES)
+        yield pa.RecordBatch.from_arrays([*_sketch_rows(total), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int32()), *[pa.nulls(BLOCKS, pa.binary())] * 2], names=SKETCHED_NAMES)
 
     return run
 
@@ -202,8 +208,46 @@ def _bitmaps(row, grams, rows):
     return np.packbits(bits, axis=1)
 
 
-PACKED = "bucket int, keys binary, who binary, rid binary, n binary, bits binary"
-PACKED_NAMES = ["bucket", "keys", "who", "rid", "n", "bits"]
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes, all of one length."""
+    offsets = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _fixed(maps: pa.Array) -> np.ndarray:
+    """The maps of an array without nulls as rows of 64-bit numbers."""
+    _, offsets, data = maps.buffers()
+    start = int(np.frombuffer(offsets, np.int32)[maps.offset])
+    return np.frombuffer(data, np.uint64, len(maps) * (BITS // 64), start).reshape(len(maps), -1)
+
+
+def _maps_of(files: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and maps of the wanted texts (record numbers, ascending), from the files of the table of sets."""
+    n, bits, known = np.zeros(len(wanted), np.int64), np.zeros((len(wanted), BITS // 64), np.uint64), 0
+    for file in files if len(wanted) else ():
+        system, path = fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as opened:
+            for batch in pq.ParquetFile(opened).iter_batches(1 << 16, columns=["rid", "n", "bits"], use_threads=False):
+                if batch.column("rid").null_count:
+                    batch = batch.filter(batch.column("rid").is_valid())
+                if not batch.num_rows:
+                    continue
+                rid, size, maps = batch.column("rid").to_numpy(), batch.column("n").to_numpy(), _fixed(batch.column("bits"))
+                order = None if (rid[1:] > rid[:-1]).all() else np.argsort(rid)
+                if order is not None:
+                    rid, size, maps = rid[order], size[order], maps[order]
+                low, high = np.searchsorted(wanted, rid[0]), np.searchsorted(wanted, rid[-1], "right")
+                at = np.searchsorted(rid, wanted[low:high])
+                here = np.flatnonzero(rid[at] == wanted[low:high])
+                n[low + here], bits[low + here] = size[at[here]], maps[at[here]]
+                known += len(here)
+    if known != len(wanted):
+        raise RuntimeError(f"{len(wanted) - known} texts have no map")
+    return n, bits
+
+
+PACKED = "bucket int, keys binary, who binary, units binary"
+PACKED_NAMES = ["bucket", "keys", "who", "units"]
 
 
 def _slot(keys):
@@ -211,13 +255,13 @@ def _slot(keys):
 
 
 def _keyed_slices(batches, sketch, width, num, den):
-    """rid, sizes, maps and the keys of slices of texts."""
+    """rid, sizes, row and hash of each shingle, and the keys of slices of at most 5,000 texts."""
     for whole in batches:
         for first in range(0, whole.num_rows, 5_000):
             batch = whole.slice(first, 5_000)
             offsets, flat = split_words(batch.column("t"))
             row, grams, count, position, n = _ordered(offsets, flat, sketch, width)
-            yield batch.column("rid").to_numpy(), n, _bitmaps(row, grams, batch.num_rows), _keys(row, grams, count, position, n, num, den)
+            yield batch.column("rid").to_numpy(), n, row, grams, _keys(row, grams, count, position, n, num, den)
 
 
 def _frequent_keys(sent, width, num, den, hot):
@@ -225,28 +269,27 @@ def _frequent_keys(sent, width, num, den, hot):
 
     def run(batches):
         total = np.zeros(SLOTS, np.uint32)
-        for _, _, _, (keys, _, _, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
+        for *_, (keys, _, _, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
             total += np.bincount(_slot(keys[most > hot]), minlength=SLOTS).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(_sketch_rows(total, np.uint32), names=["block", "counts"])
 
     return run
 
 
-def _rows_of_buckets(buckets, bucket, keys, who, flags, rid, n, maps):
-    """Packed rows of keys; ``who`` is the place of each key's text in rid, n and maps."""
-    order = np.argsort(bucket, kind="stable")
+def _rows_of_buckets(buckets, bucket, keys, marks, unit, base):
+    """Packed rows of keys: keys, marks (place in the unit, index flag), and number of first text and count of keys of each unit."""
+    order = np.lexsort((unit, bucket)) if len(base) > 1 else np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.append(buckets, buckets[-1] + 1) if len(buckets) else buckets)
+    keys, marks, unit = keys[order], marks[order], unit[order]
     for b, low, high in zip(buckets, cut[:-1], cut[1:], strict=True):
-        own = order[low:high]
-        groups = [own] if len(rid) <= 30_000 else [own[who[own] // 30_000 == g] for g in np.unique(who[own] // 30_000)]  # places fit 15 bits
-        for part in groups:
-            present, local = np.unique(who[part], return_inverse=True)
-            mark = (local.astype(np.uint16) << np.uint16(1)) | flags[part]
-            yield int(b), keys[part].tobytes(), mark.astype(np.uint16).tobytes(), rid[present].tobytes(), n[present].astype(np.int32).tobytes(), maps[present].tobytes()
+        own = unit[low:high]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        units = np.stack([base[own[first]], np.diff(np.append(first, len(own)))], axis=1)
+        yield int(b), keys[low:high].tobytes(), marks[low:high].tobytes(), units.astype(np.int64).tobytes()
 
 
 def _packed(rows) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 6
+    columns = list(zip(*rows, strict=True)) or [()] * len(PACKED_NAMES)
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=PACKED_NAMES)
 
 
@@ -255,24 +298,24 @@ def _pack(sent, counted, width, num, den, hot, ranges, each):
 
     def run(batches):
         frequent = np.frombuffer(counted.value, np.uint32)
-        for rid, n, maps, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
+        for rid, _, _, _, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
             cool = (most <= hot) | (frequent[_slot(keys)].astype(np.int64) * SAMPLED <= hot)
             keys, rows, flags = keys[cool], rows[cool], flags[cool]
             bucket = (keys % np.uint64(ranges)).astype(np.int64)
             rest = keys // np.uint64(ranges)
-            yield _packed(_rows_of_buckets(np.unique(bucket), bucket, rest.astype(np.uint32) if each == 1 else rest, rows, flags, rid, n, maps))
+            first = np.flatnonzero(np.append(True, np.diff(rid) != 1))  # record numbers follow one another but for a file's edge
+            unit = np.searchsorted(first, rows, "right") - 1
+            marks = ((rows - first[unit]) << 1 | flags).astype(np.uint16)
+            yield _packed(_rows_of_buckets(np.unique(bucket), bucket, rest.astype(np.uint32) if each == 1 else rest, marks, unit, rid[first]))
 
     return run
 
 
 def _unpack(columns, key_type):
-    """key, who, flag, rid, n and bits of packed rows (lists of binaries), put together."""
+    """key, mark, unit and the units' first record number of packed rows (lists of binaries), put together."""
     read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in columns[c]])
-    rid, n, bits = read("rid", np.int64), read("n", np.int32).astype(np.int64), read("bits", np.uint64).reshape(-1, BITS // 64)
-    key, local = read("keys", key_type), read("who", np.uint16)
-    base = np.cumsum([0, *(len(x) // 8 for x in columns["rid"])])[:-1]
-    who = (local >> 1).astype(np.int64) + np.repeat(base, [len(x) // 2 for x in columns["who"]])
-    return key, who, (local & 1).astype(bool), rid, n, bits
+    base, count = read("units", np.int64).reshape(-1, 2).T
+    return read("keys", key_type), read("who", np.uint16), np.repeat(np.arange(len(base)), count), base
 
 
 def _pack_again(each):
@@ -280,9 +323,9 @@ def _pack_again(each):
 
     def again(bucket, held):
         columns = dict(zip(PACKED_NAMES[1:], zip(*held, strict=True), strict=True))
-        key, who, flag, rid, n, bits = _unpack(columns, np.uint64)
+        key, marks, unit, base = _unpack(columns, np.uint64)
         part = (key % np.uint64(each)).astype(np.int64)
-        return _packed(_rows_of_buckets(np.unique(part) + bucket * each, part + bucket * each, (key // np.uint64(each)).astype(np.uint32), who, flag, rid, n, bits))
+        return _packed(_rows_of_buckets(np.unique(part) + bucket * each, part + bucket * each, (key // np.uint64(each)).astype(np.uint32), marks, unit, base))
 
     def run(batches):
         bucket, held, size = None, [], 0
@@ -308,11 +351,11 @@ def _hot_members(sent, counted, width, num, den, hot):
 
     def run(batches):
         frequent = np.frombuffer(counted.value, np.uint32)
-        for rid, n, maps, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
+        for rid, n, shingled, grams, (keys, rows, flags, most) in _keyed_slices(batches, np.frombuffer(sent.value, np.uint16), width, num, den):
             at = np.flatnonzero((most > hot) & (frequent[_slot(keys)].astype(np.int64) * SAMPLED > hot))
             keys, rows, flags = keys[at], rows[at], flags[at]
             blocks = -(-frequent[_slot(keys)].astype(np.int64) * SAMPLED // max(1, hot // 2))
-            bits = pa.array([maps[r].tobytes() for r in rows], pa.binary())
+            bits = _binaries(_bitmaps(shingled, grams, len(rid))[rows] if len(rows) else np.zeros((0, BITS // 8), np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(blocks.astype(np.int32)), pa.array(rid[rows]), pa.array(n[rows].astype(np.int32)), pa.array(flags), bits], names=["key", "blocks", "rid", "n", "flag", "bits"])
 
     return run
@@ -346,16 +389,21 @@ def _groups(key, who, n, rid, flag, bits, num, den):
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def _match(num, den):
+def _match(num, den, files):
     """Candidate pairs of the texts of one bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, who, flag, rid, n, bits = _unpack({c: table.column(c).to_pylist() for c in PACKED_NAMES[1:]}, np.uint32)
+        key, marks, unit, base = _unpack({c: table.column(c).to_pylist() for c in PACKED_NAMES[1:]}, np.uint32)
         order = np.argsort(key, kind="stable")
-        key, who, flag = key[order], who[order], flag[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        some = np.repeat(np.diff(edge), np.diff(edge)) > 1
-        key, who, flag = key[some], who[some], flag[some]
+        key, flag = key[order], (marks[order] & 1).astype(bool)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        some = np.diff(np.append(first, len(key))) > 1
+        some &= np.logical_or.reduceat(flag, first) if len(first) else some
+        some = np.repeat(some, np.diff(np.append(first, len(key))))
+        order = order[some]
+        key, flag = key[some], flag[some]
+        rid, who = np.unique(base[unit[order]] + (marks[order] >> 1), return_inverse=True)
+        n, bits = _maps_of(files, rid)
         order = np.lexsort((rid[who], n[who], key))
         pairs = _groups(key[order], who[order], n, rid, flag[order], bits, num, den)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -444,7 +492,7 @@ def near_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     packed = keyed.mapInArrow(_pack(sent, counted, width, num, den, hot, -(-buckets // each), each), PACKED)
     if each > 1:
         packed = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pack_again(each), PACKED)
-    candidates = packed.groupBy("bucket").applyInArrow(_match(num, den), "a long, b long")
+    candidates = packed.groupBy("bucket").applyInArrow(_match(num, den, sketched.inputFiles()), "a long, b long")
     if int(frequent.max(initial=0)) * SAMPLED > hot:
         candidates = candidates.unionByName(_hot_pairs(keyed.mapInArrow(_hot_members(sent, counted, width, num, den, hot), HOT_MEMBERS), num, den))
     candidates = materialize(candidates, "p5-matched").distinct()

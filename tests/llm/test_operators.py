@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import CHUNKS, DOCUMENTS, GOLDEN, bag, words
 
@@ -281,6 +282,39 @@ def test_near_pairs_through_many_buckets_and_hot_keys(make, sentence, monkeypatc
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_keys_take_no_more_room_in_many_buckets(sentence):
+    import types
+
+    from clausesearch.llm.text import split_words
+
+    texts = pa.RecordBatch.from_pydict({"rid": pa.array(range(5, 1_005), pa.int64()), "t": [sentence(60) for _ in range(1_000)]})
+    _, grams = p5_near._distinct(*split_words(pa.array(texts.column("t").to_pylist() * 2)), 3)
+    sketch = np.minimum(np.bincount((grams & np.uint64(p5_near.SLOTS - 1)).astype(np.int64), minlength=p5_near.SLOTS), 65_535).astype(np.uint16)
+    sent, none = types.SimpleNamespace(value=sketch.tobytes()), types.SimpleNamespace(value=np.zeros(p5_near.SLOTS, np.uint32).tobytes())
+    for buckets in (4, 400):
+        rows = [r for batch in p5_near._pack(sent, none, 3, 3, 5, 4096, buckets, 1)(iter([texts])) for r in batch.to_pylist()]
+        keys = sum(len(r["keys"]) // 4 for r in rows)
+        assert keys > 5_000 and sum(len(v) for r in rows for v in r.values() if isinstance(v, bytes)) <= 6 * keys + 16 * len(rows)
+
+
+def test_maps_of_texts_are_found_in_any_order_of_the_files(tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    rids = rng.permutation(np.concatenate([np.arange(700), (1 << 33) + np.arange(300)]))
+    maps = rng.integers(0, 256, (1_000, p5_near.BITS // 8)).astype(np.uint8)
+    for i in range(2):
+        part = slice(i * 500, i * 500 + 500)
+        table = pa.table({"rid": pa.array([*rids[part].tolist(), None]), "n": pa.array([*range(i * 500, i * 500 + 500), None], pa.int32()), "bits": pa.array([*(m.tobytes() for m in maps[part]), None], pa.binary())})
+        pq.write_table(table, tmp_path / f"{i}.parquet")
+    files = [f"file://{tmp_path}/{i}.parquet" for i in range(2)]
+    wanted = np.sort(rids[::7])
+    n, bits = p5_near._maps_of(files, wanted)
+    assert (rids[n] == wanted).all() and (bits.view(np.uint8) == maps[n]).all()
+    with pytest.raises(RuntimeError):
+        p5_near._maps_of(files, np.array([5, 1_000_000]))
+
+
 def test_near_pairs_reject_a_low_threshold(make):
     with pytest.raises(ValueError):
         p5_near.near_pairs(make(CHUNKS, []), threshold=(1, 2))
