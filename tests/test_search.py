@@ -288,3 +288,11 @@ def test_questions_of_common_words_form_no_pairs_behind_contexts(spark, tmp_path
     monkeypatch.setattr(fulltext, "top_k", lambda scored, k=10: (seen.append(scored), keep(scored, k))[1])
     got = queries.QUERIES[name](spark, str(tmp_path)).collect()
     assert len(got) == (0 if name == "question_citations_unsupported" else 40) and seen[0].count() <= 40 * 50
+
+
+def test_queries_without_a_vector_move_no_row(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "row_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "qid long, qvec array<float>")
+    got = vectors.dense_topk(df, asked)
+    assert got.collect() == [] and got.columns == ["qid", "id", "score", "rank"]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
