@@ -296,3 +296,24 @@ def test_queries_without_a_vector_move_no_row(spark):
     got = vectors.dense_topk(df, asked)
     assert got.collect() == [] and got.columns == ["qid", "id", "score", "rank"]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_of_blocks_give_the_best_of_each_distinct_query_once(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i // 2, " ".join(rng.choices(["de", "la", "bota", "llave", "horno", f"w{i % 7}"], k=9))) for i in range(400)], "row_id long, text string")
+    queries = ask(spark, *([f"de la bota w{i % 7}" for i in range(30)] + [f'"de la" -w{i % 7}' for i in range(30)]))
+    for mode in ("or", "and", "web"):
+        want = [tuple(r) for r in fulltext.search_lexical(df, queries, 5, mode=mode).orderBy("qid", "rank").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(fulltext, "BLOCK", 9)
+            for hits, held in ((1 << 20, 1 << 23), (20, 25), (2, 1 << 23)):
+                m.setattr(fulltext, "HITS", hits, raising=False)
+                m.setattr(fulltext, "HELD", held, raising=False)
+                seen, keep = [], fulltext.top_k
+                with m.context() as n:
+                    n.setattr(fulltext, "top_k", lambda scored, k=10, seen=seen, keep=keep: (seen.append(scored), keep(scored, k))[1])
+                    got = [tuple(r) for r in fulltext.search_lexical(df, queries, 5, mode=mode).orderBy("qid", "rank").collect()]
+                # 14 distinct queries, 4 groups of 12 blocks; 60 queries and 45 blocks gave up to 13,500 rows.
+                assert got == want and (hits == 2 or seen[0].count() <= 14 * 5 * 4)
