@@ -317,3 +317,43 @@ def test_groups_of_blocks_give_the_best_of_each_distinct_query_once(spark, monke
                     got = [tuple(r) for r in fulltext.search_lexical(df, queries, 5, mode=mode).orderBy("qid", "rank").collect()]
                 # 14 distinct queries, 4 groups of 12 blocks; 60 queries and 45 blocks gave up to 13,500 rows.
                 assert got == want and (hits == 2 or seen[0].count() <= 14 * 5 * 4)
+
+
+def test_a_text_is_sent_once_to_a_group_of_contexts(spark, tmp_path, monkeypatch):
+    from clausesearch import queries
+    from clausesearch.operators import answering
+
+    schema = "row_id long, text string, country string, agency string, chunk_id string, norm_id string, variant string, year int, article string, embedding array<float>"
+    rows = [(i, f"el de la bota {i}" + " relleno" * 500, "AR", "A", f"c{i}", "n", "web", 2020, str(i) if i else None, None) for i in range(10)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/chunks.parquet")
+    golden = [(20 * i, "de la bota" if i % 5 else "nada") for i in range(400)] + [(20, "bota 3"), (7, "bota")]
+    spark.createDataFrame(golden, "pair_id long, question string").write.parquet(f"{tmp_path}/golden_questions.parquet")
+    chunks, asked = spark.read.parquet(f"{tmp_path}/chunks.parquet"), queries.question_queries(spark, str(tmp_path))
+    hits = fusion.search_hybrid(chunks, asked, 8, mode="or")
+    want = {tuple(r) for r in answering.format_contexts(fusion.attach(hits, chunks), asked).collect()}
+    for group in (512, 30):
+        monkeypatch.setattr(answering, "GROUP", group, raising=False)
+        made = queries.question_contexts(spark, str(tmp_path))
+        got = [tuple(r) for r in made.collect()]
+        assert len(got) == 400 and set(got) == want and sum(c == answering.NO_HITS for _, c in got) == 80
+    # 400 questions of eight hits each and ten texts: a text goes once to each of 14 groups, and no context goes through an exchange.
+    plan = queries.QUERIES["answers"](spark, str(tmp_path))
+    answered = plan.collect()
+    assert sorted(r.qid for r in answered) == sorted(p for p, _ in golden if p % 20 == 0)
+    moved = {}
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        if node.nodeName() == "Exchange":
+            names = node.output().mkString(",")
+            if "block#" in names and "query#" in names or "context#" in names or "buf#" in names and "group#" in names and "qid#" in names:
+                moved[names] = node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan._jdf.queryExecution().executedPlan())
+    assert len(moved) == 1 and sum(moved.values()) <= 401 + 14 * 10
