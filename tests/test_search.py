@@ -359,7 +359,7 @@ def test_a_text_is_sent_once_to_a_group_of_contexts(spark, tmp_path, monkeypatch
     assert len(moved) == 1 and sum(moved.values()) <= 401 + 14 * 10
 
 
-@pytest.mark.parametrize(("text", "options"), [('"la norma" -cuna', {"mode": "web"}), ("norma aparatos", {"mode": "or"})])
+@pytest.mark.parametrize(("text", "options"), [('"la norma" -cuna', {"mode": "web"}), ("norma aparatos", {"mode": "or"}), ("la norma de los aparatos", {"config": "spanish"})])
 def test_a_repeated_query_is_searched_once(spark, monkeypatch, text, options):
     df = spark.createDataFrame([(i, f"la norma AB-{i} rige los aparatos") for i in range(300)], "row_id long, text string")
     got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, ask(spark, *[text] * 50, "nada"), 3, **options))
