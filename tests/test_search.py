@@ -364,3 +364,40 @@ def test_a_repeated_query_is_searched_once(spark, monkeypatch, text, options):
     df = spark.createDataFrame([(i, f"la norma AB-{i} rige los aparatos") for i in range(300)], "row_id long, text string")
     got, rows = scored_rows(monkeypatch, lambda: fulltext.search_lexical(df, ask(spark, *[text] * 50, "nada"), 3, **options))
     assert got == [(q, i) for q in range(50) for i in range(3)] and rows <= 3 * 4
+
+
+QUESTION_CHUNK = "row_id long, chunk_id string, text string, country string, agency string, norm_id string, variant string, year int, article string, embedding array<float>"
+
+
+def whole_tables(spark, folder):
+    """Chunks and questions with ids that are and are not divisible by 20."""
+    chunks = [(i, f"c{i}", f"el importador verificará la bota AB-{i}", "AR", "A", "n", "web", 2020, str(i), [1.0, float(i)]) for i in range(12)]
+    spark.createDataFrame(chunks, QUESTION_CHUNK).write.parquet(f"{folder}/chunks.parquet")
+    golden = [(i, f"¿Quién verificará la bota AB-{i % 12}?", [("AR", "n", str(i % 12)), ("CL", "n", "1")]) for i in range(25)]
+    spark.createDataFrame(golden, "pair_id long, question string, citations array<struct<country:string,norm_id:string,article:string>>").write.parquet(f"{folder}/golden_questions.parquet")
+    return str(folder)
+
+
+def test_every_question_is_ranked(spark, tmp_path):
+    from clausesearch import queries
+
+    got = queries.question_rank_or(spark, whole_tables(spark, tmp_path)).where("rank = 1").collect()
+    assert sorted((r.qid, r.id) for r in got) == [(i, i % 12) for i in range(25)]
+    assert "% 20" not in queries.SQL["question_rank_or"]
+
+
+@pytest.mark.parametrize("block", [32_768, 9])
+def test_shared_sums_give_the_best_of_any_words(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(fulltext, "BLOCK", block)
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choices(["de", "la", "bota", "llave"], k=8) + rng.choices([f"w{j}" for j in range(200)], k=3))) for i in range(300)]
+    df = spark.createDataFrame(texts, "row_id long, text string")
+    asked = [" ".join(rng.sample(["de", "la", "bota", "llave", "nada"], rng.randint(0, 5)) + rng.sample([f"w{j}" for j in range(220)], rng.randint(1, 4))) for _ in range(80)]
+    want = []
+    for q, text in enumerate(asked):
+        words = set(text.split())
+        score = {i: sum(0.1 * sum(1 / j**2 for j in range(1, t.split().count(w) + 1)) / fulltext.ZETA2 for w in sorted(words)) / len(words) for i, t in texts}
+        want += [(q, i) for i in sorted((i for i in score if score[i] > 0), key=lambda i: (-round(score[i], 9), i))[:7]]
+    assert found(fulltext.search_lexical(df, ask(spark, *asked), 7, mode="or")) == want
