@@ -401,3 +401,18 @@ def test_shared_sums_give_the_best_of_any_words(spark, monkeypatch, block):
         score = {i: sum(0.1 * sum(1 / j**2 for j in range(1, t.split().count(w) + 1)) / fulltext.ZETA2 for w in sorted(words)) / len(words) for i, t in texts}
         want += [(q, i) for i in sorted((i for i in score if score[i] > 0), key=lambda i: (-round(score[i], 9), i))[:7]]
     assert found(fulltext.search_lexical(df, ask(spark, *asked), 7, mode="or")) == want
+
+
+def test_every_question_is_answered(spark, tmp_path):
+    from clausesearch import queries
+
+    assert sorted(r.qid for r in queries.answers(spark, whole_tables(spark, tmp_path)).collect()) == list(range(25))
+
+
+def test_queries_without_a_vector_rank_no_more_than_they_give(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"la norma AB-{i} rige", [1.0, float(i)]) for i in range(300)], "row_id long, text string, embedding array<float>")
+    asked = ask(spark, *(f"la norma {i}" for i in range(20))).withColumn("qvec", F.lit(None).cast("array<float>"))
+    got, rows = scored_rows(monkeypatch, lambda: fusion.search_hybrid(df, asked, 4, mode="or"))
+    monkeypatch.undo()
+    pooled = fusion.reciprocal_rank_fusion([fulltext.search_lexical(df, asked, 20, mode="or")], limit=4)
+    assert got == found(pooled) and rows <= 20 * 4 * 4
