@@ -416,3 +416,11 @@ def test_queries_without_a_vector_rank_no_more_than_they_give(spark, monkeypatch
     monkeypatch.undo()
     pooled = fusion.reciprocal_rank_fusion([fulltext.search_lexical(df, asked, 20, mode="or")], limit=4)
     assert got == found(pooled) and rows <= 20 * 4 * 4
+
+
+def test_every_title_is_searched(spark, tmp_path):
+    from clausesearch import queries
+
+    folder = whole_tables(spark, tmp_path)
+    spark.createDataFrame([(i, f"Las botas AB-{i % 12}") for i in range(25)] + [(25, None)], "doc_id long, title string").write.parquet(f"{folder}/documents.parquet")
+    assert sorted((r.qid, r.id) for r in queries.lexical_spanish(spark, folder).where("rank = 1").collect()) == [(i, i % 12) for i in range(25)]
