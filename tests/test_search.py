@@ -424,3 +424,11 @@ def test_every_title_is_searched(spark, tmp_path):
     folder = whole_tables(spark, tmp_path)
     spark.createDataFrame([(i, f"Las botas AB-{i % 12}") for i in range(25)] + [(25, None)], "doc_id long, title string").write.parquet(f"{folder}/documents.parquet")
     assert sorted((r.qid, r.id) for r in queries.lexical_spanish(spark, folder).where("rank = 1").collect()) == [(i, i % 12) for i in range(25)]
+
+
+def test_citations_of_every_question_are_looked_up(spark, tmp_path):
+    from clausesearch import queries
+
+    got = queries.question_citations_unsupported(spark, whole_tables(spark, tmp_path)).collect()
+    assert sorted((r.qid, r.country) for r in got) == [(i, "CL") for i in range(25)]
+    assert "% 20" not in queries.SQL["question_citations_unsupported"] and "% 20" in queries.SQL["citations_unsupported"]
