@@ -432,3 +432,21 @@ def test_citations_of_every_question_are_looked_up(spark, tmp_path):
     got = queries.question_citations_unsupported(spark, whole_tables(spark, tmp_path)).collect()
     assert sorted((r.qid, r.country) for r in got) == [(i, "CL") for i in range(25)]
     assert "% 20" not in queries.SQL["question_citations_unsupported"] and "% 20" in queries.SQL["citations_unsupported"]
+
+
+def test_recall_counts_every_probe(spark, tmp_path, monkeypatch):
+    from clausesearch import queries
+
+    fitted, keep = [], vectors.IvfIndex.__init__
+
+    def fit(self, df, lists=None, **options):
+        fitted.append(options.get("sample"))
+        keep(self, df, 2, **options)
+
+    folder = whole_tables(spark, tmp_path)
+    counts = lambda: {(r.kind, r.retriever): r.probes for r in queries.recall_by_kind(spark, folder).collect()}
+    want = {(kind, name): n for kind, n in (("identifiers", 12), ("phrases", 12), ("paraphrases", 25)) for name in ("dense", "lexical", "hybrid")}
+    assert counts() == want
+    monkeypatch.setattr(vectors, "ANN_ROWS", 10)
+    monkeypatch.setattr(vectors.IvfIndex, "__init__", fit)
+    assert counts() == want and fitted == [12]
