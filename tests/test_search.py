@@ -450,3 +450,11 @@ def test_recall_counts_every_probe(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vectors, "ANN_ROWS", 10)
     monkeypatch.setattr(vectors.IvfIndex, "__init__", fit)
     assert counts() == want and fitted == [12]
+
+
+def test_a_score_is_not_rounded_twice(spark):
+    df = spark.createDataFrame([(i, "alfa beta" if i % 2 else "alfa") for i in range(6)], "row_id long, text string")
+    asked = ask(spark, "alfa beta gama", "beta")
+    nine, more = (fulltext.search_lexical(df, asked, 4, mode="or", **o).orderBy("qid", "rank").collect() for o in ({}, {"digits": 15}))
+    assert [(r.qid, r.id, r.rank) for r in nine] == [(r.qid, r.id, r.rank) for r in more]
+    assert more[0].score == pytest.approx(0.2 / fulltext.ZETA2 / 3, abs=1e-14) and nine[0].score == round(more[0].score, 9) != more[0].score
